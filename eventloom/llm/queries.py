@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, packing, tokens
+from . import bpe, language, licenses, near_dup, packing, quality, tokens
 from .common import crc_of_id, documents
 
 
@@ -18,6 +18,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, crc_of_id(docs, 4) == 2)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_limit(tokens.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")), 1024)
 
@@ -30,6 +40,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), 1024, 2)
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,9 +51,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_token_counts, op5_near_duplicates, op8_best_fit_packing, op10_byte_bpe]
+    found = [op1_quality_rules, op2_language_id, op3_token_counts, op5_near_duplicates, op8_best_fit_packing, op9_license_scans, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality.ORACLE_SQL}
