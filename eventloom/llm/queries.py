@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, near_dup, packing, pii, quality, tokens
+from . import bpe, language, licenses, lm, near_dup, packing, pii, quality, tokens
 from .common import crc_of_id, documents
 
 
@@ -32,6 +32,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_limit(tokens.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")), 1024)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm.score(docs, crc_of_id(docs, 5) == 1)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_language_id, op3_token_counts, op5_near_duplicates, op6_personal_data, op8_best_fit_packing, op9_license_scans, op10_byte_bpe]
+    found = [op1_quality_rules, op2_language_id, op3_token_counts, op4_lm_scores, op5_near_duplicates, op6_personal_data, op8_best_fit_packing, op9_license_scans, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
