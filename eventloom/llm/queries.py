@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, lm, near_dup, packing, pii, quality, tokens
+from . import audio, bpe, language, licenses, lm, near_dup, packing, pii, quality, tokens
 from .common import crc_of_id, documents
 
 
@@ -45,6 +45,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
 
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return audio.find_recordings(audio.rendered(vectors), F.col("rec_id") % 20 == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), 1024, 2)
 
@@ -60,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_language_id, op3_token_counts, op4_lm_scores, op5_near_duplicates, op6_personal_data, op8_best_fit_packing, op9_license_scans, op10_byte_bpe]
+    found = [op1_quality_rules, op2_language_id, op3_token_counts, op4_lm_scores, op5_near_duplicates, op6_personal_data, op7_chroma_fingerprints, op8_best_fit_packing, op9_license_scans, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
