@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text
+from .common import doc_text, materialize
 
 WINDOW = 5
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -105,11 +105,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """Measurements plus ``failures``: one bit per failed rule."""
+    """Measurements plus ``failures``, one bit per failed rule, stored in the shared folder.
+
+    Being stored, it is evaluated once whatever policies, filters and ablations follow.
+    """
     failed = F.lit(0)
     for rule, condition in RULES.items():
         failed = failed.bitwiseOR(F.when(F.expr(condition), F.lit(bit(rule))).otherwise(F.lit(0)))
-    return measure(docs).withColumn("failures", failed)
+    return materialize(measure(docs).withColumn("failures", failed))
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
