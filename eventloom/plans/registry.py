@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from ..operators import reports
+from . import derive, queries_events
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
 
+def flagship(spark, sf_dir: str):
+    """The daily funnel; the smallest tables have few subjects a day, so two suffice here."""
+    return reports.wide_funnel_day(derive.facts(spark, sf_dir), k=2)
 
-def queries():
-    return {}
 
+def queries() -> dict:
+    return {**queries_events.Q}
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return {**queries_events.SQL}
