@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import reports
-from . import derive, queries_events
+from . import derive, queries_events, queries_search
 
 
 def flagship(spark, sf_dir: str):
@@ -12,8 +12,8 @@ def flagship(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    return {**queries_events.Q}
+    return {**queries_events.Q, **queries_search.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**queries_events.SQL}
+    return {**queries_events.SQL, **queries_search.SQL}
