@@ -33,7 +33,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, where: Column | None = Non
     return _top(per_block.select("queryId", "id", "score"), k, [F.desc("score"), F.asc("id")])
 
 
-def ann(items: DataFrame, queries: DataFrame, k: int, num_candidates: int, planes: int = 6, tables: int = 16, seed: int = 17) -> DataFrame:
+def ann(items: DataFrame, queries: DataFrame, k: int, num_candidates: int, planes: int = 4, tables: int = 32, seed: int = 17) -> DataFrame:
     """Approximate top-k: random-hyperplane buckets in several tables, the best candidates re-scored exactly."""
     import numpy as np
 
