@@ -5,9 +5,10 @@
 2. Rows with one fingerprint are one class; only classes go on, so copies cost one row each.
 3. In each band bucket every class is tied to the bucket's least class; the ties are screened
    by signature and confirmed on the full sets; components join what is confirmed.
-4. Pairs of one bucket that are still in different components, and that step 3 did not
-   compare, are compared too, again until nothing new links.  Members already joined are never
-   paired again, so a large group of near copies costs its size, not its square.
+4. Classes of buckets that still hold more than one component may have links that step 3 did
+   not compare.  They are found exactly, without pairing whole buckets: under one order of all
+   shingles, rarest first, linked sets share a shingle early in both, at places that leave
+   room for the overlap (prefix and position filters).  Only pairs across components are made.
 
 A pair at the threshold shares a bucket with probability over 1 - 1e-9 (``ROWS`` = 5,
 ``BANDS`` = 36), and passes the screen as surely; confirmation is exact.
@@ -40,6 +41,8 @@ BROADCAST_IDS = 1_000_000
 SHINGLE = 5
 
 FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary"
+#: Cells of the frequency sketch that orders shingles: its size is fixed by this, not by the data.
+SKETCH = 1 << 20
 #: Sizes of two linked sets differ by this factor at most (exact, in hundredths).
 PERCENT = 85
 
@@ -141,21 +144,76 @@ def _side(df: DataFrame, of: str, columns: list[str]) -> DataFrame:
     return df.select(F.col("fp").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """The pairs ``(u, v)`` of classes that pass the screen and are linked on their full sets."""
     info = classes.select("fp", "rep", "n_shingles", "sig")
     near = pairs.join(_side(info, "u", ["n_shingles", "sig", "rep"]), "u").join(_side(info, "v", ["n_shingles", "sig", "rep"]), "v")
     sizes = F.least("n_shingles_u", "n_shingles_v") * 100 >= F.greatest("n_shingles_u", "n_shingles_v") * PERCENT
     near = materialize(near.where(sizes).where(agreeing("sig_u", "sig_v") >= SCREEN).select("u", "v", "rep_u", "rep_v"))
-    wanted = near.select(F.col("u").alias("fp"), F.col("rep_u").alias("rep")).union(near.select("v", "rep_v")).distinct()
-    wanted = materialize(wanted)
-    if not (n := wanted.count()):
-        return near.select("u", "v")
-    sets = materialize(full_sets(docs, wanted, n))
+    if sets is None:
+        wanted = materialize(near.select(F.col("u").alias("fp"), F.col("rep_u").alias("rep")).union(near.select("v", "rep_v")).distinct())
+        sets = materialize(full_sets(docs, wanted, wanted.count()))
     held = near.select("u", "v").join(_side(sets, "u", ["members"]), "u").join(_side(sets, "v", ["members"]), "v")
     return materialize(held.where(linked("members_u", "members_v")).select("u", "v"))
 
 
+def _cells(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def shingle_sketch(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, _cells(np.frombuffer(x, np.uint64)), 1)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["cell", "n"])
+
+    small_batches(sets.sparkSession)
+    t = sets.select("members").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SKETCH, np.int64)
+    out[t["cell"].to_numpy()] = t["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """``(fp, size, place, shingle)``: the shingles, rarest first, one of which every link must share."""
+    shared = sets.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, size, place, shingle = [], [], [], [np.empty(0, np.uint64)]
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(x, np.uint64)
+                n = len(own)
+                first = own[np.lexsort((own, shared.value[_cells(own)]))][: n - -(-PERCENT * n // 100) + 1]
+                fp += [key] * len(first)
+                size += [n] * len(first)
+                place += range(len(first))
+                shingle.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(place, pa.int64()), pa.array(np.concatenate(shingle).view(np.int64))], ["fp", "size", "place", "shingle"])
+
+    small_batches(sets.sparkSession)
+    return sets.select("fp", "members").mapInArrow(run, "fp binary, size long, place long, shingle long")
+
+
+def across(postings: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` from different roots that share a shingle where the overlap can still suffice."""
+    mixed = postings.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
+    held = materialize(postings.join(mixed, "shingle", "left_semi"))
+    roots = held.select("shingle", "root").distinct()
+    two = roots.withColumnRenamed("root", "root_u").join(roots.withColumnRenamed("root", "root_v"), "shingle").where("root_u < root_v")
+    u = held.select("shingle", F.col("root").alias("root_u"), F.col("fp").alias("fp_u"), F.col("size").alias("size_u"), F.col("place").alias("place_u"))
+    room = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
+    enough = room * (100 + PERCENT) >= (F.col("size_u") + F.col("size_v")) * PERCENT
+    v = held.select(F.col("shingle").alias("s"), F.col("root").alias("r"), F.col("fp").alias("fp_v"), F.col("size").alias("size_v"), F.col("place").alias("place_v"))
+    pairs = two.join(u, ["shingle", "root_u"]).join(v, (F.col("shingle") == F.col("s")) & (F.col("root_v") == F.col("r")) & enough)
+    return pairs.select(F.least("fp_u", "fp_v").alias("u"), F.greatest("fp_u", "fp_v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``."""
     rows = materialize(features(docs))
@@ -165,24 +223,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = classes.select("fp", F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("fp").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     shared = materialize(buckets.join(centres, "key").select("key", "centre", "fp"))
-    tried = materialize(shared.where("fp <> centre").select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct())
-    links = confirmed(tried, classes, docs)
+    ties = shared.where("fp <> centre").select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct()
+    links = confirmed(ties, classes, docs)
     found = components(links)
     root = F.coalesce("root", "fp")
-    while True:
-        placed = shared.join(found, shared["fp"] == found["node"], "left").select("key", "fp", root.alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        placed = materialize(placed.join(split, "key", "left_semi"))
-        p, q = placed.select("key", F.col("fp").alias("u"), F.col("root").alias("root_u")), placed.select("key", F.col("fp").alias("v"), F.col("root").alias("root_v"))
-        rest = p.join(q, "key").where("root_u <> root_v and u < v").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-        rest = materialize(rest)
-        if rest.isEmpty():
-            break
-        new = confirmed(rest, classes, docs)
-        if new.isEmpty():
-            break
-        tried, links = tried.union(rest), links.union(new)
-        found = components(links)
+    placed = shared.join(found, shared["fp"] == found["node"], "left").select("key", "fp", root.alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    open_ = materialize(placed.join(split, "key", "left_semi").select("fp", "root").distinct())
+    if n_open := open_.count():
+        sets = materialize(full_sets(docs, open_.join(classes.select("fp", "rep"), "fp"), n_open))
+        rest = across(prefixes(sets, shingle_sketch(sets)).join(open_, "fp"))
+        new = confirmed(materialize(rest), classes, docs, sets)
+        found = components(links.union(new))
     least = classes.select("fp", "rep").join(found, classes["fp"] == found["node"], "left").select("fp", "rep", root.alias("root"))
     top = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = least.join(top, "root").select("fp", "component_id")
