@@ -204,8 +204,11 @@ def across(postings: DataFrame) -> DataFrame:
     """Pairs ``(u, v)`` from different roots that share a shingle where the overlap can still suffice."""
     mixed = postings.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
     held = materialize(postings.join(mixed, "shingle", "left_semi"))
-    roots = held.select("shingle", "root").distinct()
-    two = roots.withColumnRenamed("root", "root_u").join(roots.withColumnRenamed("root", "root_v"), "shingle").where("root_u < root_v")
+    # what the roots' members could share at most, and at least must: for single members the exact filter
+    roots = held.groupBy("shingle", "root").agg(F.max(F.col("size") - F.col("place")).alias("room"), F.min("size").alias("least"))
+    side = lambda x: roots.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "room", "least")])
+    could = F.least("room_u", "room_v") * (100 + PERCENT) >= (F.col("least_u") + F.col("least_v")) * PERCENT
+    two = side("u").join(side("v"), "shingle").where((F.col("root_u") < F.col("root_v")) & could).select("shingle", "root_u", "root_v")
     u = held.select("shingle", F.col("root").alias("root_u"), F.col("fp").alias("fp_u"), F.col("size").alias("size_u"), F.col("place").alias("place_u"))
     room = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
     enough = room * (100 + PERCENT) >= (F.col("size_u") + F.col("size_v")) * PERCENT
