@@ -241,6 +241,24 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose((10**model.cost).sum(axis=0), 1)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, prose(rng, 40) + f" {rng.random()}") for i in range(1500)], "doc_id long, text string")
+    held = F.col("doc_id") % 6 == 1
+    one, many = ([r["score"] for r in lm.score(docs.repartition(n), held).orderBy("doc_id").collect()] for n in (1, 24))
+    assert np.allclose(one, many, rtol=1e-9, atol=0)
+
+
+def test_lm_learns_weights_and_refinement_from_one_small_block(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(prose(rng, 60), False) for _ in range(200)], "text string, held_out boolean").coalesce(1)
+    code = lm.Code.of({b: 1 + 100 * prose(rng, 200).encode().count(b) for b in range(97, 123)})
+    model = lm.train(docs, code)
+    assert (np.abs(model.weights - 0.3) > 0.01).any(axis=0).sum() >= 10
+    steps = 10 ** model.cost[1].reshape(lm.GATES, lm.STEPS) - lm._SQUASH
+    assert (np.abs(steps) > 0.01).sum() > lm.STEPS
+
+
 def test_base_patterns_match_plain_regexes():
     import re
 
