@@ -1,11 +1,12 @@
 """Personal data: base patterns, and a character BiLSTM-CRF that adds what they can't write.
 
 The patterns (email, ip, card, phone) run over every whole text in linear time.  The tagger
-reads overlapping windows; every stretch of text that holds a digit or an ``@``, or that
-spells an address with "at" and "dot", lies in some window.  (No kind can be written without
-one of these.)  A character's tag comes from the window in whose middle half it stands, so
+reads overlapping windows; every stretch of text that holds a digit or an ``@``, an "at" (in
+brackets or on its own) before a dotted or spelt domain, or an "at" with a "dot" soon after,
+lies in some window.  A character's tag comes from the window in whose middle half it stands, so
 windows are reconciled over the whole text; adjoining tags become spans, which must pass the
-kind's own check (Luhn, number ranges, digit counts) and not touch a base match.
+kind's own check (Luhn, number ranges, digit counts) and not touch a base match.  A base match
+that failed its check bars only itself: a card with a number beside it is still found.
 
 The tagger is trained on a bounded sample (``SAMPLE`` texts) whose labelled spans are the
 base matches, with generated variants set into the same texts; a table without such texts
@@ -44,12 +45,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_CUE = re.compile(r"[0-9@]|\bat\b.{1,60}?\bdot\b", re.S | re.I)
+_DIGIT_RUNS = re.compile(r"[0-9]+")
+#: An "at" in brackets or on its own, before a dotted or spelt domain.
+_AT = r"(?:[\[(]\s*(at)\s*[\])]|\b(at)\b)\s*[a-z0-9-]+\s*(?:\.\s*[a-z0-9-]|[\[(]?\s*dot\b)"
+_CUE = re.compile(r"[0-9@]|" + _AT + r"|\bat\b.{1,60}?\bdot\b", re.S | re.I)
+_AT_SIGN = re.compile(_AT, re.I)
+_SPELT_AT = re.compile(r"(?:@|[\[(]\s*at\s*[\])]|\sat\s)", re.I)
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]+\s*[\[(]?\s*(?:@|at)\s*[\])]?\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[(]?\s*dot\s*[\])]?)\s*[A-Za-z0-9-]+)+", re.I)
 
-#: Character classes of the tagger (fixed values): these signs one by one, others by kind.
+#: Character classes of the tagger (fixed values): these signs one by one, others by kind; an "at" before a domain has its own, and its "dot" is a dot.
 _SIGNS = "@.-+_%()[]/:,;'\"=#&*|<>!?"
-_CLASSES = 8 + len(_SIGNS)
+_CLASSES = 9 + len(_SIGNS)
 
 
 def _class_table() -> np.ndarray:
@@ -74,7 +80,12 @@ _TABLE = _class_table()
 
 def classes_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return _TABLE[np.minimum(points, len(_TABLE) - 1)]
+    out = _TABLE[np.minimum(points, len(_TABLE) - 1)]
+    for m in _AT_SIGN.finditer(text):
+        out[slice(*m.span(m.lastindex))] = _CLASSES - 1
+        if m[0][-3:].lower() == "dot":
+            out[m.end() - 3 : m.end()] = _TABLE[ord(".")]
+    return out
 
 
 def luhn(digits: str) -> bool:
@@ -173,8 +184,23 @@ def tagged_spans(tagger: CharTagger, texts: list[str]) -> list[list[tuple[str, i
     return out
 
 
+def _card_within(s: str) -> tuple[int, int] | None:
+    """The longest run of whole digit groups that passes as a card: a number beside it may be tagged with it."""
+    groups = [m.span() for m in _DIGIT_RUNS.finditer(s)]
+    runs = []
+    for i, (a, _) in enumerate(groups):
+        n = 0
+        for c, b in groups[i:]:
+            n += b - c
+            if n > 19:
+                break
+            if passes("card", s[a:b]):
+                runs.append((n, a, b))
+    return max(runs, key=lambda r: (r[0], -r[1]))[1:] if runs else None
+
+
 def _sound(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None:
-    """The span without blanks around it, if it is whole and passes its kind's check."""
+    """The span without blanks around it, if it is whole and passes its kind's check; of a run of numbers, the card in it."""
     while a < b and text[a].isspace():
         a += 1
     while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:("):
@@ -184,10 +210,12 @@ def _sound(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None:
     if not whole or not s:
         return None
     if kind == "email":
-        ok = _SPELT.fullmatch(s) is not None and ("@" in s or re.search(r"\bdot\b", s, re.I) is not None and re.search(r"[\[(\s]at[\])\s]", s, re.I) is not None)
+        ok = _SPELT.fullmatch(s) is not None and _SPELT_AT.search(s) is not None
     elif kind == "phone":
         ok = passes(kind, s) and re.fullmatch(r"[+(]?[0-9][0-9\x20()./-]+[0-9]", s) is not None and re.search(r"[\x20()./-]", s) is not None
     elif kind == "card":
+        if not passes(kind, s) and (inner := _card_within(s)):
+            s, a, b = s[slice(*inner)], a + inner[0], a + inner[1]
         ok = passes(kind, s) and re.fullmatch(r"[0-9][0-9\x20./-]+[0-9]", s) is not None
     else:
         ok = passes(kind, s) and re.fullmatch(r"[0-9]+(?:\s?[.\[(]+(?:dot)?[\])]?\s?[0-9]+){3}", s) is not None
@@ -195,9 +223,9 @@ def _sound(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None:
 
 
 def _barred(span: tuple[str, int, int], match: tuple[str, int, int, bool]) -> bool:
-    """A base span bars what touches it; a match that failed its check bars the same kind within it."""
+    """A base span bars what touches it; a match that failed its check bars the same span of its kind."""
     (kind, a, b), (k, c, d, ok) = span, match
-    return c < b and a < d if ok else k == kind and c <= a and b <= d
+    return c < b and a < d if ok else (k, c, d) == span
 
 
 def all_spans(texts: list[str], tagger: CharTagger | None) -> list[tuple[list, list]]:
@@ -215,20 +243,20 @@ def _variant(rng: random.Random) -> tuple[str, str | None]:
     """A generated string and the kind of its span; None for one that only looks like it."""
     word = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(n))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    pick = rng.randrange(16)
+    pick = rng.randrange(18)
     if pick < 3:
         return f"{word(rng.randint(3, 9))}{rng.choice(['', '.', '_', num(2)])}{word(3)}@{word(5)}{rng.choice(['', num(1)])}.{rng.choice(['example.com', 'org', 'net'])}", "email"
-    if pick < 5:
-        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", ".")])
-        return f"{word(6)}{at}{word(5)}{dot}{rng.choice(['com', 'org', 'net'])}", "email"
     if pick < 7:
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4)), "ip"
+        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), (" [at] ", "."), ("(at)", "."), (" at ", ".")])
+        return f"{word(6)}{at}{word(5)}{dot}{rng.choice(['com', 'org', 'net'])}", "email"
     if pick < 9:
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4)), "ip"
+    if pick < 11:
         sep = rng.choice(["", " ", "-", "."])
         digits = num(15)
         digits += next(d for d in "0123456789" if luhn(digits + d))
         return sep.join(digits[i : i + 4] for i in range(0, 16, 4)), "card"
-    if pick < 12:
+    if pick < 14:
         a, b, c = num(3), num(3), num(4)
         return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {a} {b}{c}", f"{a}.{b}.{c}", f"0{a}/{b}-{c}"]), "phone"
     return rng.choice([num(2), num(4), f"{num(1)}.{num(1)}", f"{num(3)},{num(3)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"20{num(2)}-0{rng.randint(1, 9)}-1{num(1)}", f"version {num(1)}.{num(1)}.{num(1)}", f"@{word(6)}", num(9)]), None
@@ -257,6 +285,9 @@ def training_windows(texts: list[str], seed: int = 3, plain: int = 1600) -> tupl
         text = _DIGITS.sub("", text[around : around + 2 * WINDOW]).replace("@", "")
         made, kind = _variant(rng)
         cut = text.find(" ", rng.randrange(max(1, len(text)))) + 1
+        if kind == "card" and rng.random() < 0.4:  # a number beside it is not part of it
+            beside = f"{rng.randrange(10, 10000)} "
+            text, cut = text[:cut] + beside + text[cut:], cut + len(beside)
         add(text[:cut] + made + " " + text[cut:], [(kind, cut, cut + len(made))] if kind else [], cut)
     return np.stack(xs), np.stack(ys)
 

@@ -290,6 +290,37 @@ def test_pii_finds_base_and_added_spans(spark, odd, empty):
     assert pii.detect(empty, tagger).count() == 0
 
 
+def planted_variants() -> dict[str, list[tuple[str, str]]]:
+    """By kind, ``(what is planted, the span in it)``."""
+    rng = random.Random(21)
+    name = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(4, 8)))
+    out: dict[str, list[tuple[str, str]]] = {f"email {x}": [] for x in ("(at) .", "[at] .", "at .", "at dot")} | {"card after": [], "card grouped": [], "phone": []}
+    for _ in range(40):
+        for form, at, dot in (("(at) .", " (at) ", "."), ("[at] .", " [at] ", "."), ("at .", " at ", "."), ("at dot", " at ", " dot ")):
+            mail = f"{name()}{at}{name()}{dot}{rng.choice(['com', 'org', 'net'])}"
+            out[f"email {form}"].append((mail, mail))
+        digits = "".join(rng.choice("0123456789") for _ in range(15))
+        digits += next(d for d in "0123456789" if pii.luhn(digits + d))
+        out["card after"].append((f"{rng.randrange(10, 10000)} {digits}", digits))
+        grouped = " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+        out["card grouped"].append((f"{rng.randrange(10, 10000)} {grouped}", grouped))
+        phone = f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        out["phone"].append((phone, phone))
+    return out
+
+
+def test_pii_recall_of_planted_variants():
+    rng = random.Random(22)
+    tagger = pii.CharTagger(pii._CLASSES, 9).fit(*pii.training_windows([prose(rng, 60) for _ in range(50)]), pii.EPOCHS)
+    for form, planted in planted_variants().items():
+        texts = [f"{prose(rng, 20)} {made} {prose(rng, 20)}" for made, _ in planted]
+        found = 0
+        for text, (_, want), (base, more) in zip(texts, planted, pii.all_spans(texts, tagger)):
+            found += want in [text[a:b] for k, a, b in base + more if form.startswith(k)]
+        assert found >= 0.8 * len(planted), (form, found)
+    assert pii.all_spans(["meet me at the mill. then we look at old boats."], tagger)[0][1] == []
+
+
 def test_tagger_gradients():
     rng = np.random.default_rng(0)
     tagger = pii.CharTagger(5, 3, 4, 3)
