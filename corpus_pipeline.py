@@ -17,6 +17,8 @@ from eventloom.llm.queries import tokenizer_file
 
 #: Below this share of its best language a text counts as in none.
 LEAST_SCORE = 0.25
+#: Hundredths of their five-word shingles that near duplicates share.
+SIMILAR = 80
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,7 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id, once."""
-    return _only(docs, near_dup.near_duplicates(docs).where("kept")).dropDuplicates(["doc_id", "text"])
+    return _only(docs, near_dup.near_duplicates(docs, SIMILAR).where("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

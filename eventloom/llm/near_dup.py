@@ -10,8 +10,9 @@
    shingles, rarest first, linked sets share a shingle early in both, at places that leave
    room for the overlap (prefix and position filters).  Only pairs across components are made.
 
-A pair at the threshold shares a bucket with probability over 1 - 1e-9 (``ROWS`` = 5,
-``BANDS`` = 36), and passes the screen as surely; confirmation is exact.
+The threshold is an argument, in hundredths; bands, screen, prefixes and position filters
+follow from it.  A pair at the threshold shares a bucket with probability over 1 - 1e-9
+(``ROWS`` = 5; 36 bands for 85, 53 for 80), and passes the screen as surely; confirmation is exact.
 
 Null and blank texts have no shingles: they link with nothing.  A text of fewer than five
 words is one shingle, the whole sequence.  Rows repeated or with one id twice are handled by
@@ -21,6 +22,7 @@ their sets; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,11 @@ from pyspark.sql.types import BooleanType, IntegerType
 from .common import WordHashes, bounded_broadcast, doc_text, gram_hashes, materialize, mix64, small_batches
 from .components import components
 
-ROWS, BANDS = 5, 36
-#: Minima that must agree of ROWS * BANDS for a pair to be confirmed: 5.6 deviations below 0.85.
-SCREEN = 126
+ROWS = 5
+#: Probability that a pair at the threshold shares no bucket, at most.
+MISSED = 1e-9
+#: Deviations below the threshold at which the screen stands.
+DEVIATIONS = 5.6
 #: Ids that a broadcast semi-join may hold (8 bytes each); beyond it a shuffle join runs.
 BROADCAST_IDS = 1_000_000
 SHINGLE = 5
@@ -43,10 +47,21 @@ SHINGLE = 5
 FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary"
 #: Cells of the frequency sketch that orders shingles: its size is fixed by this, not by the data.
 SKETCH = 1 << 20
-#: Sizes of two linked sets differ by this factor at most (exact, in hundredths).
+#: The default threshold (exact, in hundredths); sizes of two linked sets differ by this factor at most.
 PERCENT = 85
 
 
+def bands_for(percent: int) -> int:
+    """Bands that a pair at the threshold needs to share a bucket."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+def screen_for(percent: int) -> int:
+    """Minima that must agree, of all, for a pair to be confirmed."""
+    n, p = ROWS * bands_for(percent), percent / 100
+    return math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the text's five-word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -59,15 +74,15 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 class MinHash:
-    """``ROWS * BANDS`` minima of 32-bit universal hashes, and keys of their bands."""
+    """``ROWS`` minima a band of 32-bit universal hashes, and keys of their bands."""
 
-    def __init__(self) -> None:
+    def __init__(self, bands: int) -> None:
         rng = np.random.default_rng(20240229)
-        n = ROWS * BANDS
+        n = ROWS * bands
         self.a = (rng.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.b = rng.integers(0, 2**32, n, np.uint32)[:, None]
         self.place = rng.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.band = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def minima(self, shingles: np.ndarray, block: int = 128) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -77,15 +92,15 @@ class MinHash:
         return low
 
     def keys(self, low: np.ndarray) -> np.ndarray:
-        by_band = low.reshape(BANDS, ROWS).astype(np.uint64)
+        by_band = low.reshape(-1, ROWS).astype(np.uint64)
         return mix64((mix64(by_band) * self.place).sum(axis=1) + self.band).view(np.int64)
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: set size, fingerprint, band keys and the minima's low bytes (null keys for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minhash = WordHashes(), MinHash()
+        hashes, minhash = WordHashes(), MinHash(bands_for(percent))
         for batch in batches:
             n, fp, bands, sig = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -128,33 +143,36 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf(BooleanType())
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def linked(percent: int):
     """Whether two full sets overlap by the threshold: exact integers."""
 
     def one(x: bytes, y: bytes) -> bool:
         s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(s, t, assume_unique=True))
-        return 100 * both >= PERCENT * (len(s) + len(t) - both)
+        return 100 * both >= percent * (len(s) + len(t) - both)
+
+    @F.pandas_udf(BooleanType())
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+    return of
 
 
 def _side(df: DataFrame, of: str, columns: list[str]) -> DataFrame:
     return df.select(F.col("fp").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """The pairs ``(u, v)`` of classes that pass the screen and are linked on their full sets."""
     info = classes.select("fp", "rep", "n_shingles", "sig")
     near = pairs.join(_side(info, "u", ["n_shingles", "sig", "rep"]), "u").join(_side(info, "v", ["n_shingles", "sig", "rep"]), "v")
-    sizes = F.least("n_shingles_u", "n_shingles_v") * 100 >= F.greatest("n_shingles_u", "n_shingles_v") * PERCENT
-    near = materialize(near.where(sizes).where(agreeing("sig_u", "sig_v") >= SCREEN).select("u", "v", "rep_u", "rep_v"))
+    sizes = F.least("n_shingles_u", "n_shingles_v") * 100 >= F.greatest("n_shingles_u", "n_shingles_v") * percent
+    near = materialize(near.where(sizes).where(agreeing("sig_u", "sig_v") >= screen_for(percent)).select("u", "v", "rep_u", "rep_v"))
     if sets is None:
         wanted = materialize(near.select(F.col("u").alias("fp"), F.col("rep_u").alias("rep")).union(near.select("v", "rep_v")).distinct())
         sets = materialize(full_sets(docs, wanted, wanted.count()))
     held = near.select("u", "v").join(_side(sets, "u", ["members"]), "u").join(_side(sets, "v", ["members"]), "v")
-    return materialize(held.where(linked("members_u", "members_v")).select("u", "v"))
+    return materialize(held.where(linked(percent)("members_u", "members_v")).select("u", "v"))
 
 
 def _cells(x: np.ndarray) -> np.ndarray:
@@ -179,7 +197,7 @@ def shingle_sketch(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
+def prefixes(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """``(fp, size, place, shingle)``: the shingles, rarest first, one of which every link must share."""
     shared = sets.sparkSession.sparkContext.broadcast(sketch)
 
@@ -189,7 +207,7 @@ def prefixes(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(x, np.uint64)
                 n = len(own)
-                first = own[np.lexsort((own, shared.value[_cells(own)]))][: n - -(-PERCENT * n // 100) + 1]
+                first = own[np.lexsort((own, shared.value[_cells(own)]))][: n - -(-percent * n // 100) + 1]
                 fp += [key] * len(first)
                 size += [n] * len(first)
                 place += range(len(first))
@@ -200,26 +218,26 @@ def prefixes(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
     return sets.select("fp", "members").mapInArrow(run, "fp binary, size long, place long, shingle long")
 
 
-def across(postings: DataFrame) -> DataFrame:
+def across(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(u, v)`` from different roots that share a shingle where the overlap can still suffice."""
     mixed = postings.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
     held = materialize(postings.join(mixed, "shingle", "left_semi"))
     # what the roots' members could share at most, and at least must: for single members the exact filter
     roots = held.groupBy("shingle", "root").agg(F.max(F.col("size") - F.col("place")).alias("room"), F.min("size").alias("least"))
     side = lambda x: roots.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "room", "least")])
-    could = F.least("room_u", "room_v") * (100 + PERCENT) >= (F.col("least_u") + F.col("least_v")) * PERCENT
+    could = F.least("room_u", "room_v") * (100 + percent) >= (F.col("least_u") + F.col("least_v")) * percent
     two = side("u").join(side("v"), "shingle").where((F.col("root_u") < F.col("root_v")) & could).select("shingle", "root_u", "root_v")
     u = held.select("shingle", F.col("root").alias("root_u"), F.col("fp").alias("fp_u"), F.col("size").alias("size_u"), F.col("place").alias("place_u"))
     room = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
-    enough = room * (100 + PERCENT) >= (F.col("size_u") + F.col("size_v")) * PERCENT
+    enough = room * (100 + percent) >= (F.col("size_u") + F.col("size_v")) * percent
     v = held.select(F.col("shingle").alias("s"), F.col("root").alias("r"), F.col("fp").alias("fp_v"), F.col("size").alias("size_v"), F.col("place").alias("place_v"))
     pairs = two.join(u, ["shingle", "root_u"]).join(v, (F.col("shingle") == F.col("s")) & (F.col("root_v") == F.col("r")) & enough)
     return pairs.select(F.least("fp_u", "fp_v").alias("u"), F.greatest("fp_u", "fp_v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``."""
-    rows = materialize(features(docs))
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``, linked from ``percent`` hundredths on."""
+    rows = materialize(features(docs, percent))
     classes = materialize(
         rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
@@ -227,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = buckets.groupBy("key").agg(F.min("fp").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     shared = materialize(buckets.join(centres, "key").select("key", "centre", "fp"))
     ties = shared.where("fp <> centre").select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct()
-    links = confirmed(ties, classes, docs)
+    links = confirmed(ties, classes, docs, percent)
     found = components(links)
     root = F.coalesce("root", "fp")
     placed = shared.join(found, shared["fp"] == found["node"], "left").select("key", "fp", root.alias("root"))
@@ -235,8 +253,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = materialize(placed.join(split, "key", "left_semi").select("fp", "root").distinct())
     if n_open := open_.count():
         sets = materialize(full_sets(docs, open_.join(classes.select("fp", "rep"), "fp"), n_open))
-        rest = across(prefixes(sets, shingle_sketch(sets)).join(open_, "fp"))
-        new = confirmed(materialize(rest), classes, docs, sets)
+        rest = across(prefixes(sets, shingle_sketch(sets), percent).join(open_, "fp"), percent)
+        new = confirmed(materialize(rest), classes, docs, percent, sets)
         found = components(links.union(new))
     least = classes.select("fp", "rep").join(found, classes["fp"] == found["node"], "left").select("fp", "rep", root.alias("root"))
     top = least.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -38,7 +38,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir))
+    return near_dup.near_duplicates(documents(spark, sf_dir), 85)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

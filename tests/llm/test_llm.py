@@ -158,6 +158,22 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicate_stage_links_from_80_on(spark):
+    """Pairs of 100 shingles of which 90 are shared (similarity 90 / 110), others at 88 / 112: under 0.80."""
+    import corpus_pipeline
+
+    def pair(k: int, changed: int) -> list[str]:
+        words = [f"w{k}x{i}" for i in range(104)]
+        return [" ".join(words), " ".join(words[:-changed] + [f"v{k}x{i}" for i in range(changed)])]
+
+    texts = [t for k in range(40) for t in pair(k, 10 if k % 2 == 0 else 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i in range(80) if i % 4 != 1}
+    assert near_dup.near_duplicates(docs).where("kept").count() == 80
+    assert near_dup.bands_for(85) == 36 and near_dup.screen_for(85) == 126
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = near_dup.near_duplicates(odd).collect()
     assert len(rows) == len(odd_rows())
