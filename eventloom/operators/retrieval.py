@@ -33,8 +33,8 @@ def knn(items: DataFrame, queries: DataFrame, k: int, where: Column | None = Non
     return _top(per_block.select("queryId", "id", "score"), k, [F.desc("score"), F.asc("id")])
 
 
-def ann(items: DataFrame, queries: DataFrame, k: int, num_candidates: int, planes: int = 4, tables: int = 32, seed: int = 17) -> DataFrame:
-    """Approximate top-k: random-hyperplane buckets in several tables, the best candidates re-scored exactly."""
+def ann(items: DataFrame, queries: DataFrame, k: int, planes: int = 4, tables: int = 32, seed: int = 17) -> DataFrame:
+    """Approximate top-k: random-hyperplane buckets in several tables; all that share one are re-scored exactly."""
     import numpy as np
 
     size = items.select(F.max(F.size("embedding"))).first()[0] or 1
@@ -50,8 +50,7 @@ def ann(items: DataFrame, queries: DataFrame, k: int, num_candidates: int, plane
 
     left = items.select("id", "embedding", F.explode(keys(F.col("embedding"))).alias("bucket"))
     right = queries.select("queryId", "queryVector", F.explode(keys(F.col("queryVector"))).alias("bucket"))
-    votes = left.select("id", "bucket").join(right.select("queryId", "bucket"), "bucket").groupBy("queryId", "id").agg(F.count("*").alias("votes"))
-    some = _top(votes, num_candidates, [F.desc("votes"), F.asc("id")]).select("queryId", "id")
+    some = left.select("id", "bucket").join(right.select("queryId", "bucket"), "bucket").select("queryId", "id").distinct()
     scored = some.join(items.select("id", "embedding"), "id").join(queries.select("queryId", "queryVector"), "queryId")
     return _top(scored.select("queryId", "id", cosine(F.col("embedding"), F.col("queryVector")).alias("score")).where("score is not null"), k, [F.desc("score"), F.asc("id")])
 

@@ -57,3 +57,8 @@ def test_flagship(spark):
 def test_approximate_neighbours_reach_their_recall(spark):
     recall = [r["recall"] for r in registry.queries()["v17_ann_fidelity"](spark, SF).collect()]
     assert sum(recall) / len(recall) >= 0.9, recall
+
+
+def test_approximate_search_recall_on_the_largest_table(spark):
+    recall = [r["recall"] for r in registry.queries()["v17_ann_fidelity"](spark, "/root/testdata/sf0.1").collect()]
+    assert len(recall) == 100 and sum(recall) / len(recall) >= 0.9 and min(recall) >= 0.7, (sum(recall) / len(recall), min(recall))
