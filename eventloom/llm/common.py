@@ -34,11 +34,14 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; where none is set (tests on one
-    machine) a temporary one is taken and set.
+    The folder is the session's ``spark.checkpoint.dir``.  Where none is set, a session of one
+    machine takes a temporary one and sets it; on a cluster that is an error, since executors
+    would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
@@ -54,6 +57,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Named steps in the shared folder; a step that has been replaced or used up is deleted there."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Store ``df`` under ``name`` and read it again; the former step of that name goes."""
+        path = shared_folder(self.spark)
+        df.write.parquet(path)
+        if name in self.paths:
+            self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete steps that no later plan reads."""
+        for name in names:
+            if path := self.paths.pop(name, None):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast ``df`` only where its counted ``rows`` stay within ``most``; else leave it to a shuffle join."""
     return F.broadcast(df) if rows <= most else df

@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import small_batches
 
@@ -167,13 +169,18 @@ def fit(labelled: DataFrame) -> ByteConvNet | None:
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None, *carried: str) -> DataFrame:
-    """``(doc_id, *carried, lang_pred, score)`` of every row's whole text; only ``text`` decides."""
+    """``(*carried, lang_pred, score)`` of every row's whole text; only ``text`` decides.
+
+    ``text`` is a column, or else a field of a carried struct ``row``.
+    """
     model = docs.sparkSession.sparkContext.broadcast(net)
+    within = "text" not in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            last = batch.column(batch.num_columns - 1)
+            texts = [None if t is None else str(t) for t in (pc.struct_field(last, "text") if within else last).to_pylist()]
             some = [net is not None and bool(t) and _LETTER.search(t) is not None for t in texts]
             cut = [windows(t) for t, ok in zip(texts, some) if ok]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -185,18 +192,22 @@ def predict(docs: DataFrame, net: ByteConvNet | None, *carried: str) -> DataFram
                 best = p.argmax(axis=1)
                 for i, b, q in zip([i for i, ok in enumerate(some) if ok], best, p):
                     lang[i], score[i] = net.labels[b], float(min(1.0, q[b]))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = [*batch.schema.names[:-1], "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
+            kept = [batch.column(i) for i in range(len(carried))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*carried, "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
-    given = docs.select("doc_id", *carried, docs["text"].cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
-    return given.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    given = docs.select(*carried, *([] if within else [docs["text"].cast("string").alias("text")]))
+    schema = StructType([*given.schema.fields[: len(carried)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return given.mapInArrow(run, schema)
+
 
+def identify(docs: DataFrame, held_out, carry: bool = False) -> DataFrame:
+    """``(doc_id, held_out, lang_pred, score)``: learn where ``held_out`` is false, predict everywhere.
 
-def identify(docs: DataFrame, held_out) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)``: learn where ``held_out`` is false, predict everywhere."""
+    With ``carry`` the result is ``(held_out, row, lang_pred, score)``, each document as a struct.
+    """
     marked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), held_out.alias("held_out"))
     net = fit(marked.where("not held_out").select("doc_id", "text", "lang"))
-    return predict(marked, net, "held_out")
+    if carry:
+        return predict(docs.select(held_out.alias("held_out"), F.struct(docs["*"]).alias("row")), net, "held_out", "row")
+    return predict(marked, net, "doc_id", "held_out")

@@ -3,20 +3,24 @@
 1. Every whole text becomes the set of its five-word shingles (64-bit hashes), a fingerprint
    of that set, many universal-hash minima and, from them, band keys.
 2. Rows with one fingerprint are one class; only classes go on, so copies cost one row each.
-3. In each band bucket every class is tied to the bucket's least class; the ties are screened
-   by signature and confirmed on the full sets; components join what is confirmed.
-4. Classes of buckets that still hold more than one component may have links that step 3 did
-   not compare.  They are found exactly, without pairing whole buckets: under one order of all
-   shingles, rarest first, linked sets share a shingle early in both, at places that leave
-   room for the overlap (prefix and position filters).  Only pairs across components are made.
-
-The threshold is an argument, in hundredths; bands, screen, prefixes and position filters
+3. In each band bucket every class is tied to the bucket's two centres, its least and its
+   greatest class, so one odd centre does not keep a family apart; the ties are screened by
+   signature and confirmed on the full sets; components join what is confirmed.
+4. Whatever links remain are found exactly, without pairing buckets.  Two members of a bucket
+   differ by the symmetric difference of their differences from its least class.  If they are
+   linked but not through that one, those differences must overlap, by a number that
+   follows from their sizes.  Differences are short, and what is a document's own stands first
+   in them (rarest first), so a join of their beginnings with a position filter leaves few
+   pairs.  Only pairs across components are made, and all of them are confirmed.
+
+The threshold is an argument, in hundredths; bands, screen, beginnings and position filters
 follow from it.  A pair at the threshold shares a bucket with probability over 1 - 1e-9
 (``ROWS`` = 5; 36 bands for 85, 53 for 80), and passes the screen as surely; confirmation is exact.
 
 Null and blank texts have no shingles: they link with nothing.  A text of fewer than five
 words is one shingle, the whole sequence.  Rows repeated or with one id twice are handled by
-their sets; extra columns are ignored; an empty table gives an empty result.
+their sets; a row without an id is kept; extra columns are ignored; an empty table gives an
+empty result.  A very long text costs memory in proportion to its own length alone.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType
 
-from .common import WordHashes, bounded_broadcast, doc_text, gram_hashes, materialize, mix64, small_batches
+from .common import Scratch, WordHashes, bounded_broadcast, doc_text, gram_hashes, mix64, small_batches
 from .components import components
 
 ROWS = 5
@@ -44,8 +48,8 @@ DEVIATIONS = 5.6
 BROADCAST_IDS = 1_000_000
 SHINGLE = 5
 
-FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary"
-#: Cells of the frequency sketch that orders shingles: its size is fixed by this, not by the data.
+FEATURES = "doc_id long, text_key long, n_shingles long, fp binary, bands array<long>, sig binary"
+#: Cells of the frequency sketch that orders differences: its size is fixed by this, not by the data.
 SKETCH = 1 << 20
 #: The default threshold (exact, in hundredths); sizes of two linked sets differ by this factor at most.
 PERCENT = 85
@@ -113,14 +117,14 @@ def features(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 low = minhash.minima(s)
                 bands.append(minhash.keys(low))
                 sig.append(low.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "text_key", "n_shingles", "fp", "bands", "sig"])
 
     small_batches(docs.sparkSession)
-    return doc_text(docs).mapInArrow(run, FEATURES)
+    return doc_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, FEATURES)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """``(fp, members)``: the full shingle sets of the wanted classes ``(fp, rep)``, made from whole texts."""
+    """``(cid, members)``: the full shingle sets of the wanted classes ``(cid, fp, rep)``, made from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -133,8 +137,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     ids = wanted.select(F.col("rep").alias("want")).distinct()
     texts = doc_text(docs).join(bounded_broadcast(ids, n_wanted, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
     made = texts.mapInArrow(run, "fp binary, members binary")
-    keys = bounded_broadcast(wanted.select("fp"), n_wanted, BROADCAST_IDS // 2)
-    return made.join(keys, "fp", "left_semi").groupBy("fp").agg(F.first("members").alias("members"))
+    keys = bounded_broadcast(wanted.select("fp", "cid"), n_wanted, BROADCAST_IDS // 2)
+    return made.join(keys, "fp").groupBy("cid").agg(F.first("members").alias("members"))
 
 
 @F.pandas_udf(IntegerType())
@@ -158,107 +162,199 @@ def linked(percent: int):
     return of
 
 
-def _side(df: DataFrame, of: str, columns: list[str]) -> DataFrame:
-    return df.select(F.col("fp").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
+def _side(df: DataFrame, of: str, *columns: str) -> DataFrame:
+    return df.select(F.col("cid").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
-    """The pairs ``(u, v)`` of classes that pass the screen and are linked on their full sets."""
-    info = classes.select("fp", "rep", "n_shingles", "sig")
-    near = pairs.join(_side(info, "u", ["n_shingles", "sig", "rep"]), "u").join(_side(info, "v", ["n_shingles", "sig", "rep"]), "v")
+def screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(u, v)`` of classes whose sizes and signatures allow a link."""
+    near = pairs.join(_side(classes, "u", "n_shingles", "sig"), "u").join(_side(classes, "v", "n_shingles", "sig"), "v")
     sizes = F.least("n_shingles_u", "n_shingles_v") * 100 >= F.greatest("n_shingles_u", "n_shingles_v") * percent
-    near = materialize(near.where(sizes).where(agreeing("sig_u", "sig_v") >= screen_for(percent)).select("u", "v", "rep_u", "rep_v"))
-    if sets is None:
-        wanted = materialize(near.select(F.col("u").alias("fp"), F.col("rep_u").alias("rep")).union(near.select("v", "rep_v")).distinct())
-        sets = materialize(full_sets(docs, wanted, wanted.count()))
-    held = near.select("u", "v").join(_side(sets, "u", ["members"]), "u").join(_side(sets, "v", ["members"]), "v")
-    return materialize(held.where(linked(percent)("members_u", "members_v")).select("u", "v"))
+    return near.where(sizes).where(agreeing("sig_u", "sig_v") >= screen_for(percent)).select("u", "v")
 
 
-def _cells(x: np.ndarray) -> np.ndarray:
-    return (x & np.uint64(SKETCH - 1)).astype(np.int64)
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(u, v)`` that are linked on their full sets."""
+    held = pairs.join(_side(sets, "u", "members"), "u").join(_side(sets, "v", "members"), "v")
+    return held.where(linked(percent)("members_u", "members_v")).select("u", "v")
 
 
-def shingle_sketch(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle of each cell."""
+@F.pandas_udf(BinaryType())
+def differing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The shingles that only one of two sets holds."""
+    return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(a, b)], dtype=object)
+
+
+def _cells(centre: int, x: np.ndarray) -> np.ndarray:
+    return (mix64(x + np.uint64(centre)) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def difference_sketch(parted: DataFrame) -> np.ndarray:
+    """How many differences ``(centre, apart)`` hold a shingle of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                np.add.at(total, _cells(np.frombuffer(x, np.uint64)), 1)
+            for centre, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                np.add.at(total, _cells(centre, np.frombuffer(x, np.uint64)), 1)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["cell", "n"])
 
-    small_batches(sets.sparkSession)
-    t = sets.select("members").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    small_batches(parted.sparkSession)
+    t = parted.select("centre", "apart").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[t["cell"].to_numpy()] = t["n"].to_numpy()
     return out
 
 
-def prefixes(sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """``(fp, size, place, shingle)``: the shingles, rarest first, one of which every link must share."""
-    shared = sets.sparkSession.sparkContext.broadcast(sketch)
+POSTINGS = "centre long, shingle long, cid long, root long, centre_root long, size long, n_apart long, place long"
+
+
+def beginnings(parted: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """Each difference's first shingles, rarest first, with their places.
+
+    A document of ``size`` shingles is linked with none that differs from it in more than
+    ``size * (100 - percent) / percent`` of them, so one more than that is enough.  Shingles
+    that no other difference of the centre holds keep their places but are not handed on.
+    """
+    shared = parted.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, size, place, shingle = [], [], [], [np.empty(0, np.uint64)]
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            of, size, apart, place, shingle = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            centres, sizes, differences = (batch.column(i).to_pylist() for i in (0, 4, 5))
+            for i, (centre, n, x) in enumerate(zip(centres, sizes, differences)):
                 own = np.frombuffer(x, np.uint64)
-                n = len(own)
-                first = own[np.lexsort((own, shared.value[_cells(own)]))][: n - -(-percent * n // 100) + 1]
-                fp += [key] * len(first)
-                size += [n] * len(first)
-                place += range(len(first))
-                shingle.append(first)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(place, pa.int64()), pa.array(np.concatenate(shingle).view(np.int64))], ["fp", "size", "place", "shingle"])
-
-    small_batches(sets.sparkSession)
-    return sets.select("fp", "members").mapInArrow(run, "fp binary, size long, place long, shingle long")
+                held = shared.value[_cells(centre, own)]
+                order = np.lexsort((own, held))[: n * (100 - percent) // percent + 1]
+                there = np.flatnonzero(held[order] > 1)
+                of += [i] * len(there)
+                size += [n] * len(there)
+                apart += [len(own)] * len(there)
+                place.append(there)
+                shingle.append(own[order[there]])
+            rows = batch.take(pa.array(of, pa.int32()))
+            columns = [rows.column(0), pa.array(np.concatenate(shingle).view(np.int64)), *[rows.column(i) for i in (1, 2, 3)], pa.array(size, pa.int64()), pa.array(apart, pa.int64()), pa.array(np.concatenate(place))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POSTINGS.split(", ")])
+
+    small_batches(parted.sparkSession)
+    return parted.select("centre", "cid", "root", "centre_root", "n_shingles", "apart").mapInArrow(run, POSTINGS)
 
 
 def across(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(u, v)`` from different roots that share a shingle where the overlap can still suffice."""
-    mixed = postings.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
-    held = materialize(postings.join(mixed, "shingle", "left_semi"))
-    # what the roots' members could share at most, and at least must: for single members the exact filter
-    roots = held.groupBy("shingle", "root").agg(F.max(F.col("size") - F.col("place")).alias("room"), F.min("size").alias("least"))
-    side = lambda x: roots.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "room", "least")])
-    could = F.least("room_u", "room_v") * (100 + percent) >= (F.col("least_u") + F.col("least_v")) * percent
-    two = side("u").join(side("v"), "shingle").where((F.col("root_u") < F.col("root_v")) & could).select("shingle", "root_u", "root_v")
-    u = held.select("shingle", F.col("root").alias("root_u"), F.col("fp").alias("fp_u"), F.col("size").alias("size_u"), F.col("place").alias("place_u"))
-    room = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
-    enough = room * (100 + percent) >= (F.col("size_u") + F.col("size_v")) * percent
-    v = held.select(F.col("shingle").alias("s"), F.col("root").alias("r"), F.col("fp").alias("fp_v"), F.col("size").alias("size_v"), F.col("place").alias("place_v"))
-    pairs = two.join(u, ["shingle", "root_u"]).join(v, (F.col("shingle") == F.col("s")) & (F.col("root_v") == F.col("r")) & enough)
-    return pairs.select(F.least("fp_u", "fp_v").alias("u"), F.greatest("fp_u", "fp_v").alias("v")).distinct()
+    """Pairs ``(u, v)`` of one centre from different roots whose differences can still overlap enough."""
+    by = ["centre", "shingle"]
+    several = postings.groupBy(*by).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.col("centre").alias("c"), F.col("shingle").alias("s"))
+    held = postings.join(several, (F.col("centre") == F.col("c")) & (F.col("shingle") == F.col("s")), "left_semi")
+    u, v = (held.select(*by, *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "root", "centre_root", "size", "n_apart", "place")]) for x in "uv")
+    # one of the two lies outside the centre's component; two such pair in one order
+    u = u.where("root_u <> centre_root_u")
+    other = (F.col("root_u") != F.col("root_v")) & ((F.col("root_v") == F.col("centre_root_v")) | (F.col("cid_u") < F.col("cid_v")))
+    room = F.least(F.col("n_apart_u") - F.col("place_u"), F.col("n_apart_v") - F.col("place_v"))
+    enough = (F.col("n_apart_u") + F.col("n_apart_v") - 2 * room) * (100 + percent) <= (F.col("size_u") + F.col("size_v")) * (100 - percent)
+    v = v.select(F.col("centre").alias("c"), F.col("shingle").alias("s"), "cid_v", "root_v", "centre_root_v", "size_v", "n_apart_v", "place_v")
+    pairs = u.join(v, (F.col("centre") == F.col("c")) & (F.col("shingle") == F.col("s")) & other & enough)
+    return pairs.select(F.least("cid_u", "cid_v").alias("u"), F.greatest("cid_u", "cid_v").alias("v")).distinct()
+
+
+class Linking:
+    """The ties to centres (step 3) and the exact rest (step 4) over one table's classes."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int) -> None:
+        self.docs, self.classes, self.percent = docs, classes, percent
+        self.steps = Scratch(docs.sparkSession)
+        buckets = classes.select("cid", F.explode("bands").alias("key"))
+        centres = buckets.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("other")).where("centre < other")
+        self.shared = self.steps.put("shared", buckets.join(centres, "key").select("key", "centre", "other", "cid"))
+
+    def sets_of(self, cids: DataFrame) -> DataFrame:
+        wanted = self.steps.put("wanted", self.classes.select("cid", "fp", "rep").join(cids.select("cid").distinct(), "cid", "left_semi"))
+        return self.steps.put("sets", full_sets(self.docs, wanted, wanted.count()))
+
+    def first_links(self) -> DataFrame:
+        """Links with the buckets' least and greatest classes."""
+        ends = F.explode(F.array(F.struct(F.col("centre").alias("u"), F.col("cid").alias("v")), F.struct(F.col("cid").alias("u"), F.col("other").alias("v"))))
+        ties = self.shared.select(ends.alias("tie")).select("tie.*").where("u <> v").distinct()
+        near = self.steps.put("near", screened(ties, self.classes, self.percent))
+        sets = self.sets_of(near.select(F.col("u").alias("cid")).union(near.select("v")))
+        links = self.steps.put("links", confirmed(near, sets, self.percent))
+        self.steps.drop("near", "sets", "wanted")
+        return links
+
+    def placed(self, found: DataFrame) -> DataFrame:
+        """Members, other than the centre, of buckets where those lie in several components; with roots."""
+        member = found.select(F.col("node").alias("cid"), "root")
+        middle = found.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
+        rows = self.shared.where("cid <> centre").join(member, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        split = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        rows = rows.join(split, "key", "left_semi").join(middle, "centre", "left")
+        return self.steps.put("open", rows.select("key", "centre", "cid", "root", F.coalesce("centre_root", "centre").alias("centre_root")))
+
+    def links(self) -> DataFrame:
+        """All links that tie components together, as ``(node, root)``."""
+        links = self.first_links()
+        found = components(links)
+        rows = self.placed(found)
+        rest = self.rest(rows) if rows.take(1) else None
+        if rest is not None:
+            found = components(links.union(rest))
+        self.steps.drop(*list(self.steps.paths))
+        return found
+
+    def rest(self, rows: DataFrame) -> DataFrame | None:
+        """Links that no tie to a centre showed."""
+        sets = self.sets_of(rows.select("cid").union(rows.select("centre")))
+        ties = rows.select("centre", "cid", "root", "centre_root").distinct()
+        parted = ties.join(sets.select(F.col("cid").alias("centre"), F.col("members").alias("middle")), "centre").join(sets, "cid").join(self.classes.select("cid", "n_shingles"), "cid")
+        parted = self.steps.put("parted", parted.select("centre", "cid", "root", "centre_root", "n_shingles", differing("members", "middle").alias("apart")))
+        postings = self.steps.put("postings", beginnings(parted, difference_sketch(parted), self.percent))
+        pairs = self.steps.put("pairs", across(postings, self.percent))
+        near = self.steps.put("near", screened(pairs, self.classes, self.percent))
+        new = self.steps.put("new", confirmed(near, sets, self.percent))
+        return new if new.take(1) else None
+
+
+def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, root, component_id)`` per row; rows of one group share a root."""
+    steps = Scratch(docs.sparkSession)
+    whole = steps.put("features", features(docs, percent))
+    first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")]
+    by_set = whole.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *first)
+    classes = steps.put("classes", by_set.withColumn("cid", F.monotonically_increasing_id()))
+    rows = steps.put("rows", whole.select("doc_id", "text_key", "n_shingles", "fp"))
+    steps.drop("features")
+    found = Linking(docs, classes, percent).links()
+    least = classes.select("fp", "cid", "rep").join(found, F.col("cid") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "cid").alias("root"))
+    top = least.groupBy("root").agg(F.min("rep").alias("component_id"))
+    label = steps.put("labels", least.join(top, "root").select("fp", "root", "component_id"))
+    steps.drop("classes")
+    out = rows.join(label, "fp", "left")
+    return out.select("doc_id", "text_key", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs``, linked from ``percent`` hundredths on."""
-    rows = materialize(features(docs, percent))
-    classes = materialize(
-        rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    )
-    buckets = classes.select("fp", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min("fp").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    shared = materialize(buckets.join(centres, "key").select("key", "centre", "fp"))
-    ties = shared.where("fp <> centre").select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct()
-    links = confirmed(ties, classes, docs, percent)
-    found = components(links)
-    root = F.coalesce("root", "fp")
-    placed = shared.join(found, shared["fp"] == found["node"], "left").select("key", "fp", root.alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    open_ = materialize(placed.join(split, "key", "left_semi").select("fp", "root").distinct())
-    if n_open := open_.count():
-        sets = materialize(full_sets(docs, open_.join(classes.select("fp", "rep"), "fp"), n_open))
-        rest = across(prefixes(sets, shingle_sketch(sets), percent).join(open_, "fp"), percent)
-        new = confirmed(materialize(rest), classes, docs, percent, sets)
-        found = components(links.union(new))
-    least = classes.select("fp", "rep").join(found, classes["fp"] == found["node"], "left").select("fp", "rep", root.alias("root"))
-    top = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = least.join(top, "root").select("fp", "component_id")
-    out = rows.select("doc_id", "n_shingles", "fp").join(label, "fp", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return labelled(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row of least id stays, once.
+
+    Rows are told apart by id and text, so an id that is used twice is judged by row; of rows
+    equal in both one stays.  Rows without shingles stay, each once.
+    """
+    rows = labelled(docs, percent)
+    each = rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "n")).alias("best")
+    best = each.where("root is not null").groupBy("root").agg(first).select("best.doc_id", "best.text_key", "best.n")
+    best = best.union(each.where("root is null").select("doc_id", "text_key", "n"))
+    chosen = Scratch(docs.sparkSession).put("chosen", best.select(F.col("doc_id").alias("want"), F.col("text_key").alias("want_key"), "n"))
+    held = docs.select(F.struct(docs["*"]).alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("want")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("want_key"))
+    some = bounded_broadcast(chosen, chosen.count(), BROADCAST_IDS)
+    out = held.join(some.where("n = 1"), same, "left_semi")
+    if chosen.where("n > 1").take(1):
+        twice = held.join(some.where("n > 1"), same).dropDuplicates(["want", "want_key"])
+        out = out.union(twice.select("row"))
+    return out.select("row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, materialize
+from .common import materialize
 
 WINDOW = 5
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -72,14 +72,17 @@ def _covered(words: Column) -> Column:
     return _bound(F.sort_array(windows), from_sorted)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the measurements that the rules need."""
-    text = F.coalesce("text", F.lit(""))
-    cut = doc_text(docs).select("doc_id", text.alias("text")).withColumn("words", F.array_remove(F.split("text", _BLANKS), ""))
+def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id`` and the measurements that the rules need; with ``carry`` the whole row too, as ``row``."""
+    row = [F.struct(docs["*"]).alias("row")] if carry else []
+    kept = ["row"] if carry else []
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    cut = docs.select(*row, docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("words", F.array_remove(F.split("text", _BLANKS), ""))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
     chars = F.length("text")
     cut = cut.select(
+        *kept,
         "doc_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
@@ -92,6 +95,7 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     repeats = F.size(F.array_distinct("grams")) < F.size("grams")
     return cut.select(
+        *kept,
         "doc_id",
         "n_words",
         "word_chars",
@@ -104,15 +108,17 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Measurements plus ``failures``, one bit per failed rule, stored in the shared folder.
 
-    Being stored, it is evaluated once whatever policies, filters and ablations follow.
+    Being stored, it is evaluated once whatever policies, filters and ablations follow.  With
+    ``carry`` each entry holds its document as the struct ``row``, so that rows are judged
+    without a join.
     """
     failed = F.lit(0)
     for rule, condition in RULES.items():
         failed = failed.bitwiseOR(F.when(F.expr(condition), F.lit(bit(rule))).otherwise(F.lit(0)))
-    return materialize(measure(docs).withColumn("failures", failed))
+    return materialize(measure(docs, carry).withColumn("failures", failed))
 
 
 def apply_policy(rows: DataFrame, policy: str = CURRENT) -> DataFrame:

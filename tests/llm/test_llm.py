@@ -158,6 +158,45 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_find_links_that_no_centre_shows(spark):
+    """Large families whose members are near one another by chance of their edits; every link is held against brute force."""
+    rng = random.Random(31)
+    texts = [*family(rng, 150, 5), *family(rng, 120, 7)]
+    for k in (0, 40, 150, 200):  # chains that lead away from their family
+        words = texts[k].split()
+        for _ in range(8):
+            for at in rng.sample(range(150), 2):
+                words[at] = f"c{rng.randrange(10**9)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_beginnings_keep_every_link():
+    """Linked sets that differ from a centre share an early difference, at places that leave room: by brute force."""
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        base = rng.choice(10**6, 120, replace=False)
+        sets = []
+        for _ in range(60):
+            own = set(base.tolist()) - set(rng.choice(base, rng.integers(0, 25), replace=False).tolist())
+            sets.append(own | set(rng.choice(400, rng.integers(0, 12)).tolist()))
+        for centre in (sets[0], sets[1]):
+            apart = [x ^ centre for x in sets]
+            seen = {e: sum(e in d for d in apart) for d in apart for e in d}
+            first = [sorted(d, key=lambda e: (seen[e], e))[: len(x) * (100 - percent) // percent + 1] for x, d in zip(sets, apart)]
+            for i, j in itertools.combinations(range(60), 2):
+                x, y, c = sets[i], sets[j], centre
+                linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+                if not linked(x, y) or (linked(x, c) and linked(y, c)):
+                    continue
+                places = [(first[i].index(e), first[j].index(e)) for e in set(first[i]) & set(first[j])]
+                room = max(min(len(apart[i]) - p, len(apart[j]) - q) for p, q in places)
+                assert (len(apart[i]) + len(apart[j]) - 2 * room) * (100 + percent) <= (len(x) + len(y)) * (100 - percent)
+
+
 def test_near_duplicate_stage_links_from_80_on(spark):
     """Pairs of 100 shingles of which 90 are shared (similarity 90 / 110), others at 88 / 112: under 0.80."""
     import corpus_pipeline
@@ -385,6 +424,36 @@ def test_audio_alignment(spark):
     assert audio.find_recordings(rec.limit(0), F.col("rec_id") % 20 == 0).count() == 0
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, words string, n_words int, kept boolean, want string, cid long, fp string, best string, lang_pred string"
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """One id on a good and on a bad row, repeated rows, extra columns of clashing names, null ids; then an empty table."""
+    import corpus_pipeline as p
+
+    rng = random.Random(14)
+    tail = ("r", "w", 7, None, "x", 5, "f", "b", "zz")
+    good = [prose(rng, 60) for _ in range(9)]
+    rows = [(i, t, "en", "s", len(t), *tail) for i, t in enumerate(good)]
+    rows += [(1, "too short", "en", "s", 9, *tail), rows[2], (3, None, None, None, None, *tail), (None, good[4] + " and more of it", "en", "s", 1, *tail), (5, good[6], "en", "s", 1, *tail)]
+    docs = spark.createDataFrame(rows, CLASHING).repartition(3)
+    columns = docs.columns
+    docs = p.materialize(p.quality_rules(spark, docs, ""))
+    assert docs.columns == columns and sorted(r["text"] for r in docs.collect()) == sorted(r[1] for r in rows if r[1] and r[1] != "too short")
+    docs = p.materialize(p.language_id(spark, docs, ""))
+    assert docs.columns == columns and docs.count() == 12
+    docs = p.materialize(p.near_duplicates(spark, docs, ""))
+    assert docs.columns == columns
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted((5 if i == 6 else i, t) for i, t in enumerate(good))
+    docs = p.personal_data(spark, docs, "")
+    assert docs.columns == columns and {r["cid"] for r in docs.collect()} == {5}
+    assert p.best_fit_packing(spark, docs, "").count() == 9
+    docs = spark.createDataFrame([], CLASHING)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
+
+
 def test_registry():
     assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
     assert set(oracle_sql()) <= set(queries())
