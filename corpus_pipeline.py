@@ -1,7 +1,9 @@
 """A corpus pipeline: quality rules, language, near duplicates, personal data, packing.
 
 Each stage works on all that its predecessor kept, written as Parquet and read again; all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``.  Rows are judged, not ids: of two rows with one
+id, one may go and the other stay.  In every stage an empty table gives an empty result, a
+very long text is handled whole, and extra columns of any name are carried unchanged.
 """
 
 from __future__ import annotations
@@ -23,30 +25,36 @@ SIMILAR = 80
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids`` (``doc_id``); null ids match null ids."""
-    wanted = ids.select(F.col("doc_id").alias("wanted_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps, judged from the ledger's bits."""
-    return _only(docs, quality.apply_policy(quality.ledger(docs)).where("kept"))
+    """Rows that the current policy keeps, judged from the ledger's bits.
+
+    A null or blank text has too few words and goes; repeated rows stay or go together.
+    """
+    return quality.apply_policy(quality.ledger(docs, carry=True)).where("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows."""
-    found = language.identify(docs, crc_of_id(docs, 4) == 2)
-    return _only(docs, found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+    """Rows in a language that the network knows.
+
+    A null text, or one without a letter, is in none and goes; repeated rows stay or go together.
+    """
+    found = language.identify(docs, crc_of_id(docs, 4) == 2, carry=True)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id, once."""
-    return _only(docs, near_dup.near_duplicates(docs, SIMILAR).where("kept")).dropDuplicates(["doc_id", "text"])
+    """One row of each group of near duplicates: that with the least id (then text hash), once.
+
+    Null and blank texts duplicate nothing but rows equal to them in id and text.
+    """
+    return near_dup.keep_one(docs, SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind, and their new lengths."""
+    """Rows with personal data replaced by its kind, and their new lengths.
+
+    A null text stays null; repeated rows are masked each.
+    """
     masked = pii.redact(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -54,7 +62,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 1024 tokens."""
+    """Pieces of the documents with their places in sequences of 1024 tokens.
+
+    A null or empty text is one piece, the end token; repeated rows are packed each.
+    """
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
