@@ -262,19 +262,27 @@ def jobs_to_close(jobs: DataFrame, users: DataFrame) -> DataFrame:
 
 
 #: Status steps that an application may take (fixed values).
-PERMITTED = (("Created", "Accepted"), ("Created", "Declined"), ("Created", "Rejected"), ("Accepted", "Interview"), ("Accepted", "Rejected"), ("Interview", "Hired"), ("Interview", "Rejected"))
+PERMITTED = (("Created", "Accepted"), ("Created", "Declined"), ("Created", "Rejected"), ("Accepted", "Interview"), ("Interview", "Hired"), ("Interview", "Rejected"))
+#: The text that a step into a status needs (fixed values).
+NEEDED_TEXT = {"Rejected": "feedback", "Declined": "reason"}
 
 
 def invalid_transitions(history: DataFrame, permitted: tuple = PERMITTED) -> DataFrame:
-    """History rows whose step is not permitted, doesn't follow the stored one, or lacks its text."""
+    """History rows whose step is not permitted, doesn't follow the stored one, or lacks its text.
+
+    A rejection needs feedback, a declined application a reason; neither text stands in for the other.
+    """
     w = Window.partitionBy("applicationId").orderBy("occurredAt", "id")
     before = F.lag("newStatus").over(w)
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in permitted])
     step = F.concat_ws(">", "previousStatus", "newStatus")
+    missing = F.lit(False)
+    for status, text in NEEDED_TEXT.items():
+        missing = missing | ((F.col("newStatus") == status) & (F.length(F.trim(F.coalesce(text, F.lit("")))) == 0))
     reason = (
         F.when(F.col("previousStatus").isNull() & (F.col("newStatus") == "Created"), None)
         .when(before.isNotNull() & ~before.eqNullSafe(F.col("previousStatus")), "BROKEN_CHAIN")
         .when(~F.array_contains(pairs, step), "NOT_PERMITTED")
-        .when(F.col("newStatus").isin("Rejected", "Declined") & (F.length(F.trim(F.coalesce("reason", "feedback", F.lit("")))) == 0), "TEXT_MISSING")
+        .when(missing, "TEXT_MISSING")
     )
     return history.withColumn("violation", reason).where("violation is not null")

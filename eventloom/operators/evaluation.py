@@ -34,11 +34,24 @@ def ann_fidelity(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 
 
 def retrieval_verdict(observations: DataFrame, least_recall: float = 0.95, slower: float = 1.10) -> DataFrame:
-    """Verdict by filter bucket ``(bucket, recall, p95, baselineP95, eligible)``: an empty bucket must find nothing."""
-    empty = F.col("eligible") == 0
-    fidelity = F.when(empty, F.col("recall").isNull()).otherwise(F.coalesce(F.col("recall") >= least_recall, F.lit(False)))
-    fast = F.col("p95") <= F.col("baselineP95") * slower
-    return observations.withColumns({"fidelityOk": fidelity, "latencyOk": F.coalesce(fast, F.lit(False)), "passed": fidelity & F.coalesce(fast, F.lit(False))})
+    """``violations`` and ``passed`` by filter bucket ``(bucket, recall, annReturnedHits, p95, baselineP95)``.
+
+    A measurement that cannot be true (not finite, negative, recall over 1, no baseline) is the
+    only violation then.  Recall is null where the exact search found nothing: the approximate
+    one must have found nothing either.
+    """
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")) & (F.col(c) >= 0), F.lit(False))
+    sound = finite("p95") & finite("baselineP95") & (F.col("baselineP95") > 0) & (F.col("recall").isNull() | (finite("recall") & (F.col("recall") <= 1)))
+    hits = F.coalesce("annReturnedHits", F.lit(False))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("recall") < least_recall, "RecallBelowMinimum"),
+            F.when(F.col("recall").isNull() & hits, "RecallUndefinedButAnnReturnedHits"),
+            F.when(F.col("p95") > F.col("baselineP95") * slower, "P95AboveLimit"),
+        )
+    )
+    violations = F.when(sound, found).otherwise(F.array(F.lit("InvalidMeasurement")))
+    return observations.withColumn("violations", violations).withColumn("passed", F.size("violations") == 0)
 
 
 def evaluation_summary(results: DataFrame) -> DataFrame:
@@ -117,7 +130,7 @@ def discovery_baseline(searches: DataFrame, followups: DataFrame) -> DataFrame:
     """KPIs of searches and of applications' first status changes; an empty population gives null."""
     s = searches.agg(
         F.avg((F.col("resultCount") == 0).cast("double")).alias("zeroResultRate"),
-        F.avg(F.when(F.col("resultCount") > 0, F.col("firstClickRank").isNotNull().cast("double"))).alias("clickShare"),
+        F.avg(F.col("firstClickRank").isNotNull().cast("double")).alias("clickShare"),
         F.avg("firstClickRank").alias("meanFirstClickRank"),
         F.expr("percentile(firstClickRank, 0.5)").alias("medianFirstClickRank"),
     )

@@ -7,11 +7,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import utc_day
 from ..specs import POLICY
 from . import envelopes
 from .privacy import exclude_markers
 
-DAY_MICROS = 86_400_000_000
 COORDINATE = ("topic", "partition", "offset")
 
 
@@ -81,15 +81,15 @@ def unexpired(df: DataFrame, at: datetime) -> DataFrame:
 
 
 def classify_event_time(event_time: Column, observed_at: datetime, watermark: datetime | None, skew: timedelta = POLICY.future_skew) -> Column:
-    """``(status, effectiveTime)``: FUTURE, CLOSED (its UTC day ended at or before the watermark) or OPEN."""
-    micros = F.unix_micros(event_time)
-    limit = F.unix_micros(F.lit(observed_at + skew))
-    future = event_time.isNull() | (micros > limit)
-    day_end = micros - F.pmod(micros, F.lit(DAY_MICROS)) + DAY_MICROS
-    closed = F.lit(False) if watermark is None else day_end <= F.unix_micros(F.lit(watermark))
-    status = F.when(future, "FUTURE").when(closed, "CLOSED").otherwise("OPEN")
-    effective = F.when(~future & ~closed, F.timestamp_micros(F.least(micros, F.unix_micros(F.lit(observed_at)))))
-    return F.struct(status.alias("status"), effective.alias("effectiveTime"))
+    """``(status, effectiveTime)``: FUTURE, CLOSED (its UTC day is over at the watermark) or OPEN.
+
+    Days are compared by number: a day is over once a later one has begun at the watermark.
+    Sessions run in UTC, as the library's own do; an open fact counts at the latest as seen now.
+    """
+    late = F.lit(False) if watermark is None else utc_day(event_time) < F.lit(watermark.date())
+    known = F.when(event_time <= F.lit(observed_at + skew), F.when(late, "CLOSED").otherwise("OPEN"))
+    status = F.coalesce(known, F.lit("FUTURE"))
+    return F.struct(status.alias("status"), F.when(status == "OPEN", F.least(event_time, F.lit(observed_at))).alias("effectiveTime"))
 
 
 def with_admission(df: DataFrame, observed_at: datetime, watermark: datetime | None) -> DataFrame:

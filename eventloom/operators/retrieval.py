@@ -197,9 +197,27 @@ def revalidate_hits(hits: DataFrame, current: DataFrame) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("queryId").orderBy("rank", "id")))
 
 
+def _lines(*parts: Column) -> Column:
+    """The parts as lines, without blanks and control characters around the whole."""
+    return F.regexp_replace(F.concat_ws("\n", *parts), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def _sorted_terms(name: str) -> Column:
+    """A set of terms as they are written, in order; null is the empty set."""
+    return F.array_join(F.array_sort(F.array_distinct(F.coalesce(name, F.array().cast("array<string>")))), ", ")
+
+
 def searchable_text_job(df: DataFrame) -> DataFrame:
-    """Title, description, requirements and canonical skills as one text."""
-    return df.withColumn("text", F.concat_ws("\n", F.trim("title"), F.trim("description"), F.concat_ws(", ", "requirements"), F.concat_ws(", ", canonical_set("skills"))))
+    """Title, description, requirements a line each, and skills, as one text."""
+    empty = F.array().cast("array<string>")
+    requirements = F.array_join(F.coalesce("requirements", empty), "\n")
+    return df.withColumn("text", _lines(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.lit("Requirements:"), requirements, F.lit("Skills:"), _sorted_terms("skills")))
+
+
+def searchable_text_candidate(df: DataFrame) -> DataFrame:
+    """Experience summary and skills as one text; what is empty has no line."""
+    given = lambda c: F.when(F.length(c) > 0, c)
+    return df.withColumn("text", _lines(given(F.col("experienceSummary")), F.lit("Skills:"), given(_sorted_terms("skills"))))
 
 
 def source_hash(df: DataFrame, column: str = "text") -> DataFrame:
@@ -207,6 +225,10 @@ def source_hash(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def embedding_work(df: DataFrame, model: str) -> DataFrame:
-    """What to embed: nothing, the prepared text, or too long a document."""
-    same = (F.col("storedHash") == F.col("sourceHash")) & (F.col("storedModel") == model)
-    return df.withColumn("work", F.when(F.length("text") > MAX_TEXT, "DocumentTooLarge").when(F.coalesce(same, F.lit(False)), "NoWork").otherwise("Prepared"))
+    """What to embed: nothing (no text, or its embedding is current), too long a document, or the prepared text.
+
+    A current embedding comes before the size. Sizes are UTF-16 units.
+    """
+    current = F.col("text").isNull() | ((F.col("storedHash") == F.col("sourceHash")) & (F.col("storedModel") == model))
+    units = F.octet_length(F.encode("text", "UTF-16BE")) / 2
+    return df.withColumn("work", F.when(F.coalesce(current, F.lit(False)), "NoWork").when(units > MAX_TEXT, "DocumentTooLarge").otherwise("Prepared"))

@@ -150,8 +150,7 @@ def p2_with_validity(spark, sf):
 @query(_ctes(d.ENVELOPES) + ' SELECT partition, "offset", r NOT IN (0,1,3) AS created, false AS hired FROM recs')
 def p3_payload_contracts(spark, sf):
     p = envelopes.parse_records(d.envelopes(spark, sf))
-    ok = lambda k: F.coalesce(envelopes.payload_contract(k), F.lit(False))
-    return p.select("partition", "offset", ok("created").alias("created"), ok("hired").alias("hired"))
+    return envelopes.payload_contract(p, "created", "hired").select("partition", "offset", "created", "hired")
 
 
 def _with_headers(spark, sf):
@@ -166,7 +165,8 @@ def _with_headers(spark, sf):
 @query("SELECT event_id, event_id % 13 = 0 OR event_id % 11 = 0 AS malformed, event_id % 7 <> 0 AS agrees FROM events")
 def p4_header_contract(spark, sf):
     h = _with_headers(spark, sf)
-    return h.select("event_id", envelopes.headers_malformed(h).alias("malformed"), envelopes.header_agrees(h, "hiring-schema-version", lambda v: v == "1").alias("agrees"))
+    report = h.select("event_id", envelopes.header_report(h).alias("r"))
+    return report.select("event_id", "r.malformed", F.col("r.version").alias("agrees"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_id % 7 = 0 THEN 'UNSUPPORTED_SCHEMA_VERSION' ELSE 'INVALID_OPERATIONAL_EVENT_ENVELOPE' END AS reason FROM events")
@@ -182,10 +182,13 @@ def p5_valid_malformed_split(spark, sf):
     return n(envelopes.valid_events(p), "valid").unionByName(n(envelopes.malformed_events(p), "malformed"))
 
 
-@query(_ctes(d.ENVELOPES) + """ SELECT 'tombstone:{"topic":"t","partition":' || partition || ',"offset":' || "offset" || '}' AS "quarantineId" FROM recs WHERE r = 1""")
+@query(_ctes(d.ENVELOPES) + """ SELECT partition, "offset", CASE WHEN r = 1 THEN 'tombstone:{"topic":"t","partition":' || partition || ',"offset":' || "offset" || '}' ELSE 'hash' END AS kind,
+  'future:' || sha256('{"topic":"t","partition":' || partition || ',"offset":' || "offset" || '}') AS "futureId" FROM recs""")
 def p7_quarantine_id(spark, sf):
     p = envelopes.parse_records(d.envelopes(spark, sf))
-    return p.where("rawValue is null").select(envelopes.quarantine_id().alias("quarantineId"))
+    found = envelopes.quarantine_id()
+    kind = F.when(found == F.sha2("rawValue", 256), "hash").otherwise(found)
+    return p.select("partition", "offset", kind.alias("kind"), envelopes.quarantine_id(future=True).alias("futureId"))
 
 
 @query("SELECT event_id, sha256(event_id || ':' || event_type) AS \"eventFingerprint\" FROM events")

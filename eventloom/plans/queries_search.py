@@ -79,12 +79,12 @@ def p22_keyset_page(spark, sf):
 
 
 _KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(c.lat - j.lat) / 2), 2) + cos(radians(j.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - j.lon) / 2), 2))))"
-_NEAR = f"near AS (SELECT j.id, c.id AS centre, {_KM} AS km FROM jobs j, jobs c WHERE c.id % 40 = 0 AND j.status = 'Open' AND NOT j.remote)"
+_NEAR = f"near AS (SELECT j.id, c.id AS centre, {_KM} AS km FROM jobs j, jobs c WHERE c.id % 20 = 0 AND j.status = 'Open' AND NOT j.remote)"
 
 
 def _nearby(spark, sf, radius=400.0):
     j = d.jobs(spark, sf)
-    centres = j.where("id % 40 = 0").select(F.col("id").alias("centreId"), F.col("lat").alias("cLat"), F.col("lon").alias("cLon"))
+    centres = j.where("id % 20 = 0").select(F.col("id").alias("centreId"), F.col("lat").alias("cLat"), F.col("lon").alias("cLon"))
     return discovery.nearby_jobs(j, centres, radius)
 
 
@@ -173,23 +173,23 @@ def t7_application_listing(spark, sf):
     return discovery.keyset_page(mine, "createdAt", "id", None, 20).select("id")
 
 
-_HIST = """h AS (SELECT l_orderkey AS app, l_linenumber AS n, ['Created','Accepted','Interview','Hired','Rejected'][l_partkey % 5 + 1] AS s, ['Created','Accepted','Interview','Hired','Rejected'][l_suppkey % 5 + 1] AS p,
-  lag(['Created','Accepted','Interview','Hired','Rejected'][l_partkey % 5 + 1]) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS b, l_partkey, l_suppkey, l_quantity FROM lineitem)"""
+_HIST = """h AS (SELECT l_orderkey AS app, l_linenumber AS n, ['Created','Accepted','Declined','Interview','Hired','Rejected'][l_partkey % 6 + 1] AS s, ['Created','Accepted','Declined','Interview','Hired','Rejected'][l_suppkey % 6 + 1] AS p,
+  lag(['Created','Accepted','Declined','Interview','Hired','Rejected'][l_partkey % 6 + 1]) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS b, l_partkey, l_suppkey, l_quantity FROM lineitem)"""
 
 
 @query(
     _with(_HIST)
     + """ SELECT app, n, v AS violation, count(*) AS c FROM (SELECT app, n, CASE WHEN b IS NOT NULL AND b <> p THEN 'BROKEN_CHAIN'
-  WHEN p || '>' || s NOT IN ('Created>Accepted','Created>Declined','Created>Rejected','Accepted>Interview','Accepted>Rejected','Interview>Hired','Interview>Rejected') THEN 'NOT_PERMITTED'
-  WHEN s = 'Rejected' AND l_quantity < 25 THEN 'TEXT_MISSING' END AS v FROM h) WHERE v IS NOT NULL GROUP BY ALL"""
+  WHEN p || '>' || s NOT IN ('Created>Accepted','Created>Declined','Created>Rejected','Accepted>Interview','Interview>Hired','Interview>Rejected') THEN 'NOT_PERMITTED'
+  WHEN s = 'Rejected' AND l_quantity < 30 OR s = 'Declined' AND l_quantity >= 20 THEN 'TEXT_MISSING' END AS v FROM h) WHERE v IS NOT NULL GROUP BY ALL"""
 )
 def p26_invalid_transitions(spark, sf):
-    names = F.array(*map(F.lit, ("Created", "Accepted", "Interview", "Hired", "Rejected")))
+    names = F.array(*map(F.lit, d.APPLICATION_STATUSES))
     li = d.table(spark, sf, "lineitem")
     history = li.select(
         F.col("l_orderkey").alias("applicationId"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("id"), "l_linenumber", F.col("l_shipdate").alias("occurredAt"),
-        F.element_at(names, (F.col("l_suppkey") % 5 + 1).cast("int")).alias("previousStatus"), F.element_at(names, (F.col("l_partkey") % 5 + 1).cast("int")).alias("newStatus"),
-        F.when(F.col("l_quantity") >= 25, "text").alias("reason"), F.lit(None).cast("string").alias("feedback"),
+        F.element_at(names, (F.col("l_suppkey") % 6 + 1).cast("int")).alias("previousStatus"), F.element_at(names, (F.col("l_partkey") % 6 + 1).cast("int")).alias("newStatus"),
+        F.when(F.col("l_quantity") < 20, "text").otherwise("  ").alias("reason"), F.when(F.col("l_quantity") >= 30, "text").alias("feedback"),
     )
     bad = discovery.invalid_transitions(history)
     return bad.groupBy(F.col("applicationId").alias("app"), F.col("l_linenumber").alias("n"), "violation").agg(F.count("*").alias("c"))
@@ -277,10 +277,10 @@ def _ranked(spark, sf):
     """Line items as ranked hits: the order asks, ship modes by remainder are branches."""
     li = d.table(spark, sf, "lineitem")
     branch = F.when(F.col("l_suppkey") % 2 == 0, "vector").otherwise("lexical")
-    return li.where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("queryId"), branch.alias("branch"), (F.col("l_partkey") % 5).alias("id")).agg(F.min("l_linenumber").alias("rank"), F.max("l_discount").alias("score"))
+    return li.groupBy(F.col("l_orderkey").alias("queryId"), branch.alias("branch"), (F.col("l_partkey") % 5).alias("id")).agg(F.min("l_linenumber").alias("rank"), F.max("l_discount").alias("score"))
 
 
-_RANKED = """hits AS (SELECT l_orderkey AS "queryId", CASE WHEN l_suppkey % 2 = 0 THEN 'vector' ELSE 'lexical' END AS branch, l_partkey % 5 AS id, min(l_linenumber) AS rank, max(l_discount) AS score FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL),
+_RANKED = """hits AS (SELECT l_orderkey AS "queryId", CASE WHEN l_suppkey % 2 = 0 THEN 'vector' ELSE 'lexical' END AS branch, l_partkey % 5 AS id, min(l_linenumber) AS rank, max(l_discount) AS score FROM lineitem GROUP BY ALL),
   pl AS (SELECT *, row_number() OVER (PARTITION BY "queryId", branch ORDER BY rank, id) AS place FROM hits)"""
 
 
@@ -321,14 +321,14 @@ def _skilled(spark, sf):
     li, p = d.table(spark, sf, "lineitem"), d.table(spark, sf, "part")
     have = F.array(*[F.concat(F.lit("k"), (F.col("l_orderkey") * m % 7).cast("string")) for m in (1, 2, 3)])
     need = F.transform(F.sequence(F.lit(1), (F.col("l_partkey") % 4 + 1).cast("int")), lambda i: F.concat(F.lit("k"), ((F.col("l_partkey") + i) % 7).cast("string")))
-    first = li.where("l_orderkey % 5 = 0").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
+    first = li.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("n", "l_partkey")))
     return ranked.select(F.col("l_orderkey").alias("queryId"), F.col("l_partkey").alias("id"), "rank", have.alias("viewerSkills"), need.alias("targetSkills"))
 
 
 _SKILLED = """h AS (SELECT l_orderkey AS q, l_partkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) AS rank,
   list_distinct(['k' || (l_orderkey % 7), 'k' || (l_orderkey * 2 % 7), 'k' || (l_orderkey * 3 % 7)]) AS have, list_transform(range(1, l_partkey % 4 + 2), lambda i: 'k' || ((l_partkey + i) % 7)) AS need
-  FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, l_partkey), e AS (SELECT *, len(list_intersect(need, have)) AS cov, len(need) AS req FROM h)"""
+  FROM lineitem GROUP BY l_orderkey, l_partkey), e AS (SELECT *, len(list_intersect(need, have)) AS cov, len(need) AS req FROM h)"""
 
 
 @query(
@@ -367,11 +367,17 @@ def j17_revalidate_hits(spark, sf):
     return out.select("queryId", "id", "rank")
 
 
-@query(_with(d.JOBS) + " SELECT id, sha256(trim(title) || chr(10) || trim(title) || chr(10) || country || chr(10) || array_to_string(canon, ', ')) AS \"sourceHash\" FROM jobs")
+@query(_with(d.JOBS) + " SELECT id, sha256(trim(title || chr(10) || title || chr(10) || 'Requirements:' || chr(10) || country || chr(10) || 'Skills:' || chr(10) || array_to_string(list_sort(list_distinct(skills)), ', '))) AS \"sourceHash\" FROM jobs")
 def v12_source_hash(spark, sf):
     return retrieval.source_hash(retrieval.searchable_text_job(d.jobs(spark, sf))).select("id", "sourceHash")
 
 
+@query(_with(d.USERS) + " SELECT id, CASE WHEN id % 3 <> 0 THEN country || chr(10) ELSE '' END || 'Skills:' || chr(10) || array_to_string(list_sort(list_distinct(skills)), ', ') AS text FROM users")
+def v12_candidate_text(spark, sf):
+    u = d.users(spark, sf).withColumn("experienceSummary", F.when(F.col("id") % 3 == 1, F.col("country")).when(F.col("id") % 3 == 2, F.concat(F.lit(" "), "country")).when(F.col("id") % 6 == 0, ""))
+    return retrieval.searchable_text_candidate(u).select("id", "text")
+
+
 def _entities(spark, sf):
     """Documents as embedded entities: model and stored hash vary by remainder."""
     k = F.col("doc_id")
@@ -382,19 +388,22 @@ def _entities(spark, sf):
     )
 
 
-_ENTITIES = """e AS (SELECT lang AS kind, doc_id AS k, text, CASE WHEN doc_id % 4 = 0 THEN 'Missing' WHEN doc_id % 5 = 0 THEN 'StaleModel' WHEN doc_id % 4 = 1 THEN 'StaleSource' ELSE 'Current' END AS fresh,
-  CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'm0' ELSE 'm1' END END AS model, CASE WHEN doc_id % 3 <> 0 THEN 'NotQueued' WHEN doc_id % 2 = 0 THEN 'Failed' WHEN doc_id % 9 = 0 THEN 'InProgress' ELSE 'Waiting' END AS repair FROM documents)"""
+_ENTITIES = """e AS (SELECT lang AS kind, doc_id AS k, text, CASE WHEN doc_id % 4 = 0 THEN 'NotEmbedded' WHEN doc_id % 4 = 1 THEN 'ContentChanged' WHEN doc_id % 5 = 0 THEN 'ModelMismatch' ELSE 'Current' END AS fresh,
+  CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'm0' ELSE 'm1' END END AS model,
+  CASE WHEN doc_id % 3 <> 0 THEN 'NoQueuedWork' ELSE ['Failed', 'Waiting', 'Retrying', CASE WHEN doc_id % 9 = 0 THEN 'InProgress' ELSE 'LeaseExpired' END][doc_id % 4 + 1] END AS repair FROM documents)"""
 
 
 def _queue(spark, sf):
     k = F.col("doc_id")
+    state = F.element_at(F.array(*map(F.lit, ("Failed", "Ready", "Retry", "Processing"))), (k % 4 + 1).cast("int"))
+    lease = F.when(k % 9 == 0, F.lit(datetime(2024, 2, 1))).when(k % 2 == 1, F.lit(datetime(2024, 1, 20)))
     return d.table(spark, sf, "documents").where("doc_id % 3 = 0").select(
-        F.concat_ws(":", "lang", k.cast("string")).alias("id"), F.when(k % 2 == 0, "Failed").otherwise("Ready").alias("state"), F.when(k % 2 == 0, F.when(k % 4 == 0, "Provider")).alias("failure"),
-        F.timestamp_seconds(F.lit(1705622400) + k * 60).alias("availableAt"), F.when(k % 9 == 0, F.lit(datetime(2024, 2, 1))).alias("leaseUntil"),
+        F.concat_ws(":", "lang", k.cast("string")).alias("id"), state.alias("state"), F.when(k % 8 == 0, "Provider").alias("failure"),
+        F.timestamp_seconds(F.lit(1705622400) + k * 60).alias("availableAt"), lease.alias("leaseUntil"),
     )
 
 
-@query(_with(_ENTITIES) + " SELECT k AS id, CASE WHEN length(text) > 12000 THEN 'DocumentTooLarge' WHEN fresh = 'Current' THEN 'NoWork' ELSE 'Prepared' END AS work FROM e")
+@query(_with(_ENTITIES) + " SELECT k AS id, CASE WHEN text IS NULL OR fresh = 'Current' THEN 'NoWork' WHEN length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 12000 THEN 'DocumentTooLarge' ELSE 'Prepared' END AS work FROM e")
 def v13_embedding_work(spark, sf):
     return retrieval.embedding_work(_entities(spark, sf), "m1").select(F.col("id").cast("long").alias("id"), "work")
 
@@ -405,18 +414,18 @@ def v14_freshness_and_repair(spark, sf):
     return rows.select(F.col("id").cast("long").alias("id"), coverage.freshness("m1").alias("freshness"), coverage.repair_state(NOW).alias("repair"))
 
 
-@query(_with(_ENTITIES) + " SELECT k AS id, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 'Failed' ELSE 'Ready' END END AS state FROM e")
+@query(_with(_ENTITIES) + " SELECT k AS id, CASE WHEN k % 3 = 0 THEN ['Failed', 'Ready', 'Retry', 'Processing'][k % 4 + 1] END AS state FROM e")
 def j19_entities_with_queue(spark, sf):
     return coverage.with_queue(_entities(spark, sf), _queue(spark, sf)).select(F.col("id").cast("long").alias("id"), "state")
 
 
-@query(_with(_ENTITIES) + " SELECT kind, fresh AS freshness, repair, CASE WHEN repair = 'Failed' THEN CASE WHEN k % 4 = 0 THEN 'Provider' ELSE 'Unknown' END ELSE 'None' END AS \"failureKind\", count(*) AS entities FROM e GROUP BY ALL")
+@query(_with(_ENTITIES) + " SELECT kind, fresh AS freshness, repair, CASE WHEN repair = 'Failed' AND k % 8 = 0 THEN 'Provider' END AS \"failureKind\", count(*) AS entities FROM e GROUP BY ALL")
 def a18_embedding_coverage(spark, sf):
     return coverage.embedding_coverage(_entities(spark, sf), _queue(spark, sf), "m1", NOW)
 
 
-_SUMMARY = """SELECT kind, count(*) AS entities, count(DISTINCT model) AS models, avg(CASE WHEN fresh = 'Current' THEN 1.0 ELSE 0.0 END) AS coverage,
-  count(*) FILTER (fresh <> 'Current' AND repair = 'NotQueued') AS "orphanedGaps", max(CASE WHEN fresh <> 'Current' THEN 1705708800 - 1704067200 - k END) AS "oldestGapSeconds" FROM e GROUP BY kind"""
+_SUMMARY = """SELECT kind, count(*) AS entities, avg(CASE WHEN fresh = 'Current' THEN 1.0 ELSE 0.0 END) AS coverage,
+  count(*) FILTER (fresh <> 'Current' AND repair = 'NoQueuedWork') AS "orphanedGaps", max(CASE WHEN fresh <> 'Current' THEN greatest(0, 1705708800 - 1704067200 - k) END) AS "oldestGapSeconds" FROM e GROUP BY kind"""
 
 
 @query(_with(_ENTITIES) + " " + _SUMMARY)
@@ -424,30 +433,41 @@ def a19_coverage_summary(spark, sf):
     return coverage.coverage_summary(_entities(spark, sf), _queue(spark, sf), "m1", NOW)
 
 
-@query("SELECT count(*) AS n, quantile_disc(doc_id % 101, 0.5) AS p50, quantile_disc(doc_id % 101, 0.95) AS p95, quantile_disc(doc_id % 101, 0.99) AS p99 FROM documents")
+@query(_with(_ENTITIES) + " SELECT kind, model, count(*) AS entities FROM e WHERE model IS NOT NULL GROUP BY ALL")
+def a19_observed_models(spark, sf):
+    return coverage.observed_models(_entities(spark, sf))
+
+
+@query(_with(_ENTITIES) + " SELECT count(*) AS n, quantile_disc(k % 101, 0.5) AS p50, quantile_disc(k % 101, 0.95) AS p95, quantile_disc(k % 101, 0.99) AS p99 FROM e WHERE fresh = 'Current'")
 def a20_embedding_lag(spark, sf):
-    return coverage.embedding_lag(_entities(spark, sf))
+    return coverage.embedding_lag(_entities(spark, sf), "m1")
 
 
-@query("SELECT least(count(*), 100) AS total, count(*) FILTER (1705622400 + doc_id * 60 < 1705708800) AS stuck, epoch_us(make_timestamp((1705622400 + min(doc_id) * 60) * 1000000)) AS oldest, count(*) > 100 AS capped FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 1")
+@query("SELECT least(count(*), 100) AS total, count(*) FILTER (1705622400 + doc_id * 60 < 1705708800) AS stuck, epoch_us(make_timestamp((1705622400 + min(doc_id) * 60) * 1000000)) AS oldest, count(*) > 100 AS capped FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0")
 def a21_queue_observation(spark, sf):
     out = coverage.queue_observation(_queue(spark, sf), NOW, 100)
     return out.select("total", "stuck", F.unix_micros("oldestAvailable").alias("oldest"), "capped")
 
 
-@query(_with(_ENTITIES, f"s AS ({_SUMMARY})") + " SELECT kind, CASE WHEN coverage >= 0.4 THEN 'Passed' ELSE 'Failed' END AS \"coverageCheck\", CASE WHEN \"orphanedGaps\" = 0 THEN 'Passed' ELSE 'Failed' END AS \"orphanCheck\" FROM s")
+@query(
+    _with(_ENTITIES) + " SELECT 'NoOrphanedGap' AS name, CASE WHEN n = 0 THEN 'Passed' ELSE 'Failed' END AS status, n AS offending FROM (SELECT count(*) FILTER (fresh <> 'Current' AND repair = 'NoQueuedWork') AS n FROM e)"
+    " UNION ALL SELECT 'NoStuckWork', CASE WHEN c > 1000000 THEN 'Inconclusive' WHEN n = 0 THEN 'Passed' ELSE 'Failed' END, n FROM (SELECT count(*) AS c, count(*) FILTER (1705622400 + doc_id * 60 < 1705622400 + 6000) AS n FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0)"
+)
 def a22_coverage_checks(spark, sf):
-    return coverage.coverage_checks(coverage.coverage_summary(_entities(spark, sf), _queue(spark, sf), "m1", NOW), 0.4)
+    queue = _queue(spark, sf)
+    return coverage.coverage_checks(coverage.coverage_summary(_entities(spark, sf), queue, "m1", NOW), coverage.queue_observation(queue, datetime(2024, 1, 19, 1, 40), 1_000_000))
 
 
-@query("SELECT least(count(*), 50) AS claimable, 1705708800 - min(1705622400 + doc_id * 60) AS \"oldestAgeSeconds\" FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 1 AND doc_id % 9 <> 0 AND 1705622400 + doc_id * 60 <= 1705708800")
+@query(
+    "SELECT least(count(*), 50) AS claimable, 1705708800 - min(1705622400 + doc_id * 60) AS \"oldestAgeSeconds\" FROM documents WHERE doc_id % 3 = 0 AND ((doc_id % 4 IN (1, 2) AND 1705622400 + doc_id * 60 <= 1705708800) OR (doc_id % 4 = 3 AND doc_id % 9 <> 0))"
+)
 def a23_backlog(spark, sf):
     return coverage.backlog(_queue(spark, sf), NOW, 50)
 
 
 @query(
-    "SELECT o_orderkey AS request, epoch_us(greatest(greatest(o_orderdate + INTERVAL 1 DAY, CASE WHEN c IS NULL THEN o_orderdate + INTERVAL 1 DAY ELSE c END) + INTERVAL 168 HOUR, date_trunc('day', o_orderdate + INTERVAL 1 DAY) + INTERVAL 9 DAY, o_orderdate + INTERVAL 7 DAY)) AS deadline "
-    "FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
+    "SELECT o_orderkey AS request, epoch_us(greatest(s + INTERVAL 168 HOUR, date_trunc('day', s) + INTERVAL 9 DAY, o_orderdate + INTERVAL 7 DAY)) AS deadline "
+    "FROM (SELECT o_orderkey, o_orderdate, greatest(o_orderdate + INTERVAL 1 DAY, coalesce(c, o_orderdate + INTERVAL 1 DAY)) AS s FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
 )
 def a27_erasure_deadline(spark, sf):
     o, li = d.table(spark, sf, "orders"), d.table(spark, sf, "lineitem")
@@ -463,11 +483,11 @@ def a27_erasure_deadline(spark, sf):
 def _labelled(spark, sf):
     items = _items(spark, sf)
     ranked = retrieval.knn(items, _asks(items), 10)
-    relevant = items.where("id % 20 = 0").select(F.col("id").alias("queryId"), "label").join(items.select("id", "label"), "label").where("id < 60").select("queryId", "id")
+    relevant = items.where("id % 20 = 0").select(F.col("id").alias("queryId"), "label").join(items.select("id", "label"), "label").select("queryId", "id")
     return ranked, relevant
 
 
-_REL = 'rel AS (SELECT q.vec_id AS "queryId", i.vec_id AS id FROM embeddings q JOIN embeddings i USING (label) WHERE q.vec_id % 20 = 0 AND i.vec_id < 60), h AS (SELECT rel.*, rank FROM rel LEFT JOIN (SELECT * FROM t WHERE rank <= 7) x ON x."queryId" = rel."queryId" AND x.id = rel.id)'
+_REL = 'rel AS (SELECT q.vec_id AS "queryId", i.vec_id AS id FROM embeddings q JOIN embeddings i USING (label) WHERE q.vec_id % 20 = 0), h AS (SELECT rel.*, rank FROM rel LEFT JOIN (SELECT * FROM t WHERE rank <= 7) x ON x."queryId" = rel."queryId" AND x.id = rel.id)'
 
 
 @query(_with(_KNN, _REL) + ' SELECT "queryId", count(rank)::double / count(*) AS recall FROM h GROUP BY 1')
@@ -480,11 +500,14 @@ def v16_ndcg_at_k(spark, sf):
     return evaluation.ndcg_at_k(*_labelled(spark, sf), 7).select("queryId", F.round("ndcg", 8).alias("ndcg"))
 
 
-@query("SELECT p_partkey AS bucket, CASE WHEN p_size % 6 = 0 THEN p_size % 7 = 0 ELSE p_size % 7 <> 0 AND p_size / 50.0 >= 0.5 END AS \"fidelityOk\", p_size <= 33 AS \"latencyOk\" FROM part")
+@query(
+    "SELECT bucket, CASE WHEN recall > 1 OR baseline = 0 THEN 'InvalidMeasurement' ELSE concat_ws('+', CASE WHEN recall < 0.5 THEN 'RecallBelowMinimum' END, CASE WHEN recall IS NULL AND hits THEN 'RecallUndefinedButAnnReturnedHits' END, CASE WHEN p95 > baseline * 1.1 THEN 'P95AboveLimit' END) END AS violations"
+    " FROM (SELECT p_partkey AS bucket, CASE WHEN p_size % 7 <> 0 THEN p_size / 45.0 END AS recall, p_partkey % 2 = 0 AS hits, p_size AS p95, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 30 END AS baseline FROM part)"
+)
 def v17_retrieval_verdict(spark, sf):
-    s = F.col("p_size")
-    obs = d.table(spark, sf, "part").select(F.col("p_partkey").alias("bucket"), F.when(s % 7 != 0, s / 50.0).alias("recall"), s.alias("p95"), F.lit(30.0).alias("baselineP95"), (s % 6).alias("eligible"))
-    return evaluation.retrieval_verdict(obs, 0.5, 1.1).select("bucket", "fidelityOk", "latencyOk")
+    s, k = F.col("p_size"), F.col("p_partkey")
+    obs = d.table(spark, sf, "part").select(k.alias("bucket"), F.when(s % 7 != 0, s / 45.0).alias("recall"), (k % 2 == 0).alias("annReturnedHits"), s.cast("double").alias("p95"), F.when(k % 11 == 0, 0.0).otherwise(30.0).alias("baselineP95"))
+    return evaluation.retrieval_verdict(obs, 0.5, 1.1).select("bucket", F.array_join("violations", "+").alias("violations"))
 
 
 def _results(spark, sf):
@@ -540,7 +563,7 @@ def a25_search_observations(spark, sf):
 
 @query(
     _with(_SEARCH, "fo AS (SELECT (epoch_us(min(l_shipdate)) - epoch_us(o_orderdate)) / 3600000000.0 AS h FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 3) ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)")
-    + ' SELECT (SELECT round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 8) FROM so) AS "zeroResultRate", (SELECT round(avg(CASE WHEN n > 0 THEN CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END END), 8) FROM so) AS "clickShare", (SELECT quantile_cont(rank, 0.5) FROM so) AS "medianFirstClickRank", (SELECT round(avg(h), 5) FROM fo) AS "meanReviewHours", (SELECT count(*) FROM fo WHERE h IS NULL) AS unreviewed'
+    + ' SELECT (SELECT round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 8) FROM so) AS "zeroResultRate", (SELECT round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 8) FROM so) AS "clickShare", (SELECT quantile_cont(rank, 0.5) FROM so) AS "medianFirstClickRank", (SELECT round(avg(h), 5) FROM fo) AS "meanReviewHours", (SELECT count(*) FROM fo WHERE h IS NULL) AS unreviewed'
 )
 def a24_discovery_baseline(spark, sf):
     o, li = d.table(spark, sf, "orders"), d.table(spark, sf, "lineitem")
