@@ -195,8 +195,8 @@ def difference_sketch(parted: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for centre, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                np.add.at(total, _cells(centre, np.frombuffer(x, np.uint64)), 1)
+            for centre, x in zip(batch.column(0), batch.column(1)):
+                np.add.at(total, _cells(centre.as_py(), np.frombuffer(x.as_buffer(), np.uint64)), 1)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["cell", "n"])
 
@@ -207,6 +207,8 @@ def difference_sketch(parted: DataFrame) -> np.ndarray:
     return out
 
 
+#: Rows of an output batch, about.
+OUT_ROWS = 50_000
 POSTINGS = "centre long, shingle long, cid long, root long, centre_root long, size long, n_apart long, place long"
 
 
@@ -218,24 +220,34 @@ def beginnings(parted: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame
     that no other difference of the centre holds keep their places but are not handed on.
     """
     shared = parted.sparkSession.sparkContext.broadcast(sketch)
+    names = [x.split()[0] for x in POSTINGS.split(", ")]
+
+    def handed_on(batch: pa.RecordBatch, some: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Of rows ``(number, length of the difference, places, shingles)``."""
+        times = [len(there) for _, _, there, _ in some]
+        rows = batch.take(pa.array(np.repeat([i for i, *_ in some], times).astype(np.int32)))
+        apart = np.repeat([n for _, n, *_ in some], times).astype(np.int64)
+        shingles, places = (np.concatenate([x[k] for x in some]) for k in (3, 2))
+        columns = [rows.column(0), pa.array(shingles.view(np.int64)), *[rows.column(i) for i in (1, 2, 3, 4)], pa.array(apart), pa.array(places)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, size, apart, place, shingle = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            centres, sizes, differences = (batch.column(i).to_pylist() for i in (0, 4, 5))
-            for i, (centre, n, x) in enumerate(zip(centres, sizes, differences)):
-                own = np.frombuffer(x, np.uint64)
-                held = shared.value[_cells(centre, own)]
+            centres, sizes, apart = (batch.column(i) for i in (0, 4, 5))
+            keys = batch.select(range(5))
+            some, size = [], 0
+            for i in range(len(apart)):
+                n, own = sizes[i].as_py(), np.frombuffer(apart[i].as_buffer(), np.uint64)
+                held = shared.value[_cells(centres[i].as_py(), own)]
                 order = np.lexsort((own, held))[: n * (100 - percent) // percent + 1]
                 there = np.flatnonzero(held[order] > 1)
-                of += [i] * len(there)
-                size += [n] * len(there)
-                apart += [len(own)] * len(there)
-                place.append(there)
-                shingle.append(own[order[there]])
-            rows = batch.take(pa.array(of, pa.int32()))
-            columns = [rows.column(0), pa.array(np.concatenate(shingle).view(np.int64)), *[rows.column(i) for i in (1, 2, 3)], pa.array(size, pa.int64()), pa.array(apart, pa.int64()), pa.array(np.concatenate(place))]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POSTINGS.split(", ")])
+                some.append((i, len(own), there, own[order[there]]))
+                size += len(there)
+                if size > OUT_ROWS:
+                    yield handed_on(keys, some)
+                    some, size = [], 0
+            if size:
+                yield handed_on(keys, some)
 
     small_batches(parted.sparkSession)
     return parted.select("centre", "cid", "root", "centre_root", "n_shingles", "apart").mapInArrow(run, POSTINGS)
