@@ -5,7 +5,8 @@ filter's maximum over the window feeds a softmax over the languages.  A text is
 its windows, end to end, and the windows' probabilities are averaged by their letters.
 
 Training takes a bounded sample of labelled rows (``PER_LANGUAGE`` texts a language,
-``WINDOWS_PER_TEXT`` windows each), chosen by a hash of the id; prediction covers every byte.
+``WINDOWS_PER_TEXT`` windows each), chosen by a hash of the id; every label is learned, however
+rare, and prediction covers every byte.
 
 A null text, or one without a letter, is ``und`` with score 0.  With no labelled row at all,
 every text is ``und``.  Repeated rows are scored each; an empty table gives an empty result;
@@ -33,8 +34,6 @@ FILTERS, EMBED = 12, 6
 #: Columns of spaces after a window, so that the widest filter starts at each of its bytes.
 PAD = max(WIDTHS) - 1
 PER_LANGUAGE, WINDOWS_PER_TEXT = 400, 3
-#: Languages that are learned at most; the most frequent labels come first.
-LANGUAGES = 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters lower-cased, other ASCII as spaces, bytes of other characters as they are.
@@ -140,7 +139,7 @@ def spread(rows: np.ndarray, n: int = WINDOWS_PER_TEXT) -> np.ndarray:
 
 def training_windows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
     """``(lang, window)`` from about ``per_language`` texts a language, chosen by a hash of the id in one scan."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counts:
         return []
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
@@ -155,8 +154,7 @@ def training_windows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> l
 
     small_batches(labelled.sparkSession)
     some = labelled.where(draw < share[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, window binary")
-    found = some.limit(2 * per_language * WINDOWS_PER_TEXT * len(counts)).collect()
-    return sorted((r["lang"], bytes(r["window"])) for r in found)
+    return sorted((r["lang"], bytes(r["window"])) for r in some.collect())
 
 
 def fit(labelled: DataFrame) -> ByteConvNet | None:
