@@ -31,23 +31,33 @@ VERIFY_SHORT, SHORT = 0.85, 12
 #: Phrases of the base rule and their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licence notices by label (fixed values: the notices' usual wording).
+#: Licence notices, by their common core, and passages of licence bodies, by label (fixed values).
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
-    ("mit", "this software is released under the mit license"),
+    ("mit", "distributed under the mit license"),
+    ("mit", "available under the mit license"),
+    ("mit", "under the terms of the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "the apache license version 2 0"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international"),
+    ("cc-by-nc", "creative commons attribution non commercial 4 0 international"),
+    ("cc-by", "creative commons attribution 4 0 international"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international"),
+    ("cc-by-sa", "creative commons attribution share alike 4 0 international"),
+    ("gpl-3", "the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", "the gnu general public license version 2"),
+    ("gpl-2", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"),
+    ("lgpl", "the gnu lesser general public license"),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),

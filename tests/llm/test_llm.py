@@ -400,9 +400,12 @@ def test_licenses(spark, odd, empty):
     assert [rows[i]["labels"] for i in range(5)] == ["mit", "apache-2", "gpl-3", "", "cc-by-nc"]
     assert [rows[i]["n_base"] for i in range(5)] == [1, 1, 0, 0, 2]
     assert (rows[0]["first_word"], rows[1]["first_word"], rows[4]["first_word"], rows[4]["last_word"]) == (1, 33, 1, 5)
-    long = prose(rng, 20) + " " + licenses.TEMPLATES[3][1].replace("without restriction", "without any restriction") + " " + prose(rng, 20)
+    long = prose(rng, 20) + " " + licenses.TEMPLATES[5][1].replace("without restriction", "without any restriction") + " " + prose(rng, 20)
     one = licenses.scan_licenses(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
     assert one["labels"] == "mit" and 0.6 <= one["score"] < 1
+    led = ["Licensed under the GNU General Public License, version 3", "This program is licensed under the GNU General Public License version 2.", "You may use it under the terms of the MIT License", "text: Creative Commons Attribution-ShareAlike 4.0 International", "GNU General Public License"]
+    found = licenses.scan_licenses(spark.createDataFrame([(i, f"{prose(rng, 9)} {t} {prose(rng, 9)}") for i, t in enumerate(led)], "doc_id long, text string"))
+    assert [r["labels"] for r in found.orderBy("doc_id").collect()] == ["gpl-3", "gpl-2", "mit", "cc-by-sa", ""]
     assert licenses.scan_licenses(odd).count() == len(odd_rows())
     assert licenses.scan_licenses(empty).count() == 0
 
