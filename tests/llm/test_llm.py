@@ -287,8 +287,7 @@ def test_lm_probabilities_sum_to_one():
     code = lm.Code.of({97: 50, 98: 20, 255: 5})
     mixer = lm.OnlineMixer(code)
     mixer.learn([b"abab" * 500, b"aab" * 400])
-    rows = [np.concatenate(x) for x in zip(*[[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in mixer.rows()])]
-    model = lm.Mixture.of(code, *rows)
+    model = lm.Mixture.of(code, lm.counts_by_fold(code, mixer.blocks()), [])
     every = 10 ** model.scores([b"ab" + bytes([c]) for c in range(256)])
     longer = 10 ** model.scores([b"ab"])
     assert longer.sum() < 1 and every.sum() < 1
