@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path under the session's ``spark.checkpoint.dir``; where none is set, under a temporary one."""
+    """A new path under the session's ``spark.checkpoint.dir``.
+
+    Where none is set, a session of one machine takes a temporary one; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
