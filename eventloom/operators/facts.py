@@ -40,6 +40,12 @@ def historical_conflicts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.select("eventId", "eventFingerprint").join(old, "eventId").where("eventFingerprint <> stored").select("eventId").distinct()
 
 
+def stored_fingerprints(silver: DataFrame, late: DataFrame, at: datetime) -> DataFrame:
+    """Ids and fingerprints of the Silver and late facts that have not expired at ``at``."""
+    live = [unexpired(df, at).select("eventId", "eventFingerprint") for df in (silver, late)]
+    return live[0].unionByName(live[1])
+
+
 def coordinate_conflicts(incoming: DataFrame, bronze: DataFrame) -> DataFrame:
     """Event ids of records whose Kafka coordinate is stored with another fingerprint."""
     old = bronze.select(*COORDINATE, F.col("eventFingerprint").alias("stored"))

@@ -2,35 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import canonical_set, cosine, dot
 
 RRF = 60
 MAX_TEXT = 12_000
-#: Query rows that may be broadcast (each a vector of some hundred floats).
-BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that may go to every task at once.
+BROADCAST_BYTES = 64 * 2**20
+#: Query terms that may be broadcast (short strings).
+BROADCAST_TERMS = 100_000
+#: Scores that a task holds at a time.
+SCORES_AT_A_TIME = 4_000_000
 
 
 def _top(df: DataFrame, k: int, order: list, by: str = "queryId") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _scorer(asked: list[tuple], k: int, shape: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's part of ``knn``: its items against all ``(queryId, vector)``, in matrix blocks."""
+    import numpy as np
+
+    by_size: dict[int, list[tuple]] = {}
+    for ask, vector in asked:
+        if vector and None not in vector and any(vector):
+            by_size.setdefault(len(vector), []).append((ask, vector))
+    units = {}
+    for size, some in by_size.items():
+        m = np.array([v for _, v in some], float)
+        units[size] = ([ask for ask, _ in some], (m / np.linalg.norm(m, axis=1, keepdims=True)).T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1).to_pylist()
+            for size, (asks, unit) in units.items():
+                rows = [i for i, v in enumerate(vectors) if v and len(v) == size and None not in v]
+                step = max(1, SCORES_AT_A_TIME // len(asks))
+                for start in range(0, len(rows), step):
+                    mine = np.array(rows[start : start + step])
+                    m = np.array([vectors[i] for i in mine], float)
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    mine, m = mine[norm[:, 0] > 0], (m / np.where(norm > 0, norm, 1))[norm[:, 0] > 0]
+                    if not len(m):
+                        continue
+                    # rounded, so that equal vectors tie whatever block they are in
+                    scores = np.round(m @ unit, 12)
+                    least = np.partition(scores, -k, axis=0)[-k] if len(m) > k else np.full(len(asks), -2.0)
+                    at, of = np.nonzero(scores >= least)
+                    ids = batch.column(0).take(pa.array(mine[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array([asks[j] for j in of], shape.types[0]), ids.cast(shape.types[1]), pa.array(scores[at, of])], shape.names)
+
+    return run
+
+
 def knn(items: DataFrame, queries: DataFrame, k: int, where: Column | None = None, blocks: int = 16) -> DataFrame:
     """Exact cosine top-k of ``(id, embedding)`` for each ``(queryId, queryVector)``; filters come first.
 
     A stated query set is scored against all items in blocks: each item block keeps its own
-    top k per query before anything is shuffled, and a second top-k merges the blocks.
+    top k per query (with all that tie with its last) before anything is shuffled, and a
+    second top-k merges the blocks.  Queries of up to ``BROADCAST_BYTES`` go to the tasks as one
+    matrix; more are joined to item blocks.  Vectors without length, with a null or of another
+    size than the query's have no score.
     """
     base = items if where is None else items.where(where)
-    n = queries.count()
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("queryVector")).alias("width")).first()
+    order = [F.desc("score"), F.asc("id")]
+    if size["n"] * max(1, size["width"] or 0) * 8 <= BROADCAST_BYTES:
+        asked = queries.select("queryId", F.col("queryVector").cast("array<double>")).collect()
+        schema = StructType([queries.schema["queryId"], items.schema["id"], StructField("score", DoubleType())])
+        scored = base.select("id", F.col("embedding").cast("array<double>")).mapInArrow(_scorer([tuple(r) for r in asked], k, to_arrow_schema(schema)), schema)
+        return _top(scored, k, order)
     left = base.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     right = queries.select("queryId", "queryVector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = left.join(F.broadcast(right) if n <= BROADCAST_QUERIES else right, "block")
-    scored = pairs.select("queryId", "block", "id", cosine(F.col("embedding"), F.col("queryVector")).alias("score")).where("score is not null")
-    per_block = scored.withColumn("r", F.row_number().over(Window.partitionBy("queryId", "block").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
-    return _top(per_block.select("queryId", "id", "score"), k, [F.desc("score"), F.asc("id")])
+    scored = left.join(right, "block").select("queryId", "block", "id", cosine(F.col("embedding"), F.col("queryVector")).alias("score")).where("score is not null")
+    per_block = scored.withColumn("r", F.row_number().over(Window.partitionBy("queryId", "block").orderBy(*order))).where(F.col("r") <= k)
+    return _top(per_block.select("queryId", "id", "score"), k, order)
 
 
 def ann(items: DataFrame, queries: DataFrame, k: int, planes: int = 4, tables: int = 32, seed: int = 17) -> DataFrame:
@@ -60,24 +113,35 @@ def terms(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def _weighed(weight: float) -> Callable[[Column], Column]:
+    return lambda term: F.struct(term.alias("term"), F.lit(weight).alias("weight"))
+
+
 def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over weighted text fields for ``(queryId, query)``; only the queries' terms are counted and shuffled."""
+    """BM25 over weighted text fields for ``(queryId, query)``; only the queries' terms are counted and shuffled.
+
+    ``id`` is unique.  Texts are cut once for the mean length and once for the hits, which carry
+    their document's length.  Query terms and their document counts are broadcast while their
+    counted number is within ``BROADCAST_TERMS``, so a word of every text makes no hot key.
+    """
     wanted = queries.select("queryId", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    words = None
-    for name, weight in fields.items():
-        one = docs.select("id", F.lit(weight).alias("weight"), terms(F.coalesce(name, F.lit(""))).alias("terms"))
-        words = one if words is None else words.unionByName(one)
-    sizes = words.groupBy("id").agg(F.sum(F.size("terms") * F.col("weight")).alias("dl"))
+    small = wanted.count() <= BROADCAST_TERMS
+    sent = F.broadcast if small else lambda df: df
+    cut = {name: terms(F.coalesce(name, F.lit(""))) for name in fields}
+    lengths = [F.size(cut[name]) * F.lit(weight) for name, weight in fields.items()]
+    sizes = docs.select("id", sum(lengths[1:], lengths[0]).alias("dl"))
     stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    vocabulary = wanted.select("term").distinct()
-    hits = words.select("id", "weight", F.explode("terms").alias("term")).join(F.broadcast(vocabulary) if vocabulary.count() <= 100_000 else vocabulary, "term", "left_semi")
-    tf = hits.groupBy("id", "term").agg(F.sum("weight").alias("tf"))
+    worded = docs.select("id", *[c.alias(f"t{i}") for i, c in enumerate(cut.values())])
+    lengths = [F.size(f"t{i}") * F.lit(weight) for i, weight in enumerate(fields.values())]
+    weighed = [F.transform(f"t{i}", _weighed(weight)) for i, weight in enumerate(fields.values())]
+    hits = worded.select("id", sum(lengths[1:], lengths[0]).alias("dl"), F.explode(F.concat(*weighed)).alias("hit")).select("id", "dl", "hit.term", "hit.weight")
+    tf = hits.join(sent(wanted.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.sum("weight").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    parts = tf.join(df, "term").join(sizes, "id").select("id", "term", part.alias("part"))
-    scores = wanted.join(parts, "term").groupBy("queryId", "id").agg(F.sum("part").alias("score"))
+    parts = tf.join(sent(df), "term").select("id", "term", part.alias("part"))
+    scores = parts.join(sent(wanted), "term").groupBy("queryId", "id").agg(F.sum("part").alias("score"))
     return _top(scores, k, [F.desc("score"), F.asc("id")])
 
 

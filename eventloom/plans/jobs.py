@@ -50,7 +50,9 @@ def _ingest(lake: Lake, known: DataFrame, markers: DataFrame, now: datetime, wat
     """Bronze, quarantine, late facts, stage times, then Silver; every step may be run again."""
     valid = known.where("isValidEvent")
     history = lake.read("silver_operational_events")
-    conflicts = facts.all_conflicts(facts.conflicting_ids(valid), facts.historical_conflicts(valid, history), facts.coordinate_conflicts(valid, lake.read("bronze_operational_events"))).persist()
+    known_late = lake.read("silver_late_operational_events")
+    stored = facts.stored_fingerprints(history, known_late, now)
+    conflicts = facts.all_conflicts(facts.conflicting_ids(valid), facts.historical_conflicts(valid, stored), facts.coordinate_conflicts(valid, lake.read("bronze_operational_events"))).persist()
     quality = facts.admission_quality(known, conflicts, now, watermark).first().asDict()
     clean = privacy.exclude_markers(facts.without_ids(valid, conflicts), markers)
     bronze = facts.with_expiry(facts.to_bronze(privacy.exclude_markers(valid, markers)), now, POLICY.bronze_days)
@@ -60,7 +62,7 @@ def _ingest(lake: Lake, known: DataFrame, markers: DataFrame, now: datetime, wat
     future = facts.to_quarantine(admitted.where("admission.status = 'FUTURE'"), F.lit(envelopes.FUTURE), now, future=True)
     lake.merge("quarantine_operational_events", bad.unionByName(future))
     closed = facts.to_late_facts(admitted.where("admission.status = 'CLOSED'").withColumns(facts._facts(admitted)), markers, now)
-    late = facts.late_not_admitted(closed, history, conflicts, lake.read("silver_late_operational_events"))
+    late = facts.late_not_admitted(closed, history, conflicts, known_late)
     lake.merge("silver_late_operational_events", late)
     silver = facts.with_expiry(facts.to_silver(admitted.where("admission.status = 'OPEN'").drop("admission"), markers, conflicts), now, POLICY.silver_days)
     add_facts(lake, silver)

@@ -85,9 +85,15 @@ overwrite_table = write_table
 
 
 def merge_insert_only(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target plus the source rows whose key it lacks, one per key; a second run changes nothing."""
-    new = source.dropDuplicates(keys).join(bound_target(target, source, keys).select(*keys), keys, "left_anti")
-    return target.unionByName(new.select(*target.columns))
+    """Target plus ``new_rows``; a second run changes nothing."""
+    return target.unionByName(new_rows(target, source, keys))
+
+
+def new_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """The source rows whose key the target lacks, one per key: the first by its content, whatever the partitioning."""
+    row = F.struct(*target.columns)
+    one = source.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return one.join(bound_target(target, source, keys).select(*keys), keys, "left_anti").select(*target.columns)
 
 
 def bound_target(target: DataFrame, source: DataFrame, keys: list[str], most: int = 256) -> DataFrame:
@@ -122,8 +128,8 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
 
 
 def expire(df: DataFrame, at: datetime) -> DataFrame:
-    """The table without rows that expire at or before ``at``."""
-    return df.where(F.col("expiresAt") > F.lit(at))
+    """The table without rows that expire at or before ``at``; rows without an expiry stay."""
+    return df.where(F.col("expiresAt").isNull() | (F.col("expiresAt") > F.lit(at)))
 
 
 def compact(spark: SparkSession, path: str, spec: TableSpec, target_files: int) -> int:

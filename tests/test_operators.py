@@ -221,3 +221,48 @@ def test_assessment_verdicts(spark):
     assert run(base[:6] + (0.9, 0.8, 100.0, 10.0))["verdict"] == "Recommend"
     assert run(base)["verdict"] == "Defer" and run(base)["failed"] == ["relevanceGain"]
     assert run(base[:6] + (0.9, 0.8, 200.0, 10.0))["verdict"] == "Reject"
+
+
+def test_insert_only_merge_does_not_hang_on_partitions(spark):
+    """Two rows of one key: the same one is taken however the rows are dealt, and stored ones stay."""
+    new = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d")], "id int, body string")
+    old = spark.createDataFrame([(3, "old")], "id int, body string")
+    for n in (1, 4):
+        rows = {(r["id"], r["body"]) for r in tables.merge_insert_only(old, new.repartition(n), ["id"]).collect()}
+        assert rows == {(1, "a"), (2, "c"), (3, "old")}
+
+
+def test_rows_without_an_expiry_stay(spark):
+    rows = spark.createDataFrame([(1, None), (2, NOW), (3, NOW + timedelta(days=1))], "id int, expiresAt timestamp")
+    assert {r["id"] for r in tables.expire(rows, NOW).collect()} == {1, 3}
+
+
+def test_a_conflict_with_a_late_fact_is_seen(spark):
+    """Live late facts count as history beside Silver; expired ones don't."""
+    schema = "eventId string, eventFingerprint string, expiresAt timestamp"
+    later = NOW + timedelta(days=1)
+    silver = spark.createDataFrame([("a", "1", later), ("b", "1", NOW)], schema)
+    late = spark.createDataFrame([("c", "1", None), ("d", "1", NOW)], schema)
+    stored = facts.stored_fingerprints(silver, late, NOW)
+    incoming = spark.createDataFrame([(x, "2") for x in "abcd"], "eventId string, eventFingerprint string")
+    assert {r["eventId"] for r in facts.historical_conflicts(incoming, stored).collect()} == {"a", "c"}
+
+
+def test_exact_search_against_brute_force(spark, monkeypatch):
+    """Ties, nulls, zero vectors and other sizes; the matrix and the joined form give the same rows."""
+    items = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(4)]) for i in range(60)]
+    items += [(100, items[3][1]), (101, [0.0] * 4), (102, None), (103, [1.0, 2.0]), (104, [1.0, None, 2.0, 3.0]), (105, [])]
+    df = spark.createDataFrame(items, "id int, embedding array<double>").repartition(3)
+    asks = spark.createDataFrame([(i, v) for i, v in items if i % 20 == 0 or i > 100], "queryId int, queryVector array<double>")
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    good = lambda v: bool(v) and None not in v and size(v) > 0
+    want = set()
+    for q, u in items:
+        if (q % 20 == 0 or q > 100) and good(u):
+            cos = [(-round(sum(a * b for a, b in zip(u, v)) / size(u) / size(v), 12), i) for i, v in items if good(v) and len(v) == len(u)]
+            want |= {(q, i, n + 1) for n, (_, i) in enumerate(sorted(cos)[:5])}
+    found = lambda: {(r["queryId"], r["id"], r["rank"]) for r in retrieval.knn(df, asks, 5).collect()}
+    assert found() == want
+    monkeypatch.setattr(retrieval, "SCORES_AT_A_TIME", 20)
+    assert found() == want
+    assert retrieval.knn(df.limit(0), asks, 5).count() == 0 and retrieval.knn(df, asks.limit(0), 5).count() == 0
