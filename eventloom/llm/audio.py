@@ -178,14 +178,27 @@ LINKS = "query_id long, match_id long, offset_frames int, votes int, bit_error d
 
 
 def search(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """Alignments of the query recordings with all others, both as ``(rec_id, prints)``."""
+    """Alignments of the query recordings with all others, both as ``(rec_id, prints)``.
+
+    Every query block meets every item block in one cell of a grid of hashed slots, of which
+    the driver knows the counts alone.
+    """
     q = materialize(blocks(queries).withColumn("block", F.monotonically_increasing_id()))
     r = materialize(blocks(items).withColumn("salt", F.monotonically_increasing_id()))
-    spread = max(1, r.count())
-    names = [x["block"] for x in q.select("block").collect()]
-    salted = F.pmod(F.xxhash64("salt"), F.lit(spread))
-    left = r.select(salted.alias("salt"), F.explode(F.array(*map(F.lit, names)).cast("array<long>")).alias("block"), *[F.col(c).alias(f"r_{c}") for c in ("ids", "sizes", "prints")])
-    right = q.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("salt"), "ids", "sizes", "prints")
+    packed = ("ids", "sizes", "prints")
+
+    def slots(df: DataFrame) -> int:
+        return max(1, df.count())
+
+    def slot(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n)).alias(name)
+
+    def all_slots(name: str, n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+
+    n_q, n_r = slots(q), slots(r)
+    left = r.select(slot("salt", n_r), all_slots("block", n_q), *[F.col(c).alias(f"r_{c}") for c in packed])
+    right = q.select(slot("block", n_q), all_slots("salt", n_r), *packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
