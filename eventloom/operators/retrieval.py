@@ -137,7 +137,8 @@ def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: in
     weighed = [F.transform(f"t{i}", _weighed(weight)) for i, weight in enumerate(fields.values())]
     hits = worded.select("id", sum(lengths[1:], lengths[0]).alias("dl"), F.explode(F.concat(*weighed)).alias("hit")).select("id", "dl", "hit.term", "hit.weight")
     tf = hits.join(sent(wanted.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.sum("weight").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # counts a column of tf, so that the plan's exchange below it is the same and is used twice
+    df = tf.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     parts = tf.join(sent(df), "term").select("id", "term", part.alias("part"))
