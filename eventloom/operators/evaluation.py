@@ -71,43 +71,95 @@ def evaluation_summary(results: DataFrame) -> DataFrame:
     )
 
 
-#: Conditions of a paired assessment: name, SQL over baseline (b_) and candidate (c_) columns.
-CONDITIONS: dict[str, str] = {
-    "baselinePresent": "b_attempts > 0",
-    "candidatePresent": "c_attempts > 0",
-    "sameAttempts": "b_attempts = c_attempts",
-    "enoughAttempts": "c_attempts >= minAttempts",
-    "noBaselineFailures": "b_failures = 0",
-    "noCandidateFailures": "c_failures = 0",
-    "baselineAvailable": "b_unavailable <= b_attempts * maxUnavailable",
-    "candidateAvailable": "c_unavailable <= c_attempts * maxUnavailable",
-    "baselineRecallKnown": "b_meanRecall IS NOT NULL",
-    "candidateRecallKnown": "c_meanRecall IS NOT NULL",
-    "baselineNdcgKnown": "b_meanNdcg IS NOT NULL",
-    "candidateNdcgKnown": "c_meanNdcg IS NOT NULL",
-    "recallFloor": "c_meanRecall >= minRecall",
-    "ndcgFloor": "c_meanNdcg >= minNdcg",
-    "recallNotWorse": "c_meanRecall >= b_meanRecall - tolerance",
-    "ndcgNotWorse": "c_meanNdcg >= b_meanNdcg - tolerance",
-    "relevanceGain": "c_meanNdcg - b_meanNdcg >= minGain OR c_meanRecall - b_meanRecall >= minGain",
-    "latencyBound": "c_p95Millis <= b_p95Millis * maxSlower",
-    "throughputBound": "c_perSecond >= b_perSecond * minThroughput",
+#: Reasons of a paired assessment, in order, and what raises each: a condition over a pair's terms
+#: (``b_`` baseline, ``c_`` candidate) and what was gathered from its queries and costs.
+REASONS: dict[str, str] = {
+    "PolicyProposed": "agreed IS NOT TRUE",
+    "LabelsUnreviewed": "rubricApproved IS NOT TRUE OR unreviewed",
+    "MissingLabelAttestation": "attested IS NOT TRUE",
+    "FixtureRankings": "b_rankings = 'AuthoredFixture' OR c_rankings = 'AuthoredFixture'",
+    "FixtureEmbeddings": "(b_generated AND c_generated) IS NOT TRUE",
+    "MissingObservedEvidence": "b_privacy IS NULL OR c_privacy IS NULL",
+    "PrivacyFailure": "b_privacy = 'Failed' OR c_privacy = 'Failed'",
+    "EligibilityFailure": "b_eligibility = 'Failed' OR c_eligibility = 'Failed'",
+    "IncompleteCoverage": "missed OR testedUseCases <> supportedUseCases",
+    "RetrievalFailure": "failed",
+    "MissingRelevance": "noRelevance",
+    "RelevanceRegression": "lessRelevant",
+    "MissingLatency": "noLatency",
+    "LatencyRegression": "slower > noiseMillis",
+    "AbsoluteLatencyBudgetExceeded": "(b_generated OR c_generated) AND slowest > budgetMillis",
+    "MissingProviderMeasurements": "b_requests IS NULL OR c_requests IS NULL",
+    "ProviderRequestRegression": "c_requests > b_requests",
+    "MissingComparableBilling": "NOT comparable",
+    "CostLimitExceeded": "comparable AND dearer",
 }
-#: Conditions whose failure rejects; a failure of any other one defers.
-REJECTING = ("noCandidateFailures", "recallFloor", "ndcgFloor", "recallNotWorse", "ndcgNotWorse", "latencyBound", "throughputBound")
-DEFAULT_POLICY = {"minAttempts": 1.0, "maxUnavailable": 0.05, "minRecall": 0.5, "minNdcg": 0.5, "tolerance": 0.01, "minGain": 0.02, "maxSlower": 1.1, "minThroughput": 0.9}
-
-
-def assess(baseline: DataFrame, candidate: DataFrame, policy: dict[str, float] | None = None) -> DataFrame:
-    """Recommend, Defer or Reject by group, with the conditions that failed."""
-    keys = ["useCase", "filterGroup", "split"]
-    side = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys])
-    both = side(baseline, "b").join(side(candidate, "c"), keys, "full").withColumns({k: F.lit(v) for k, v in {**DEFAULT_POLICY, **(policy or {})}.items()})
-    holds = {n: F.coalesce(F.expr(f"({c})"), F.lit(False)) for n, c in CONDITIONS.items()}
-    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(n)) for n, ok in holds.items()]))
-    out = both.select(*keys, failed.alias("failed"))
-    verdict = F.when(F.size("failed") == 0, "Recommend").when(F.arrays_overlap("failed", F.array(*map(F.lit, REJECTING))), "Reject").otherwise("Defer")
-    return out.withColumn("verdict", verdict)
+#: Reasons that reject; any other one defers.
+REJECTING = ("PrivacyFailure", "EligibilityFailure", "RetrievalFailure", "RelevanceRegression", "LatencyRegression", "ProviderRequestRegression", "CostLimitExceeded")
+_COMPARABLE = "b_privacy IS NOT NULL AND c_privacy IS NOT NULL AND trim(b_billing) <> '' AND b_billing = c_billing AND trim(b_currency) <> '' AND b_currency = c_currency AND costsKnown"
+_SOUND = "supportedUseCases > 0 AND supportedUseCases = presentUseCases AND costsSound AND noiseMillis >= 0 AND noiseMillis < double('infinity') AND (budgetMillis > 0 OR (budgetMillis IS NULL AND NOT b_generated AND NOT c_generated))"
+
+
+def _pair_queries(measured: DataFrame, terms: DataFrame, costs: DataFrame) -> DataFrame:
+    """What a pair's queries show: per use case and filter group first, then per pair."""
+    policy = costs.where("supported").select("pairId", "useCase", F.lit(True).alias("inPolicy"))
+    rows = measured.join(policy, ["pairId", "useCase"], "left").join(terms.select("pairId", "b_vector", "c_vector"), "pairId")
+    rows = rows.withColumn("inPolicy", F.coalesce("inPolicy", F.lit(False)))
+    rows = rows.withColumn("counts", F.expr("inPolicy AND (useCase <> 'Recommendations' OR coalesce(filterGroup = 'Broad' AND b_vector AND c_vector, false))"))
+    rows = rows.withColumn("test", F.expr("counts AND split = 'HeldOut'"))
+    facts = {
+        "inPolicy": "bool_or(inPolicy)",
+        "unreviewed": "bool_or(inPolicy AND reviewed IS NOT TRUE)",
+        "tests": "count_if(test)",
+        "missed": " OR ".join(f"bool_or({s}_outcome IS NULL OR (counts AND {s}_outcome NOT IN ('Succeeded', 'Failed')))" for s in "bc"),
+        "failed": " OR ".join(f"bool_or(counts AND {s}_outcome <=> 'Failed')" for s in "bc"),
+        "noLatency": " OR ".join(f"bool_or(counts AND {s}_outcome <=> 'Succeeded' AND {s}_latencyMillis IS NULL)" for s in "bc"),
+    }
+    for s in "bc":
+        mine = f"CASE WHEN test AND {s}_outcome = 'Succeeded' THEN {s}_"
+        facts |= {f"{s}_seen": f"count_if(test AND {s}_outcome IS NOT NULL) > 0", f"{s}_recall": f"avg({mine}recall END)", f"{s}_ndcg": f"avg({mine}ndcg END)"}
+        facts[f"{s}_p95"] = f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {mine}latencyMillis END)"
+    groups = rows.groupBy("pairId", "useCase", "filterGroup").agg(*[F.expr(e).alias(n) for n, e in facts.items()])
+    both = "tests > 0 AND b_seen AND c_seen AND "
+    return groups.groupBy("pairId").agg(
+        *[F.expr(f"bool_or({c})").alias(c) for c in ("unreviewed", "missed", "failed", "noLatency")],
+        F.expr(f"bool_or({both}(b_recall IS NULL OR c_recall IS NULL OR b_ndcg IS NULL OR c_ndcg IS NULL))").alias("noRelevance"),
+        F.expr(f"bool_or(coalesce({both}(c_recall < b_recall OR c_ndcg < b_ndcg), false))").alias("lessRelevant"),
+        F.expr(f"max(CASE WHEN {both}true THEN c_p95 - b_p95 END)").alias("slower"),
+        F.expr(f"max(CASE WHEN {both}true THEN greatest(b_p95, c_p95) END)").alias("slowest"),
+        F.expr("count(DISTINCT CASE WHEN inPolicy THEN useCase END)").alias("presentUseCases"),
+        F.expr("count(DISTINCT CASE WHEN tests > 0 THEN useCase END)").alias("testedUseCases"),
+    )
+
+
+def assess(measured: DataFrame, terms: DataFrame, costs: DataFrame) -> DataFrame:
+    """``pairId, decision, reasons`` of pairs of a baseline and a candidate run, all pairs at once.
+
+    ``measured``: a row per pair and query of the corpus ``(pairId, queryId, useCase, filterGroup,
+    split, reviewed)`` with ``outcome, recall, ndcg, latencyMillis`` under ``b_`` and ``c_``; a null
+    outcome is a query that the run does not have.  ``terms``: a row per pair ``(agreed,
+    rubricApproved, attested, noiseMillis, budgetMillis)`` with ``rankings, embeddings, vector,
+    requests, privacy, eligibility, billing, currency`` under ``b_`` and ``c_``; a null privacy
+    is missing evidence.  ``costs``: a row per pair and use case ``(supported, maximumCost, b_cost,
+    c_cost)``.  Relevance and latency are judged on held-out queries of supported use cases, by
+    use case and filter group; recommendations only with broad filters and vector search on both
+    sides.  A policy that cannot be applied gives ``Invalid`` and no reasons.
+    """
+    spent = costs.groupBy("pairId").agg(
+        F.expr("count(DISTINCT CASE WHEN supported THEN useCase END)").alias("supportedUseCases"),
+        F.expr("bool_and(CASE WHEN supported THEN b_cost IS NOT NULL AND c_cost IS NOT NULL ELSE b_cost IS NULL AND c_cost IS NULL END)").alias("costsKnown"),
+        F.expr("bool_or(coalesce(c_cost > maximumCost, false) OR coalesce(c_cost > b_cost, false))").alias("dearer"),
+        F.expr("bool_and(coalesce(least(maximumCost, b_cost, c_cost) >= 0, true))").alias("costsSound"),
+    )
+    pairs = terms.join(_pair_queries(measured, terms, costs), "pairId", "left").join(spent, "pairId", "left")
+    pairs = pairs.withColumns({f"{s}_generated": F.expr(f"coalesce({s}_embeddings = 'ProviderGenerated', false)") for s in "bc"})
+    pairs = pairs.withColumn("comparable", F.coalesce(F.expr(_COMPARABLE), F.lit(False)))
+    raised = F.array_compact(F.array(*[F.when(F.expr(f"({e})"), F.lit(n)) for n, e in REASONS.items()]))
+    sound = F.coalesce(F.expr(_SOUND), F.lit(False))
+    out = pairs.select("pairId", F.when(sound, raised).otherwise(F.array().cast("array<string>")).alias("reasons"), sound.alias("sound"))
+    rejects = F.arrays_overlap("reasons", F.array(*map(F.lit, REJECTING)))
+    decision = F.when(~F.col("sound"), "Invalid").when(F.size("reasons") == 0, "Recommend").when(rejects, "Reject").otherwise("Defer")
+    return out.select("pairId", decision.alias("decision"), "reasons")
 
 
 def evaluation_violations(runs: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:

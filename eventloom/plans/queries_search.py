@@ -527,10 +527,50 @@ def a26_evaluation_summary(spark, sf):
     return out.select("useCase", "filterGroup", "split", "attempts", "successes", "failures", "unavailable", F.round("meanRecall", 8).alias("meanRecall"), "p50Millis", "p95Millis")
 
 
-@query(_with(_EVAL, f"g AS (SELECT u, f, s, {_EVAL_COLS} GROUP BY ALL)") + " SELECT u AS \"useCase\", f AS \"filterGroup\", s AS split, 'Reject' AS verdict FROM g")
+def _pairs(spark, sf):
+    """An order is a pair of runs, its lines are the queries."""
+    li, o = d.table(spark, sf, "lineitem"), d.table(spark, sf, "orders")
+    use = "CASE l_returnflag WHEN 'A' THEN 'Jobs' WHEN 'N' THEN 'Candidates' ELSE 'Recommendations' END"
+    said = "CASE l_partkey % {0} WHEN 0 THEN 'Failed' WHEN 1 THEN 'Unavailable' WHEN 2 THEN NULL ELSE 'Succeeded' END"
+    measured = li.selectExpr(
+        "l_orderkey AS pairId", "l_linenumber AS queryId", f"{use} AS useCase", "if(l_linestatus = 'O', 'Broad', 'Selective') AS filterGroup", "if(l_linenumber % 4 < 3, 'HeldOut', 'Tuning') AS split", "l_suppkey % 13 <> 0 AS reviewed",
+        f"{said.format(97)} AS b_outcome", f"{said.format(101)} AS c_outcome", "l_partkey % 5 / 4D AS b_recall", "(l_partkey + if(l_partkey % 43 = 0, 1, 0)) % 5 / 4D AS c_recall", "l_partkey % 3 / 2D AS b_ndcg", "l_partkey % 3 / 2D AS c_ndcg",
+        "double(l_quantity) AS b_latencyMillis", "if(l_partkey % 37 = 0, NULL, l_quantity + if(l_partkey % 7 = 0, 2, 0)) AS c_latencyMillis",
+    )
+    k = "o_orderkey"
+    terms = o.selectExpr(
+        f"{k} AS pairId", f"{k} % 11 <> 0 AS agreed", f"{k} % 13 <> 0 AS rubricApproved", f"{k} % 17 <> 0 AS attested", f"double({k} % 4) AS noiseMillis", f"if({k} % 9 = 0, NULL, 49D) AS budgetMillis",
+        f"if({k} % 19 = 0, 'AuthoredFixture', 'Observed') AS b_rankings", "'Observed' AS c_rankings", f"if({k} % 27 = 0, 'Fixture', 'ProviderGenerated') AS b_embeddings", f"if({k} % 27 = 0 OR {k} % 23 = 0, 'Fixture', 'ProviderGenerated') AS c_embeddings",
+        "true AS b_vector", f"{k} % 2 = 0 AS c_vector", "100 AS b_requests", f"CASE WHEN {k} % 29 = 0 THEN NULL WHEN {k} % 31 = 0 THEN 101 ELSE 100 END AS c_requests",
+        "'Passed' AS b_privacy", f"CASE WHEN {k} % 37 = 0 THEN NULL WHEN {k} % 41 = 0 THEN 'Failed' ELSE 'Passed' END AS c_privacy", "'Passed' AS b_eligibility", f"if({k} % 43 = 0, 'Failed', 'Passed') AS c_eligibility",
+        "'plan' AS b_billing", f"if({k} % 47 = 0, ' ', 'plan') AS c_billing", "'EUR' AS b_currency", f"if({k} % 51 = 0, 'USD', 'EUR') AS c_currency",
+    )
+    used = measured.select("pairId", "useCase").distinct().withColumn("supported", F.expr("NOT (useCase = 'Jobs' AND pairId % 7 = 0)"))
+    costs = used.selectExpr("*", "if(pairId % 5 = 0, 12, NULL) AS maximumCost", "if(supported OR pairId % 61 = 0, 10, NULL) AS b_cost", "if(supported, CASE WHEN pairId % 53 = 0 THEN 11 ELSE 9 END, NULL) AS c_cost")
+    return measured, terms, costs
+
+
+_ASSESSED = """q AS (SELECT l_orderkey AS p, CASE l_returnflag WHEN 'A' THEN 'Jobs' WHEN 'N' THEN 'Candidates' ELSE 'Recommendations' END AS u, l_linestatus AS f, l_linenumber % 4 < 3 AS held, l_suppkey % 13 <> 0 AS rev,
+    l_partkey % 97 AS bo, l_partkey % 101 AS co, l_partkey % 5 / 4.0 AS br, (l_partkey + CASE WHEN l_partkey % 43 = 0 THEN 1 ELSE 0 END) % 5 / 4.0 AS cr, l_partkey % 3 / 2.0 AS nd, l_quantity AS bl, CASE WHEN l_partkey % 37 <> 0 THEN l_quantity + CASE WHEN l_partkey % 7 = 0 THEN 2 ELSE 0 END END AS cl,
+    NOT (l_returnflag = 'A' AND l_orderkey % 7 = 0) AS sup FROM lineitem),
+  x AS (SELECT *, sup AND (u <> 'Recommendations' OR (f = 'O' AND p % 2 = 0)) AS ok FROM q),
+  g AS (SELECT p, u, f, avg(br) FILTER (bo > 2) AS br, avg(cr) FILTER (co > 2) AS cr, avg(nd) FILTER (bo > 2) AS bn, avg(nd) FILTER (co > 2) AS cn, quantile_disc(bl, 0.95) FILTER (bo > 2) AS bp, quantile_disc(cl, 0.95) FILTER (co > 2) AS cp FROM x
+    WHERE ok AND held GROUP BY ALL HAVING count(*) FILTER (bo <> 2) > 0 AND count(*) FILTER (co <> 2) > 0),
+  gp AS (SELECT p, bool_or(br IS NULL OR cr IS NULL) AS norel, bool_or(cr < br OR cn < bn) AS less, bool_or(cp > bp + p % 4) AS slow, bool_or(bp > 49 OR cp > 49) AS over FROM g GROUP BY p),
+  xp AS (SELECT p, count(DISTINCT u) FILTER (sup) AS n, count(DISTINCT u) FILTER (ok AND held) AS tested, bool_or(NOT sup) AS partial, bool_or(sup AND NOT rev) AS unrev, bool_or(bo = 2 OR co = 2 OR (ok AND (bo = 1 OR co = 1))) AS missed,
+    bool_or(ok AND (bo = 0 OR co = 0)) AS failed, bool_or(ok AND co > 2 AND cl IS NULL) AS nolat FROM x GROUP BY p),
+  t AS (SELECT o_orderkey AS k, n, tested, unrev, missed, failed, nolat, norel, less, slow, over, k % 37 <> 0 AND k % 47 <> 0 AND k % 51 <> 0 AND NOT (partial AND k % 61 = 0) AS bill FROM orders LEFT JOIN xp ON xp.p = o_orderkey LEFT JOIN gp ON gp.p = o_orderkey),
+  r AS (SELECT k, coalesce(n, 0) > 0 AND (k % 9 <> 0 OR k % 27 = 0) AS valid, [CASE WHEN k % 11 = 0 THEN 'PolicyProposed' END, CASE WHEN k % 13 = 0 OR unrev THEN 'LabelsUnreviewed' END, CASE WHEN k % 17 = 0 THEN 'MissingLabelAttestation' END,
+    CASE WHEN k % 19 = 0 THEN 'FixtureRankings' END, CASE WHEN k % 27 = 0 OR k % 23 = 0 THEN 'FixtureEmbeddings' END, CASE WHEN k % 37 = 0 THEN 'MissingObservedEvidence' END, CASE WHEN k % 37 <> 0 AND k % 41 = 0 THEN 'PrivacyFailure' END,
+    CASE WHEN k % 43 = 0 THEN 'EligibilityFailure' END, CASE WHEN missed OR tested <> n THEN 'IncompleteCoverage' END, CASE WHEN failed THEN 'RetrievalFailure' END, CASE WHEN norel THEN 'MissingRelevance' END, CASE WHEN less THEN 'RelevanceRegression' END,
+    CASE WHEN nolat THEN 'MissingLatency' END, CASE WHEN slow THEN 'LatencyRegression' END, CASE WHEN k % 27 <> 0 AND over THEN 'AbsoluteLatencyBudgetExceeded' END, CASE WHEN k % 29 = 0 THEN 'MissingProviderMeasurements' END,
+    CASE WHEN k % 29 <> 0 AND k % 31 = 0 THEN 'ProviderRequestRegression' END, CASE WHEN NOT bill THEN 'MissingComparableBilling' END, CASE WHEN bill AND k % 53 = 0 THEN 'CostLimitExceeded' END] AS said FROM t),
+  e AS (SELECT k, valid, CASE WHEN valid THEN array_to_string(list_filter(said, lambda v: v IS NOT NULL), '+') ELSE '' END AS reasons FROM r)"""
+
+
+@query(_with(_ASSESSED) + """ SELECT k AS "pairId", reasons, CASE WHEN NOT valid THEN 'Invalid' WHEN reasons = '' THEN 'Recommend' WHEN regexp_matches(reasons, 'Failure|Regression|CostLimit') THEN 'Reject' ELSE 'Defer' END AS decision FROM e""")
 def v18_paired_assessment(spark, sf):
-    r = evaluation.evaluation_summary(_results(spark, sf)).where("useCase is not null")
-    return evaluation.assess(r, r).select("useCase", "filterGroup", "split", "verdict")
+    return evaluation.assess(*_pairs(spark, sf)).select("pairId", "decision", F.array_join("reasons", "+").alias("reasons"))
 
 
 @query(

@@ -215,12 +215,32 @@ def test_fusion_ties_and_failures(spark):
 
 
 def test_assessment_verdicts(spark):
-    cols = "useCase string, filterGroup string, split string, attempts int, failures int, unavailable int, meanRecall double, meanNdcg double, p95Millis double, perSecond double"
-    base = ("u", "f", "s", 10, 0, 0, 0.8, 0.7, 100.0, 10.0)
-    run = lambda c: evaluation.assess(spark.createDataFrame([base], cols), spark.createDataFrame([c], cols)).first()
-    assert run(base[:6] + (0.9, 0.8, 100.0, 10.0))["verdict"] == "Recommend"
-    assert run(base)["verdict"] == "Defer" and run(base)["failed"] == ["relevanceGain"]
-    assert run(base[:6] + (0.9, 0.8, 200.0, 10.0))["verdict"] == "Reject"
+    """One clean pair is recommended; each change raises its own reason."""
+    side = lambda p, **k: {f"{p}_{n}": v for n, v in k.items()}
+    both = lambda **k: side("b", **k) | side("c", **k)
+    query = dict(queryId=1, useCase="Jobs", filterGroup="Broad", split="HeldOut", reviewed=True) | both(outcome="Succeeded", recall=0.5, ndcg=0.5, latencyMillis=10.0)
+    term = dict(agreed=True, rubricApproved=True, attested=True, noiseMillis=5.0, budgetMillis=50.0) | both(rankings="Observed", embeddings="ProviderGenerated", vector=True, requests=9, privacy="Passed", eligibility="Passed", billing="plan", currency="EUR")
+    cost = dict(useCase="Jobs", supported=True, maximumCost=10, b_cost=5, c_cost=5)
+    cases = [
+        ({}, "Recommend", []), ({"c_recall": 0.4}, "Reject", ["RelevanceRegression"]), ({"c_latencyMillis": 15.0}, "Recommend", []), ({"c_latencyMillis": 15.5}, "Reject", ["LatencyRegression"]), ({"c_latencyMillis": None}, "Defer", ["MissingLatency"]),
+        ({"b_latencyMillis": 60.0}, "Defer", ["AbsoluteLatencyBudgetExceeded"]), ({"agreed": False}, "Defer", ["PolicyProposed"]), ({"reviewed": None}, "Defer", ["LabelsUnreviewed"]), ({"attested": None}, "Defer", ["MissingLabelAttestation"]),
+        ({"c_outcome": "Failed"}, "Reject", ["RetrievalFailure", "MissingRelevance"]), ({"c_outcome": "Unavailable"}, "Defer", ["IncompleteCoverage", "MissingRelevance"]), ({"c_outcome": None}, "Defer", ["IncompleteCoverage"]), ({"split": "Tuning"}, "Defer", ["IncompleteCoverage"]),
+        ({"c_privacy": None}, "Defer", ["MissingObservedEvidence", "MissingComparableBilling"]), ({"c_eligibility": "Failed"}, "Reject", ["EligibilityFailure"]), ({"c_cost": 6}, "Reject", ["CostLimitExceeded"]), ({"c_currency": "USD", "c_cost": 99}, "Defer", ["MissingComparableBilling"]),
+        ({"c_requests": 10}, "Reject", ["ProviderRequestRegression"]), ({"b_requests": None}, "Defer", ["MissingProviderMeasurements"]), ({"budgetMillis": None}, "Invalid", []), ({"noiseMillis": float("nan")}, "Invalid", []), ({"maximumCost": -1}, "Invalid", []), ({"supported": False}, "Invalid", []),
+    ]
+
+    def frame(row: dict, ddl: str):
+        rows = [{"pairId": i} | row | {n: v for n, v in change.items() if n in row} for i, (change, *_) in enumerate(cases)]
+        names = [c.split()[0] for c in ddl.split(", ")]
+        return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ddl)
+
+    two = lambda *pairs: ", ".join(f"{s}_{n} {t}" for s in "bc" for n, t in pairs)
+    measured = frame(query, "pairId int, queryId int, useCase string, filterGroup string, split string, reviewed boolean, " + two(("outcome", "string"), ("recall", "double"), ("ndcg", "double"), ("latencyMillis", "double")))
+    terms = frame(term, "pairId int, agreed boolean, rubricApproved boolean, attested boolean, noiseMillis double, budgetMillis double, " + two(*[(n, "string") for n in ("rankings", "embeddings", "privacy", "eligibility", "billing", "currency")], ("vector", "boolean"), ("requests", "int")))
+    costs = frame(cost, "pairId int, useCase string, supported boolean, maximumCost int, b_cost int, c_cost int")
+    got = [(r["decision"], r["reasons"]) for r in evaluation.assess(measured, terms, costs).orderBy("pairId").collect()]
+    assert got == [(decision, reasons) for _, decision, reasons in cases]
+    assert evaluation.assess(measured.limit(0), terms, costs).where("decision <> 'Invalid'").count() == 0
 
 
 def test_insert_only_merge_does_not_hang_on_partitions(spark):
