@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import envelopes, facts, privacy, reports
+from ..sources import events, snapshots
 from ..sources import tables as store
+from ..sources.shared import shared_path
 from ..specs import POLICY, SUBJECT_TABLES, TABLES
 from ..streaming import batches, journal
 
@@ -35,9 +37,9 @@ class Lake:
         store.write_table(store.conform(df, TABLES[name]), self.path(name), TABLES[name])
 
     def merge(self, name: str, source: DataFrame) -> None:
-        """Insert-only by the table's key."""
+        """Insert-only by the table's key: the rows that are missing are appended."""
         spec = TABLES[name]
-        self.write(name, store.merge_insert_only(self.read(name), store.conform(source, spec), list(spec.key)))
+        store.append_rows(store.new_rows(self.read(name), store.conform(source, spec), list(spec.key)), self.path(name), spec)
 
 
 def prepared(lake: Lake, records: DataFrame) -> DataFrame:
@@ -52,7 +54,11 @@ def _ingest(lake: Lake, known: DataFrame, markers: DataFrame, now: datetime, wat
     history = lake.read("silver_operational_events")
     known_late = lake.read("silver_late_operational_events")
     stored = facts.stored_fingerprints(history, known_late, now)
-    conflicts = facts.all_conflicts(facts.conflicting_ids(valid), facts.historical_conflicts(valid, stored), facts.coordinate_conflicts(valid, lake.read("bronze_operational_events"))).persist()
+    conflicts = facts.all_conflicts(facts.conflicting_ids(valid), facts.historical_conflicts(valid, stored), facts.coordinate_conflicts(valid, lake.read("bronze_operational_events")))
+    # A stored table: a cached one would be made anew after every append to a table that it reads.
+    path = shared_path(lake.spark)
+    conflicts.write.parquet(path)
+    conflicts = lake.spark.read.parquet(path)
     quality = facts.admission_quality(known, conflicts, now, watermark).first().asDict()
     clean = privacy.exclude_markers(facts.without_ids(valid, conflicts), markers)
     bronze = facts.with_expiry(facts.to_bronze(privacy.exclude_markers(valid, markers)), now, POLICY.bronze_days)
@@ -66,7 +72,7 @@ def _ingest(lake: Lake, known: DataFrame, markers: DataFrame, now: datetime, wat
     lake.merge("silver_late_operational_events", late)
     silver = facts.with_expiry(facts.to_silver(admitted.where("admission.status = 'OPEN'").drop("admission"), markers, conflicts), now, POLICY.silver_days)
     add_facts(lake, silver)
-    conflicts.unpersist()
+    store.remove(lake.spark, path)
     return quality
 
 
@@ -87,20 +93,84 @@ def rebuild_gold(lake: Lake, as_of: datetime, k: int = POLICY.min_subjects, exac
     lake.write("gold_hiring_stage_durations", reports.stage_durations(times, k, exact))
 
 
-def run_batch(lake: Lake, records: DataFrame, markers: DataFrame, now: datetime, k: int = POLICY.min_subjects) -> str:
-    """Bounded publication: purge marked rows, ingest, then publish unless quality or erasure forbids."""
+def _blocked(quality: dict[str, int]) -> bool:
+    return quality["malformed"] + quality["conflicting"] + quality["future"] > 0
+
+
+def publish(lake: Lake, run_id: str, as_of: datetime, k: int = POLICY.min_subjects) -> str:
+    """Rebuild the reports and publish their extract as the next snapshot; gives the verdict.
+
+    A run that was published already is not published again.  The snapshot is written before the
+    control row that points to it, so a crash between them leaves the former report in force;
+    the snapshot of the broken run is then replaced.  Expired snapshots go.
+    """
+    control = lake.read("control_report")
+    held = control.first()
+    generation, revision = (held["generation"], held["revision"]) if held else (0, -1)
+    following = revision if held and held["runId"] == run_id else revision + 1
+    expires = as_of + timedelta(days=POLICY.snapshot_days)
+    row = [(run_id, generation, following, as_of, expires)]
+    request = lake.spark.createDataFrame(row, "runId STRING, generation BIGINT, revision BIGINT, asOf TIMESTAMP, expiresAt TIMESTAMP")
+    verdict = snapshots.publication_decision(control, request).first()["verdict"]
+    if verdict != "PUBLISH":
+        return verdict
+    rebuild_gold(lake, as_of, k)
+    report = snapshots.as_json(snapshots.extract_report({n: lake.read(n) for n in GOLD}, as_of))
+    shot = request.withColumns({"state": F.lit("published"), "report": F.lit(report)})
+    kept = store.expire(lake.read("report_snapshots"), as_of)
+    lake.write("report_snapshots", store.merge_upsert(kept, shot, list(TABLES["report_snapshots"].key)))
+    lake.write("control_report", snapshots.publish_snapshot(control, request))
+    return verdict
+
+
+def latest_report(lake: Lake, now: datetime) -> DataFrame:
+    """The snapshot that is in force, or no row."""
+    return snapshots.latest_snapshot(lake.read("control_report"), lake.read("report_snapshots"), now)
+
+
+def _manifest(lake: Lake, run_id: str, ranges: DataFrame, status: str, at: datetime) -> None:
+    rows = ranges.select(F.lit(run_id).alias("runId"), "topic", "partition", "startOffset", "endOffsetExclusive", F.lit(status).alias("status"), F.lit(at.isoformat()).alias("updatedAt"))
+    spec = TABLES["control_run_manifests"]
+    lake.write(spec.name, store.merge_upsert(lake.read(spec.name), store.conform(rows, spec), list(spec.key)))
+
+
+def run_batch(lake: Lake, run_id: str, ranges: DataFrame, records: DataFrame, markers: DataFrame, now: datetime, erasing: bool = False, k: int = POLICY.min_subjects) -> str:
+    """Bounded publication of the records of a manifest's offset ranges; gives the outcome.
+
+    Refused: a range without offsets, a run id that was recorded with other ranges, records that
+    do not cover the ranges exactly.  Malformed, conflicting or future records block the reports,
+    as does an erasure in progress; the manifest names how the run ended.  A run that broke off
+    is run again; one that was published is not.
+    """
+    keys = ["topic", "partition", "startOffset", "endOffsetExclusive"]
+    if ranges.isEmpty() or not ranges.where("startOffset IS NULL OR endOffsetExclusive IS NULL OR endOffsetExclusive <= startOffset").isEmpty():
+        raise ValueError("a manifest names ranges that hold offsets")
+    held = lake.read("control_run_manifests").where(F.col("runId") == run_id)
+    if not held.isEmpty():
+        if not held.select(*keys).exceptAll(ranges.select(*keys)).isEmpty() or not ranges.select(*keys).exceptAll(held.select(*keys)).isEmpty():
+            raise ValueError("the run was recorded with other ranges")
+        if held.first()["status"] == "Published":
+            return "Published"
+    if not events.offset_coverage(records, ranges).where("verdict <> 'COMPLETE'").isEmpty():
+        raise ValueError("the records do not cover the ranges")
+    _manifest(lake, run_id, ranges, "Started", now)
     purge(lake, markers)
     known = prepared(lake, records)
     quality = _ingest(lake, known, markers, now, None)
     known.unpersist()
-    if quality["malformed"] + quality["conflicting"] + quality["future"]:
-        return "QualityBlocked"
-    rebuild_gold(lake, now, k)
-    return "Published"
+    outcome = "QualityBlocked" if _blocked(quality) else "ErasurePending" if erasing else "Published"
+    if outcome == "Published" and publish(lake, run_id, now, k) not in ("PUBLISH", "ALREADY_PUBLISHED"):
+        raise ValueError("the report was refused")
+    _manifest(lake, run_id, ranges, outcome, now)
+    return outcome
+
 
+def process_batch(lake: Lake, records: DataFrame, batch: int, markers: DataFrame, now: datetime, lineage: str = "main", k: int = POLICY.min_subjects, erasing: bool = False) -> str:
+    """One micro-batch under the journal: a batch that ended is not run again, one that broke off is resumed.
 
-def process_batch(lake: Lake, records: DataFrame, batch: int, markers: DataFrame, now: datetime, lineage: str = "main", k: int = POLICY.min_subjects) -> str:
-    """One micro-batch under the journal: a batch that ended is not run again, one that broke off is resumed."""
+    A publication is decided on before it is made; see ``journal.decide``.  While an erasure is in
+    progress the records are kept and the reports wait.
+    """
     spark = lake.spark
     progress = lake.read("control_streaming_progress")
     held = progress.where((F.col("lineage") == lineage) & (F.col("batchId") == batch)).first()
@@ -115,13 +185,20 @@ def process_batch(lake: Lake, records: DataFrame, batch: int, markers: DataFrame
     before = lake.read("silver_operational_events")
     quality = _ingest(lake, known, markers, now, mark)
     lake.write("control_streaming_progress", journal.journal_move(lake.read("control_streaming_progress"), lineage, batch, journal.INGESTED, now))
-    blocked = quality["malformed"] + quality["conflicting"] + quality["future"]
-    outcome, new_mark = ("QualityBlocked", None) if blocked else ("Published", mark)
-    if not blocked:
-        rebuild_gold(lake, now, k)
+    outcome, new_mark = "QualityBlocked" if _blocked(quality) else "ErasurePending" if erasing else "Published", None
+    if outcome == "Published":
         mine = lake.read("silver_operational_events").join(known.select("eventId"), "eventId", "left_semi")
         rest = before.join(known.select("eventId"), "eventId", "left_anti")
         new_mark = batches.visible_watermark(rest, mine, mark, now, k).first()["watermark"]
+        run_id = f"{lineage}-{batch}"
+        control = lake.read("control_report").first()
+        seen = journal.marker_fingerprint(markers).first()["fingerprint"]
+        ahead = (control["generation"], control["revision"] + 1) if control else (0, 0)
+        decided = spark.createDataFrame([(lineage, batch, 0, seen, new_mark, run_id, evidence["f"], *ahead)], TABLES["control_streaming_decisions"].schema)
+        decisions = lake.read("control_streaming_decisions")
+        lake.write("control_streaming_decisions", journal.decide(decisions, decided))
+        if publish(lake, run_id, now, k) not in ("PUBLISH", "ALREADY_PUBLISHED"):
+            raise ValueError("the report was refused")
     lake.write("control_streaming_progress", journal.journal_move(lake.read("control_streaming_progress"), lineage, batch, outcome, now, new_mark))
     known.unpersist()
     return outcome

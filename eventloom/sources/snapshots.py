@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -63,6 +64,13 @@ def publish_snapshot(control: DataFrame, request: DataFrame) -> DataFrame:
     return new.unionByName(control.select(*new.columns)).orderBy(F.desc("revision")).limit(1)
 
 
+def as_json(report: Report) -> str:
+    """A report's families as one JSON text; bounded, since an extract is."""
+    family = lambda rows: [r.asDict() for r in rows]
+    hire = report.time_to_hire.asDict() if report.time_to_hire else None
+    return json.dumps({"funnel": family(report.funnel), "timeToHire": hire, "stageDurations": family(report.stage_durations), "skills": family(report.skills)}, default=str)
+
+
 def latest_snapshot(control: DataFrame, snapshots: DataFrame, now: datetime) -> DataFrame:
     """Published snapshots of the control row's generation and revision that have not expired."""
     c = control.select("generation", "revision")

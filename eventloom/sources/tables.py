@@ -2,7 +2,8 @@
 
 A table is a folder of ``v=<n>`` versions and a pointer file naming the current one; a write
 makes a new version and then moves the pointer, so no path is overwritten while it is read.
-Merges are pure: they give the new table's rows.
+Insert-only merges append files to the current version: nothing stored is read whole or
+written anew.  Merge functions are pure: they give the new table's rows.
 """
 
 from __future__ import annotations
@@ -72,6 +73,29 @@ def write_table(df: DataFrame, path: str, spec: TableSpec) -> None:
     fs.create(pointer).close()
 
 
+def append_rows(df: DataFrame, path: str, spec: TableSpec) -> None:
+    """Add files to the current version; the new rows alone are checked, and stored files stay as they are.
+
+    A frame of no rows adds nothing.  A writer that is run again after a crash must give the rows that
+    are still missing (see ``new_rows``).
+    """
+    spark = df.sparkSession
+    version = _current(spark, path)
+    if version is None:
+        write_table(df, path, spec)
+        return
+    if not matches(df.schema, spec):
+        raise ValueError(f"{spec.name}: the frame's shape differs from the declared one")
+    held = df.persist()
+    try:
+        if not check_rows(held, spec).isEmpty():
+            raise ValueError(f"{spec.name}: rows break the declared checks")
+        if not held.isEmpty():
+            held.write.mode("append").parquet(f"{path}/v={version}")
+    finally:
+        held.unpersist()
+
+
 def ensure_table(spark: SparkSession, path: str, spec: TableSpec) -> None:
     """Create an empty table, or verify that the stored one has the declared shape."""
     version = _current(spark, path)
@@ -152,6 +176,12 @@ def reclaim(spark: SparkSession, path: str, dry_run: bool = True) -> list[str]:
     return sorted(x.getName() for x in old)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored step that nothing reads any more."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def exists_any(df: DataFrame) -> bool:
     return not df.isEmpty()
 

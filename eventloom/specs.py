@@ -132,6 +132,8 @@ _TABLES = (
         "publicationGeneration BIGINT NOT NULL, publicationRevision BIGINT NOT NULL",
         key=("lineage", "batchId", "revision"),
     ),
+    TableSpec("control_report", "state STRING NOT NULL, generation BIGINT NOT NULL, revision BIGINT NOT NULL, runId STRING NOT NULL, asOf TIMESTAMP NOT NULL, expiresAt TIMESTAMP NOT NULL", ("expiresAt > asOf",), key=("generation", "revision")),
+    TableSpec("report_snapshots", "generation BIGINT NOT NULL, revision BIGINT NOT NULL, runId STRING NOT NULL, state STRING NOT NULL, asOf TIMESTAMP NOT NULL, expiresAt TIMESTAMP NOT NULL, report STRING NOT NULL", ("expiresAt > asOf",), key=("generation", "revision")),
     TableSpec("control_hmac_key_registry", "keyId STRING NOT NULL, verifier STRING NOT NULL", key=("keyId",)),
 )
 TABLES: dict[str, TableSpec] = {t.name: t for t in _TABLES}

@@ -47,6 +47,27 @@ def journal_append(decisions: DataFrame, row: DataFrame) -> DataFrame:
     return decisions.unionByName(row.select(*decisions.columns))
 
 
+def marker_fingerprint(markers: DataFrame) -> DataFrame:
+    """One row naming a set of deletion markers: its size and sums of its digests' parts, in no order."""
+    digest = F.sha2("subjectToken", 256)
+    parts = [F.coalesce(F.sum(F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 13, 25, 37, 49)]
+    return markers.select("subjectToken").distinct().agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("fingerprint"))
+
+
+def decide(decisions: DataFrame, row: DataFrame) -> DataFrame:
+    """The decisions with one that publishes a batch under the row's view of the markers.
+
+    The batch's last decision stands if it saw the same markers; otherwise the next revision is
+    added, three at most.
+    """
+    mine = decisions.join(row.select("lineage", "batchId"), ["lineage", "batchId"], "left_semi")
+    last = latest_decisions(mine).first()
+    if last is not None and last["deletionMarkerFingerprint"] == row.first()["deletionMarkerFingerprint"]:
+        return decisions
+    following = 0 if last is None else last["revision"] + 1
+    return journal_append(decisions, row.withColumn("revision", F.lit(following)))
+
+
 def latest_decisions(decisions: DataFrame) -> DataFrame:
     return latest_by(decisions, ["lineage", "batchId"], "revision")
 

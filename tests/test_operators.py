@@ -159,6 +159,90 @@ def test_stream_replay_and_erasure(spark, lake, tmp_path):
     assert lake.read("silver_operational_events").count() == 0
 
 
+def data_files(lake, name: str) -> set[str]:
+    return set(lake.read(name).inputFiles())
+
+
+def test_batches_append_and_publish(spark, tmp_path):
+    """Manifests, coverage, snapshots and outcomes of bounded runs; stored files are left alone."""
+    lake = jobs.Lake(spark, str(tmp_path), "k1", b"x" * 32)
+    none = spark.createDataFrame([], "subjectToken string")
+    ranges = lambda *r: spark.createDataFrame([("t", 0, a, b) for a, b in r], "topic string, partition int, startOffset long, endOffsetExclusive long")
+    first = records(spark, [created(i) for i in range(12)])
+    with pytest.raises(ValueError, match="cover"):
+        jobs.run_batch(lake, "r0", ranges((0, 13)), first, none, NOW)
+    with pytest.raises(ValueError, match="hold offsets"):
+        jobs.run_batch(lake, "r0", ranges((5, 5)), first, none, NOW)
+    assert lake.read("control_run_manifests").count() == 0
+    assert jobs.run_batch(lake, "r0", ranges((0, 12)), first, none, NOW) == "Published"
+    files = {n: data_files(lake, n) for n in ("bronze_operational_events", "silver_operational_events")}
+    shot = jobs.latest_report(lake, NOW).first()
+    assert (shot["runId"], shot["revision"]) == ("r0", 0) and json.loads(shot["report"])["funnel"][0]["created"] == 12
+    with pytest.raises(ValueError, match="other ranges"):
+        jobs.run_batch(lake, "r0", ranges((0, 11)), first, none, NOW)
+    second = records(spark, [created(i) for i in range(12, 24)], 12)
+    assert jobs.run_batch(lake, "r1", ranges((12, 24)), second, none, NOW, erasing=True) == "ErasurePending"
+    assert jobs.latest_report(lake, NOW).first()["runId"] == "r0"
+    for _ in range(2):
+        assert jobs.run_batch(lake, "r1", ranges((12, 24)), second, none, NOW) == "Published"
+    for name, before in files.items():
+        assert before < data_files(lake, name) and lake.read(name).count() == 24
+    shot = jobs.latest_report(lake, NOW).first()
+    assert (shot["runId"], shot["revision"]) == ("r1", 1) and json.loads(shot["report"])["funnel"][0]["created"] == 24
+    assert jobs.run_batch(lake, "r2", ranges((24, 25)), records(spark, ["broken"], 24), none, NOW) == "QualityBlocked"
+    assert {(r["runId"], r["status"]) for r in lake.read("control_run_manifests").collect()} == {("r0", "Published"), ("r1", "Published"), ("r2", "QualityBlocked")}
+    assert jobs.latest_report(lake, NOW + timedelta(days=31)).count() == 0
+
+
+def test_a_run_that_broke_off_is_run_again(spark, tmp_path, monkeypatch):
+    """A crash before the control row moves leaves no new report in force; the next run makes it."""
+    lake = jobs.Lake(spark, str(tmp_path), "k1", b"x" * 32)
+    none = spark.createDataFrame([], "subjectToken string")
+    batch = records(spark, [created(i) for i in range(12)])
+    write = jobs.Lake.write
+
+    def breaks(self, name, df):
+        if name == "control_report":
+            raise OSError("lost")
+        write(self, name, df)
+
+    monkeypatch.setattr(jobs.Lake, "write", breaks)
+    with pytest.raises(OSError):
+        jobs.process_batch(lake, batch, 0, none, NOW)
+    assert jobs.latest_report(lake, NOW).count() == 0
+    monkeypatch.setattr(jobs.Lake, "write", write)
+    for _ in range(2):
+        assert jobs.process_batch(lake, batch, 0, none, NOW) == "Published"
+    assert lake.read("report_snapshots").count() == 1 and jobs.latest_report(lake, NOW).count() == 1
+    assert lake.read("control_streaming_decisions").count() == 1 and lake.read("bronze_operational_events").count() == 12
+
+
+def test_decisions_follow_the_marker_view(spark):
+    schema = TABLES["control_streaming_decisions"].schema
+    row = lambda seen: spark.createDataFrame([("main", 1, 0, seen, NOW, "main-1", "f", 0, 0)], schema)
+    held = row("a").limit(0)
+    for seen, revisions in (("a", 1), ("a", 1), ("b", 2), ("a", 3)):
+        held = journal.decide(held, row(seen))
+        assert held.count() == revisions
+    with pytest.raises(ValueError, match="too many"):
+        journal.decide(held, row("b"))
+    marks = lambda *t: journal.marker_fingerprint(spark.createDataFrame([(x,) for x in t], "subjectToken string")).first()[0]
+    assert marks() != marks("a") and marks("a", "b") == marks("b", "a", "a") != marks("a", "c")
+
+
+def test_stream_of_files_is_published(spark, tmp_path):
+    lake = jobs.Lake(spark, str(tmp_path / "lake"), "k1", b"x" * 32)
+    none = spark.createDataFrame([], "subjectToken string")
+    path = str(tmp_path / "in")
+    for i in (0, 12):
+        records(spark, [created(n) for n in range(i, i + 12)], i).coalesce(1).write.mode("append").parquet(path)
+    source = events.read_event_stream(spark, {"path": path}, "files")
+    jobs.run_stream(lake, source, none, str(tmp_path / "ck"), clock=lambda: NOW)
+    jobs.run_stream(lake, source, none, str(tmp_path / "ck"), clock=lambda: NOW)
+    assert {(r["batchId"], r["outcome"]) for r in lake.read("control_streaming_progress").collect()} == {(0, "Published"), (1, "Published")}
+    assert lake.read("gold_application_funnel").first()["created"] == 24 and jobs.latest_report(lake, NOW).first()["runId"] == "main-1"
+
+
 def test_file_stream(spark, tmp_path):
     """A record stream over files, acknowledged batch by batch; its checkpoint can be read."""
     path, seen = str(tmp_path / "in"), []
