@@ -71,7 +71,7 @@ def evaluation_summary(results: DataFrame) -> DataFrame:
     )
 
 
-#: Reasons of a paired assessment, in order, and what raises each: a condition over a pair's terms
+#: Reasons of a paired assessment (names and order are fixed values) and what raises each: a condition over a pair's terms
 #: (``b_`` baseline, ``c_`` candidate) and what was gathered from its queries and costs.
 REASONS: dict[str, str] = {
     "PolicyProposed": "agreed IS NOT TRUE",
