@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, language, licenses, lm, near_dup, packing, pii, quality, tokens
+from . import alignment, audio, bpe, language, licenses, lm, manifest, near_dup, packing, pii, quality, secrets, tokens
 from .common import crc_of_id, documents
 
 
@@ -64,10 +64,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.detect(documents(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_language_id, op3_token_counts, op4_lm_scores, op5_near_duplicates, op6_personal_data, op7_chroma_fingerprints, op8_best_fit_packing, op9_license_scans, op10_byte_bpe]
+    found = [op1_quality_rules, op2_language_id, op3_token_counts, op4_lm_scores, op5_near_duplicates, op6_personal_data, op7_chroma_fingerprints, op8_best_fit_packing, op9_license_scans, op10_byte_bpe, op11_secret_scans, op12_token_alignment, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE_SQL}
+    return {"op1_quality_rules": quality.ORACLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}

@@ -457,7 +457,7 @@ def test_stages_judge_rows_not_ids(spark):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(oracle_sql()) <= set(queries())
 
 
