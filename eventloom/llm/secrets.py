@@ -5,8 +5,9 @@ scanned in every whole text, in linear time.  Every other run of 16 or more symb
 candidate.  Its encoding is inferred from its symbols, and three tests measure it there:
 
 * chi-squared uniformity of the alphabet, by its coincidences (pairs of equal symbols);
-* runs above and below the alphabet's middle;
-* serial correlation of neighbouring symbols' ranks.
+* runs of digits and of other symbols: names change case and use joining signs, but seldom mix
+  digits in;
+* serial correlation of neighbouring symbols' ranks, in which both cases of a letter stand together.
 
 Each test gives two probabilities: under a uniform alphabet, and under ordinary words.  What
 ordinary words are is counted over all texts: how often each symbol follows each other one in
@@ -54,7 +55,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}")
 
-#: Encodings from the narrowest on, and their alphabets in the order of ASCII, in which words keep to one half.
+#: Encodings from the narrowest on, and their alphabets.
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = {
     "hex": _DIGIT + "abcdef",
@@ -66,6 +67,7 @@ ALPHABETS = {
     "base64": "+/" + _DIGIT + _UPPER + _LOWER,
     "base64 url": "-" + _DIGIT + _UPPER + "_" + _LOWER,
 }
+ALPHABETS = {e: "".join(sorted(s, key=lambda c: (c.lower(), c))) for e, s in ALPHABETS.items()}
 _RANKS = {e: {ord(c): i for i, c in enumerate(s)} for e, s in ALPHABETS.items()}
 _RANK = {e: np.array([_RANKS[e].get(c, -1) for c in range(128)], np.int64) for e in ALPHABETS}
 _SETS = {e: frozenset(s) for e, s in ALPHABETS.items()}
@@ -116,12 +118,12 @@ def cauchy(ps: list[float]) -> float:
 
 @dataclass(frozen=True)
 class Ordinary:
-    """How ordinary words use an alphabet: coincidence of two and three symbols, changes of half, and products of neighbours.
+    """How ordinary words use an alphabet: coincidence of two and three symbols, changes between digits and others, products of neighbours.
 
     ``..._joint`` is the covariance of a place's change, or product, with the next one's, which shares a symbol.
     """
 
-    size: int
+    digits: tuple[bool, ...]
     two: float
     three: float
     changes: float
@@ -144,28 +146,28 @@ class Ordinary:
             p += pairs[np.ix_(other, other)] * (letters[:, None] | letters)
         p /= p.sum()
         q, k = p.sum(1), len(own)
-        half, x = (np.arange(k) >= k / 2).astype(float), np.arange(k) - (k - 1) / 2
-        change, before, after = (half[:, None] != half).astype(float), p / p.sum(0), p / p.sum(1)[:, None]
+        digits, x = np.array([c.isdigit() for c in symbols]), np.arange(k) - (k - 1) / 2
+        change, before, after = (digits[:, None] != digits).astype(float), p / p.sum(0), p / p.sum(1)[:, None]
         changes, product = float((p * change).sum()), float((p * np.outer(x, x)).sum())
         joint = float((q * (before * change).sum(0) * (after * change).sum(1)).sum()) - changes**2
         products_joint = float((q * x**2 * (x @ before) * (after @ x)).sum()) - product**2
-        return cls(k, float((q**2).sum()), float((q**3).sum()), changes, joint, product, float((p * np.outer(x, x) ** 2).sum()) - product**2, products_joint)
+        return cls(tuple(digits.tolist()), float((q**2).sum()), float((q**3).sum()), changes, joint, product, float((p * np.outer(x, x) ** 2).sum()) - product**2, products_joint)
 
     def probabilities(self, ranks: np.ndarray) -> tuple[float, float]:
         """``(under uniformity, under ordinary words)`` of a token's ranks."""
-        n, k = len(ranks), self.size
+        n, k = len(ranks), len(self.digits)
         counts = np.bincount(ranks, minlength=k)
         same = int((counts * (counts - 1)).sum())
         mean = n * (n - 1) * self.two
         spread = 2 * n * (n - 1) * (self.two - self.two**2) + 4 * n * (n - 1) * (n - 2) * (self.three - self.two**2)
         alphabet = upper_poisson(same // 2, n * (n - 1) / (2 * k)), upper_normal((mean - same) / math.sqrt(max(spread, 1e-12)))
-        half = ranks >= k / 2
-        changes = int((half[1:] != half[:-1]).sum())
-        even = abs(changes - (n - 1) / 2) - 0.5
+        digit, share = np.array(self.digits)[ranks], sum(self.digits) / k
+        changes, w = int((digit[1:] != digit[:-1]).sum()), 2 * share * (1 - share)
+        even = (abs(changes - (n - 1) * w) - 0.5) / math.sqrt((n - 1) * w * (1 - w) + 2 * (n - 2) * (w / 2 - w * w))
         mean, spread = (n - 1) * self.changes, math.sqrt(max((n - 1) * self.changes * (1 - self.changes) + 2 * (n - 2) * self.changes_joint, 1e-12))
         # Rare changes are too skew for a normal tail.
         often = max(upper_normal((changes - 0.5 - mean) / spread), upper_poisson(changes, mean)) if self.changes < 0.5 else upper_normal((mean - changes - 0.5) / spread)
-        runs = min(1.0, 2 * upper_normal(even / math.sqrt((n - 1) / 4))), often
+        runs = min(1.0, 2 * upper_normal(even)), often
         x = ranks - (k - 1) / 2
         product = float((x[1:] * x[:-1]).sum())
         away = (n - 1) * self.product - product if self.product > 0 else product - (n - 1) * self.product

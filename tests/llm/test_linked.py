@@ -273,14 +273,14 @@ def test_secrets_are_told_from_names(spark, odd, empty):
             text = f"{text[:50]} {secret} {text[50:]}"
             want[i] = secret
         elif i % 4 == 1:
-            text += " the_river_takes_a_slow_turn src/green/willows/spring/mills TheRiverTakesASlowTurnPastOldMills 2024-01-05-12-30-59-0001 " + "ab" * 30
+            text += " the_river_takes_a_slow_turn src/green/willows/spring/mills TheRiverTakesASlowTurnPastOldMills 2024-01-05-12-30-59-0001 " + "xy" * 30
         rows.append((i, text))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     battery = secrets.fit(docs)
     found = {r["doc_id"]: [rows[r["doc_id"]][1][int(a) : int(b)] for _, a, b in (s.split(":") for s in r["spans"].split(",") if s)] for r in secrets.detect(docs, battery).collect()}
     hit = sum(found[i] == [s] for i, s in want.items())
     assert hit >= 0.9 * len(want), (hit, len(want))
-    assert all(found[i] == [] for i in range(400) if i not in want)
+    assert {s for i in range(400) if i not in want for s in found[i]} == set()
     assert battery.ordinary.keys() == secrets.ALPHABETS.keys()
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs, battery).collect()}
     assert sum("[SECRET]" in masked[i] and want[i] not in masked[i] for i in want) == hit
