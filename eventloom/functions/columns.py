@@ -51,3 +51,20 @@ def length_prefixed(parts: list[Column]) -> Column:
 def nearest_rank(name: str, p: float) -> Column:
     """The exact, not interpolated, percentile of column ``name`` in a group."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {name})")
+
+
+def set_digest(value: Column | str) -> Column:
+    """An aggregate that names a multiset of texts in no order: SHA-256 over their number and the sums of their SHA-256 in lanes of 48 bits.
+
+    Sums combine map-side and in any order; a sum has room for 2^51 texts.
+    Nulls count as their own text.
+    """
+    digest = F.sha2(F.coalesce(F.concat(F.lit("="), value), F.lit("-")), 256)
+    lanes = [F.coalesce(F.sum(F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in range(1, 61, 12)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *lanes), 256)
+
+
+def set_digest_sql(value: str) -> str:
+    """The same in DuckDB, of a text without nulls."""
+    lane = lambda at: f"cast(coalesce(sum(cast(('0x' || substr(sha256('=' || {value}), {at}, 12)) AS bigint)), 0) AS varchar)"
+    return "sha256(cast(count(*) AS varchar) || ':' || " + " || ':' || ".join(lane(at) for at in range(1, 61, 12)) + ")"

@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import utc_day
+from ..functions.columns import set_digest, utc_day
+from ..functions.joins import met
 from ..specs import POLICY
 from . import envelopes
 from .privacy import exclude_markers
@@ -35,8 +36,8 @@ def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def historical_conflicts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Event ids that are stored already under another fingerprint."""
-    old = stored.select("eventId", F.col("eventFingerprint").alias("stored"))
+    """Event ids that are stored already under another fingerprint; the stored side is filtered to the batch's ids where it is read."""
+    old = met(stored.select("eventId", F.col("eventFingerprint").alias("stored")), incoming, ["eventId"])
     return incoming.select("eventId", "eventFingerprint").join(old, "eventId").where("eventFingerprint <> stored").select("eventId").distinct()
 
 
@@ -48,7 +49,7 @@ def stored_fingerprints(silver: DataFrame, late: DataFrame, at: datetime) -> Dat
 
 def coordinate_conflicts(incoming: DataFrame, bronze: DataFrame) -> DataFrame:
     """Event ids of records whose Kafka coordinate is stored with another fingerprint."""
-    old = bronze.select(*COORDINATE, F.col("eventFingerprint").alias("stored"))
+    old = met(bronze.select(*COORDINATE, F.col("eventFingerprint").alias("stored")), incoming, list(COORDINATE))
     return incoming.select("eventId", *COORDINATE, "eventFingerprint").join(old, list(COORDINATE)).where("eventFingerprint <> stored").select("eventId").distinct()
 
 
@@ -67,14 +68,15 @@ def new_conflicts(second: DataFrame, first: DataFrame) -> DataFrame:
 
 def newly_admitted(incoming: DataFrame, admitted: DataFrame, bronze: DataFrame, recovery: bool = False) -> DataFrame:
     """Rows not admitted yet by event id, nor stored at their coordinate; recovery lets those coordinates in again."""
-    fresh = incoming.join(admitted.select("eventId").distinct(), "eventId", "left_anti")
-    return fresh if recovery else fresh.join(bronze.select(*COORDINATE).distinct(), list(COORDINATE), "left_anti")
+    fresh = incoming.join(met(admitted.select("eventId"), incoming, ["eventId"]).distinct(), "eventId", "left_anti")
+    return fresh if recovery else fresh.join(met(bronze.select(*COORDINATE), incoming, list(COORDINATE)).distinct(), list(COORDINATE), "left_anti")
 
 
 def late_not_admitted(closed: DataFrame, silver: DataFrame, conflicts: DataFrame, existing: DataFrame) -> DataFrame:
     """Closed-day facts that neither Silver nor the late table has, and that don't conflict."""
-    out = closed.join(silver.select("eventId"), "eventId", "left_anti").join(conflicts.select("eventId"), "eventId", "left_anti")
-    return out.join(existing.select(*COORDINATE), list(COORDINATE), "left_anti")
+    known = met(silver.select("eventId"), closed, ["eventId"])
+    out = closed.join(known, "eventId", "left_anti").join(conflicts.select("eventId"), "eventId", "left_anti")
+    return out.join(met(existing.select(*COORDINATE), closed, list(COORDINATE)), list(COORDINATE), "left_anti")
 
 
 def with_expiry(df: DataFrame, now: datetime, days: int) -> DataFrame:
@@ -182,16 +184,16 @@ def suppressed_count(all_rows: DataFrame, safe_rows: DataFrame) -> int:
 def input_fingerprint(df: DataFrame) -> DataFrame:
     """Delivered offsets and a digest of the records, by partition, combined map-side.
 
-    The digest sums the records' hashes, so it needs no order and no gathered group.
+    The digest needs no order and no gathered group; a null value differs from an empty one.
     """
-    h = F.xxhash64("topic", "partition", "offset", "rawValue").cast("decimal(38,0)")
-    return df.groupBy("topic", "partition").agg(F.min("offset").alias("startOffset"), (F.max("offset") + 1).alias("endOffsetExclusive"), F.count("*").alias("records"), F.sum(h).cast("string").alias("digest"))
+    line = F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"), F.coalesce(F.sha2(F.col("rawValue").cast("binary"), 256), F.lit("-")))
+    return df.groupBy("topic", "partition").agg(F.min("offset").alias("startOffset"), (F.max("offset") + 1).alias("endOffsetExclusive"), F.count("*").alias("records"), set_digest(line).alias("digest"))
 
 
 def marker_fingerprint(markers: DataFrame) -> DataFrame:
-    """An order-independent digest of a marker set."""
+    """The number of distinct markers and their set's digest."""
     distinct = markers.select("subjectToken").distinct()
-    return distinct.agg(F.count("*").alias("markers"), F.sum(F.conv(F.substring(F.sha2("subjectToken", 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    return distinct.agg(F.count("*").alias("markers"), set_digest("subjectToken").alias("fingerprint"))
 
 
 def range_fingerprint(ranges: DataFrame) -> DataFrame:

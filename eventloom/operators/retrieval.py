@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.columns import canonical_set, cosine, dot
+from ..functions.columns import canonical_set, cosine
 
 RRF = 60
 MAX_TEXT = 12_000
@@ -86,28 +86,6 @@ def knn(items: DataFrame, queries: DataFrame, k: int, where: Column | None = Non
     return _top(per_block.select("queryId", "id", "score"), k, order)
 
 
-def ann(items: DataFrame, queries: DataFrame, k: int, planes: int = 4, tables: int = 32, seed: int = 17) -> DataFrame:
-    """Approximate top-k: random-hyperplane buckets in several tables; all that share one are re-scored exactly."""
-    import numpy as np
-
-    size = items.select(F.max(F.size("embedding"))).first()[0] or 1
-    rng = np.random.default_rng(seed)
-    normals = rng.normal(size=(tables, planes, size)).round(4)
-
-    def keys(vector: Column) -> Column:
-        def bucket(t: int) -> Column:
-            bits = [F.when(dot(vector, F.array(*[F.lit(float(x)) for x in normals[t, p]])) > 0, F.lit(1 << p)).otherwise(F.lit(0)) for p in range(planes)]
-            return F.concat(F.lit(f"{t}:"), sum(bits[1:], bits[0]).cast("string"))
-
-        return F.array(*[bucket(t) for t in range(tables)])
-
-    left = items.select("id", "embedding", F.explode(keys(F.col("embedding"))).alias("bucket"))
-    right = queries.select("queryId", "queryVector", F.explode(keys(F.col("queryVector"))).alias("bucket"))
-    some = left.select("id", "bucket").join(right.select("queryId", "bucket"), "bucket").select("queryId", "id").distinct()
-    scored = some.join(items.select("id", "embedding"), "id").join(queries.select("queryId", "queryVector"), "queryId")
-    return _top(scored.select("queryId", "id", cosine(F.col("embedding"), F.col("queryVector")).alias("score")).where("score is not null"), k, [F.desc("score"), F.asc("id")])
-
-
 def terms(text: Column | str) -> Column:
     """Lower-cased words of letters and digits."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -209,12 +187,10 @@ def skill_evidence(hits: DataFrame) -> DataFrame:
 def skill_evidence_rank(hits: DataFrame, limit: int) -> DataFrame:
     """Retrieval places fused with competition ranks of exact covered/required ratios; without evidence, retrieval order.
 
-    The ratio is ordered exactly: both terms are brought over the viewer's common denominator.
+    Ratios are compared as doubles: equal ones divide to equal doubles, and two of denominators up to
+    n that differ do so by 1/n^2 at least, far above a double's rounding.
     """
-    rows = skill_evidence(hits)
-    whole = Window.partitionBy("queryId")
-    denominator = F.aggregate(F.array_distinct(F.collect_list("required").over(whole)), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
-    rows = rows.withColumn("ratio", (F.col("covered") * denominator / F.col("required")).cast("decimal(38,12)"))
+    rows = skill_evidence(hits).withColumn("ratio", F.col("covered") / F.col("required"))
     ranked = rows.withColumn("evidenceRank", F.when(F.col("ratio").isNotNull(), F.rank().over(Window.partitionBy("queryId").orderBy(F.desc_nulls_last("ratio")))))
     score = 1.0 / (RRF + F.col("retrievalRank")) + F.coalesce(1.0 / (RRF + F.col("evidenceRank")), F.lit(0.0))
     scored = ranked.withColumnRenamed("rank", "retrievalRank").withColumn("score", score)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import set_digest_sql
 from ..operators import envelopes, privacy, reports
 from ..operators import facts as ops
 from ..sources import events as src
 from ..sources import snapshots, tables
-from ..specs import TableSpec
+from ..sources.shared import shared_path
+from ..specs import TABLES, TableSpec
 from ..streaming import batches, journal
 from . import derive as d
+from . import jobs
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -358,12 +361,15 @@ def w1_first_by(spark, sf):
     return ops.first_by(d.table(spark, sf, "lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey"]).select("l_orderkey", F.col("l_linenumber").alias("n"), "l_partkey")
 
 
-@query("SELECT partition, count(*) AS records, min(event_id) AS \"startOffset\", max(event_id) + 1 AS \"endOffsetExclusive\" FROM (SELECT event_id, event_id % 3 AS partition FROM events) GROUP BY 1")
+_LINE = "('t:' || (event_id % 3) || ':' || event_id || ':' || sha256(sha256(event_id || '|' || event_type)))"
+
+
+@query(f'SELECT event_id % 3 AS partition, count(*) AS records, min(event_id) AS "startOffset", max(event_id) + 1 AS "endOffsetExclusive", {set_digest_sql(_LINE)} AS digest FROM events GROUP BY 1')
 def a13_input_fingerprint(spark, sf):
-    return ops.input_fingerprint(d.facts(spark, sf).withColumn("rawValue", F.col("eventFingerprint"))).select("partition", "records", "startOffset", "endOffsetExclusive")
+    return ops.input_fingerprint(d.facts(spark, sf).withColumn("rawValue", F.col("eventFingerprint"))).select("partition", "records", "startOffset", "endOffsetExclusive", "digest")
 
 
-@query("WITH m AS (SELECT DISTINCT 's' || user_id AS t FROM events WHERE user_id % 17 = 0) SELECT count(*) AS markers, cast(sum(cast(('0x' || substr(sha256(t), 1, 15)) AS bigint)) AS varchar) AS fingerprint FROM m")
+@query(f"WITH m AS (SELECT DISTINCT 's' || user_id AS t FROM events WHERE user_id % 17 = 0) SELECT count(*) AS markers, {set_digest_sql('t')} AS fingerprint FROM m")
 def a14_marker_fingerprint(spark, sf):
     return ops.marker_fingerprint(d.markers(spark, sf))
 
@@ -498,11 +504,13 @@ def s7_check_rows(spark, sf):
     return tables.check_rows(rows, _SPEC).select("eventId", "n", F.size("violations").alias("broken"))
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("SELECT cast(event_id AS varchar) AS \"eventId\", CASE WHEN event_id % 3 <> 0 THEN 'stored' ELSE 'new' END AS \"newStatus\" FROM events")
 def s8_merge_insert_only(spark, sf):
     f = d.facts(spark, sf)
-    merged = tables.merge_insert_only(f.where("offset % 3 <> 0"), f.where("offset % 2 = 0 or offset % 3 = 0"), ["eventId"])
-    return tables.merge_insert_only(merged, f, ["eventId"]).agg(F.count("*").alias("n"))
+    stored = f.where("offset % 3 <> 0").withColumn("newStatus", F.lit("stored"))
+    batch = f.where("offset % 2 = 0 or offset % 3 = 0").withColumn("newStatus", F.lit("new"))
+    merged = tables.merge_insert_only(stored, batch, ["eventId"])
+    return tables.merge_insert_only(merged, batch.withColumn("newStatus", F.lit("again")), ["eventId"]).select("eventId", "newStatus")
 
 
 @query("SELECT event_id % 3 AS partition, count(*) AS n FROM events WHERE event_id BETWEEN 100 AND 200 GROUP BY 1")
@@ -608,3 +616,55 @@ def r2_assess(spark, sf):
     return batches.assess(f.withColumn("rawValue", F.col("eventId")), s, s, d.OBSERVED, d.WATERMARK).select("eventId", "conflict", "fresh")
 
 
+# What one batch changes ------------------------------------------------------------------------
+
+
+def _lake(spark):
+    """An empty lake in the shared folder."""
+    return jobs.Lake(spark, shared_path(spark), "k1", b"x" * 32)
+
+
+def _silver(spark, sf):
+    """The events as Silver facts, by user."""
+    f = d.facts(spark, sf, by_user=True)
+    whole = f.select("*", F.lit("Application").alias("aggregateType"), F.col("applicationId").alias("aggregateId"), F.lit("j").alias("jobId"), F.lit(d.OBSERVED).alias("ingestedAt"), F.lit(d.OBSERVED + timedelta(days=30)).alias("expiresAt"))
+    return tables.conform(whole, TABLES["silver_operational_events"])
+
+
+@query(SQL["a6_stage_times"])
+def s12_upsert_by_bucket(spark, sf):
+    """Stage times stored from most facts; the rest arrives as a batch that writes the buckets it touches."""
+    lake, spec = _lake(spark), TABLES["silver_application_stage_times"]
+    f, late = _silver(spark, sf), F.col("eventId").cast("long") % 7 == 0
+    for part in (f.where(~late), f.where(late)):
+        tables.upsert_parts(tables.conform(reports.stage_times(part), spec), lake.path(spec.name), spec, reports.merge_stage_times)
+    return _stages_out(lake.read(spec.name))
+
+
+@query(
+    _ctes(d.FACTS)
+    + " SELECT day, "
+    + ", ".join(f"count(DISTINCT CASE WHEN {c} THEN 'a' || user_id END) AS {n}" for n, c in _CELLS)
+    + " FROM facts GROUP BY day HAVING "
+    + " AND ".join(f"(count(DISTINCT CASE WHEN {c} THEN subj END) = 0 OR count(DISTINCT CASE WHEN {c} THEN subj END) >= 10)" for _, c in _CELLS)
+)
+def x6_gold_by_touched_day(spark, sf):
+    """Reports built from the facts before a day, then made anew for the days that a later batch touches."""
+    lake = _lake(spark)
+    f, batch = _silver(spark, sf), F.to_date("occurredAt") >= F.lit(date(2024, 1, 20))
+    for part in (f.where(~batch | (F.col("eventId").cast("long") % 2 == 0)), f.where(batch)):
+        lake.mark_stale(tables.parts_of(part, TABLES["silver_operational_events"]))
+        lake.merge("silver_operational_events", part)
+        jobs.refresh_gold(lake, d.OBSERVED)
+    return lake.read("gold_application_funnel")
+
+
+@query("SELECT cast(event_id AS varchar) AS \"eventId\" FROM events WHERE user_id % 17 <> 0 AND ts > TIMESTAMP '2024-01-05 00:00:00'")
+def s13_purge_by_touched_day(spark, sf):
+    """Expired and marked rows leave the folders that hold some; other folders' files stay."""
+    lake, spec = _lake(spark), TABLES["silver_operational_events"]
+    lake.merge(spec.name, _silver(spark, sf).withColumn("expiresAt", F.greatest(F.col("ingestedAt") + F.expr("interval 1 second"), F.when(F.col("occurredAt") > F.lit(datetime(2024, 1, 5)), F.lit(d.OBSERVED + timedelta(days=30))))))
+    now = d.OBSERVED + timedelta(days=1)
+    tables.delete_where(spark, lake.path(spec.name), spec, lake.read(spec.name).where(F.col("expiresAt") <= F.lit(now)), lambda rows: tables.expire(rows, now))
+    jobs.purge(lake, d.markers(spark, sf))
+    return lake.read(spec.name).select("eventId")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import coverage, discovery, evaluation, retrieval
+from ..operators import coverage, discovery, evaluation, neighbours, retrieval
 from . import derive as d
 
 Q: dict = {}
@@ -226,14 +226,14 @@ def v1_filtered_knn(spark, sf):
 @query()
 def v2_approximate_knn(spark, sf):
     items = _items(spark, sf)
-    return retrieval.ann(items, _asks(items), 10)
+    return neighbours.ann(items, _asks(items), 10)
 
 
 @query()
 def v17_ann_fidelity(spark, sf):
     items = _items(spark, sf)
     asks = _asks(items)
-    return evaluation.ann_fidelity(retrieval.ann(items, asks, 10), retrieval.knn(items, asks, 10), 10)
+    return evaluation.ann_fidelity(neighbours.ann(items, asks, 10), retrieval.knn(items, asks, 10), 10)
 
 
 @query(_with(_KNN) + ' SELECT "queryId", id FROM (SELECT "queryId", id, row_number() OVER (PARTITION BY "queryId" ORDER BY score DESC, id) AS r FROM k WHERE id <> "queryId") WHERE r <= 5')

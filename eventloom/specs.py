@@ -41,6 +41,7 @@ class Policy:
     marker_days: int = 31
     late_days: int = 30
     max_envelope_bytes: int = 256 * 1024
+    stage_buckets: int = 32
 
 
 POLICY = Policy()
@@ -48,13 +49,17 @@ POLICY = Policy()
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table's columns in order, its checks, and how subjects are attributed in it."""
+    """A table's columns in order, its checks, how subjects are attributed in it, and how its files are laid out.
+
+    ``part`` is the expression, and its type, that a row's folder is named by; a table without one is small.
+    """
 
     name: str
     ddl: str
     checks: tuple[str, ...] = ()
     tokens: str | None = None
     key: tuple[str, ...] = field(default=())
+    part: tuple[str, str] | None = None
 
     @property
     def schema(self) -> StructType:
@@ -68,6 +73,8 @@ def _one_of(column: str, values: tuple[str, ...]) -> str:
 _FACT = "applicationId STRING, jobId STRING, newStatus STRING, jobSkills ARRAY<STRING>"
 _OFFSETS = ("partition >= 0", "offset >= 0")
 _ENUMS = (_one_of("eventType", EVENT_TYPES), _one_of("aggregateType", AGGREGATE_TYPES))
+_DAY, _EXPIRY_DAY = ("to_date(occurredAt)", "DATE"), ("to_date(expiresAt)", "DATE")
+_BUCKET = (f"pmod(xxhash64(applicationId), {POLICY.stage_buckets})", "BIGINT")
 _HOURS = "p50Hours DOUBLE NOT NULL, p75Hours DOUBLE NOT NULL, p90Hours DOUBLE NOT NULL, p95Hours DOUBLE NOT NULL"
 _ORDERED = "p50Hours <= p75Hours AND p75Hours <= p90Hours AND p90Hours <= p95Hours"
 
@@ -79,6 +86,7 @@ _TABLES = (
         (*_ENUMS, *_OFFSETS, "expiresAt > ingestedAt"),
         "subjectTokens",
         ("topic", "partition", "offset"),
+        _DAY,
     ),
     TableSpec(
         "silver_operational_events",
@@ -87,6 +95,7 @@ _TABLES = (
         (*_ENUMS, "expiresAt > ingestedAt"),
         "subjectTokens",
         ("eventId",),
+        _DAY,
     ),
     TableSpec(
         "silver_application_stage_times",
@@ -94,6 +103,7 @@ _TABLES = (
         ("terminalAt IS NULL OR expiresAt > terminalAt",),
         "subjectTokens",
         ("applicationId",),
+        _BUCKET,
     ),
     TableSpec(
         "silver_late_operational_events",
@@ -102,6 +112,7 @@ _TABLES = (
         (*_ENUMS, *_OFFSETS, "expiresAt > ingestedAt"),
         "subjectTokens",
         ("topic", "partition", "offset"),
+        _DAY,
     ),
     TableSpec(
         "quarantine_operational_events",
@@ -109,11 +120,12 @@ _TABLES = (
         _OFFSETS,
         "subjectTokens",
         ("quarantineId",),
+        _EXPIRY_DAY,
     ),
-    TableSpec("gold_application_funnel", "day DATE NOT NULL, " + ", ".join(f"{c} BIGINT NOT NULL" for c in ("created", *map(str.lower, STATUSES))), tuple(f"{c} >= 0" for c in ("created", *map(str.lower, STATUSES)))),
+    TableSpec("gold_application_funnel", "day DATE NOT NULL, " + ", ".join(f"{c} BIGINT NOT NULL" for c in ("created", *map(str.lower, STATUSES))), tuple(f"{c} >= 0" for c in ("created", *map(str.lower, STATUSES))), part=("day", "DATE")),
     TableSpec("gold_time_to_hire", f"{_HOURS}, eligibleCount BIGINT NOT NULL, excludedCount BIGINT NOT NULL", (_ORDERED, "eligibleCount >= 0", "excludedCount >= 0")),
     TableSpec("gold_hiring_stage_durations", f"metric STRING NOT NULL, {_HOURS}, eligibleCount BIGINT NOT NULL", (_one_of("metric", tuple(METRICS)), _ORDERED, f"eligibleCount >= {POLICY.min_subjects}")),
-    TableSpec("gold_job_skills", "day DATE NOT NULL, skill STRING NOT NULL, postings BIGINT NOT NULL", ("postings >= 0",)),
+    TableSpec("gold_job_skills", "day DATE NOT NULL, skill STRING NOT NULL, postings BIGINT NOT NULL", ("postings >= 0",), part=("day", "DATE")),
     TableSpec(
         "control_run_manifests",
         "runId STRING NOT NULL, topic STRING NOT NULL, partition INT NOT NULL, startOffset BIGINT NOT NULL, endOffsetExclusive BIGINT NOT NULL, status STRING NOT NULL, updatedAt STRING NOT NULL",
@@ -132,6 +144,12 @@ _TABLES = (
         "publicationGeneration BIGINT NOT NULL, publicationRevision BIGINT NOT NULL",
         key=("lineage", "batchId", "revision"),
     ),
+    TableSpec(
+        "control_streaming_assessments",
+        "lineage STRING NOT NULL, batchId BIGINT NOT NULL, observedAt TIMESTAMP NOT NULL, priorWatermark TIMESTAMP, markerFingerprint STRING NOT NULL, outcome STRING NOT NULL, conflicts STRING NOT NULL, admitted STRING NOT NULL, evidence STRING NOT NULL",
+        key=("lineage", "batchId"),
+    ),
+    TableSpec("control_stale_days", "day DATE NOT NULL", key=("day",)),
     TableSpec("control_report", "state STRING NOT NULL, generation BIGINT NOT NULL, revision BIGINT NOT NULL, runId STRING NOT NULL, asOf TIMESTAMP NOT NULL, expiresAt TIMESTAMP NOT NULL", ("expiresAt > asOf",), key=("generation", "revision")),
     TableSpec("report_snapshots", "generation BIGINT NOT NULL, revision BIGINT NOT NULL, runId STRING NOT NULL, state STRING NOT NULL, asOf TIMESTAMP NOT NULL, expiresAt TIMESTAMP NOT NULL, report STRING NOT NULL", ("expiresAt > asOf",), key=("generation", "revision")),
     TableSpec("control_hmac_key_registry", "keyId STRING NOT NULL, verifier STRING NOT NULL", key=("keyId",)),

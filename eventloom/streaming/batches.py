@@ -28,12 +28,16 @@ def native_dedupe(events: DataFrame, lateness: str = "24 hours") -> DataFrame:
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def assess(records: DataFrame, silver: DataFrame, bronze: DataFrame, observed_at: datetime, watermark: datetime | None) -> DataFrame:
-    """Read-only first pass: every valid record with its admission, conflicts and novelty."""
-    known = envelopes.with_fingerprint(envelopes.with_validity(records))
+def assess(records: DataFrame, silver: DataFrame, bronze: DataFrame, observed_at: datetime, watermark: datetime | None, conflicts: DataFrame | None = None) -> DataFrame:
+    """Read-only first pass: every valid record with its admission, conflicts and novelty.
+
+    Records that were parsed and validated before are taken as they are, as are conflict ids.
+    """
+    known = records if "isValidEvent" in records.columns else envelopes.with_fingerprint(envelopes.with_validity(records))
     valid = known.where("isValidEvent")
-    conflicts = facts.all_conflicts(facts.conflicting_ids(valid), facts.historical_conflicts(valid, silver), facts.coordinate_conflicts(valid, bronze)).withColumn("conflict", F.lit(True))
-    out = facts.with_admission(valid, observed_at, watermark).join(conflicts, "eventId", "left")
+    if conflicts is None:
+        conflicts = facts.all_conflicts(facts.conflicting_ids(valid), facts.historical_conflicts(valid, silver), facts.coordinate_conflicts(valid, bronze))
+    out = facts.with_admission(valid, observed_at, watermark).join(conflicts.withColumn("conflict", F.lit(True)), "eventId", "left")
     fresh = facts.newly_admitted(valid, silver, bronze).select("eventId").distinct().withColumn("fresh", F.lit(True))
     return out.join(fresh, "eventId", "left").na.fill(False, ["conflict", "fresh"])
 

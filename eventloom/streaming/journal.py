@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.facts import latest_by
+from ..operators.facts import latest_by, marker_fingerprint
 from ..sources.tables import merge_insert_only, merge_upsert
 
 PREPARED, INGESTED = "Prepared", "IngestionCommitted"
@@ -47,13 +47,6 @@ def journal_append(decisions: DataFrame, row: DataFrame) -> DataFrame:
     return decisions.unionByName(row.select(*decisions.columns))
 
 
-def marker_fingerprint(markers: DataFrame) -> DataFrame:
-    """One row naming a set of deletion markers: its size and sums of its digests' parts, in no order."""
-    digest = F.sha2("subjectToken", 256)
-    parts = [F.coalesce(F.sum(F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 13, 25, 37, 49)]
-    return markers.select("subjectToken").distinct().agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("fingerprint"))
-
-
 def decide(decisions: DataFrame, row: DataFrame) -> DataFrame:
     """The decisions with one that publishes a batch under the row's view of the markers.
 

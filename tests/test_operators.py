@@ -226,7 +226,7 @@ def test_decisions_follow_the_marker_view(spark):
         assert held.count() == revisions
     with pytest.raises(ValueError, match="too many"):
         journal.decide(held, row("b"))
-    marks = lambda *t: journal.marker_fingerprint(spark.createDataFrame([(x,) for x in t], "subjectToken string")).first()[0]
+    marks = lambda *t: journal.marker_fingerprint(spark.createDataFrame([(x,) for x in t], "subjectToken string")).first()["fingerprint"]
     assert marks() != marks("a") and marks("a", "b") == marks("b", "a", "a") != marks("a", "c")
 
 
@@ -266,7 +266,11 @@ def test_tables_refuse_drift(spark, tmp_path):
     with pytest.raises(ValueError, match="checks"):
         tables.write_table(tables.conform(good.withColumn("postings", F.lit(-1)), spec), path, spec)
     assert tables.read_or_empty(spark, path, spec).count() == 1
-    assert tables.reclaim(spark, path) and tables.reclaim(spark, path, dry_run=False)
+    assert not tables.exists(spark, tables.staged(path))
+    good.write.parquet(f"{tables.staged(path)}/rows")  # a write that broke off before all was staged
+    later = datetime.now() + timedelta(days=30)
+    assert not tables.reclaim(spark, path, datetime.now()) and tables.reclaim(spark, path, later) and tables.exists(spark, tables.staged(path))
+    assert tables.reclaim(spark, path, later, dry_run=False) and not tables.exists(spark, tables.staged(path))
 
 
 def test_range_scan_options():
