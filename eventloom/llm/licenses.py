@@ -80,10 +80,11 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in _PHRASES.items():
-        at = joined.find(b" " + phrase + b" ")
-        while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
-            at = joined.find(b" " + phrase + b" ", at + 1)
+        at, counted, blanks = joined.find(b" " + phrase + b" "), 0, 0
+        while at >= 0:  # blanks are counted on from the last place, so every byte is read once
+            blanks += joined.count(b" ", counted, at)
+            found.append((blanks, label))
+            counted, at = at, joined.find(b" " + phrase + b" ", at + 1)
     return sorted(found)
 
 
