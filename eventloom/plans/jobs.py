@@ -365,8 +365,17 @@ def _publish_batch(lake: Lake, known: DataFrame, batch: int, lineage: str, marke
     return last["candidateWatermark"]
 
 
-def run_stream(lake: Lake, source: DataFrame, markers: Markers, checkpoint: str, clock=datetime.utcnow, k: int = POLICY.min_subjects):
-    """Process all that is available, batch by batch."""
+def assert_startable(lake: Lake, checkpoint: str, lineage: str = "main", topic: str = "") -> None:
+    """Raise if the journal and a streaming checkpoint contradict one another."""
+    empty = "batchId BIGINT, endOffsets MAP<STRING, BIGINT>, committed BOOLEAN"
+    held = events.read_checkpoint(lake.spark, checkpoint, topic) if store.exists(lake.spark, f"{checkpoint}/commits") else lake.spark.createDataFrame([], empty)
+    if why := journal.refusals(lake.read("control_streaming_progress"), held, lineage):
+        raise ValueError(f"the stream can't start: {'; '.join(why)}")
+
+
+def run_stream(lake: Lake, source: DataFrame, markers: Markers, checkpoint: str, clock=datetime.utcnow, k: int = POLICY.min_subjects, topic: str = ""):
+    """Process all that is available, batch by batch; refused if journal and checkpoint contradict one another."""
+    assert_startable(lake, checkpoint, topic=topic)
     query = batches.start_stream(source, lambda df, batch: process_batch(lake, df, batch, markers, clock(), k=k) and None, checkpoint)
     query.awaitTermination()
     return query

@@ -134,26 +134,29 @@ def _stage(df: DataFrame, path: str, spec: TableSpec, parts: list | None) -> Non
 
 
 def repair(spark: SparkSession, path: str, spec: TableSpec) -> None:
-    """Replace folders by what is staged for them, if anything is; doing it twice changes nothing."""
-    at = staged(path)
-    if not exists(spark, f"{at}/parts"):
-        return
-    parts = json.loads(spark.read.text(f"{at}/parts").first()[0])
-    rows = _scan(spark, f"{at}/rows", spec)
+    """Finish a replacement that was staged whole but broke off; doing it twice changes nothing."""
+    at = f"{staged(path)}/parts"
+    if exists(spark, at):
+        _apply(spark, path, spec, json.loads(spark.read.text(at).first()[0]))
+
+
+def _apply(spark: SparkSession, path: str, spec: TableSpec, parts: list | None) -> None:
+    """Replace folders by what is staged for them."""
+    rows = _scan(spark, f"{staged(path)}/rows", spec)
     if parts is None or not spec.part:
         _write(rows, path, spec, "overwrite", partitionOverwriteMode="static")
     else:
         _write(rows, path, spec, "overwrite", partitionOverwriteMode="dynamic")
         left = {str(r[0]) for r in rows.select(PART).distinct().collect()}
-        for part in set(parts) - left:
+        for part in {str(p) for p in parts} - left:
             remove(spark, f"{path}/{PART}={part}")
-    remove(spark, at)
+    remove(spark, staged(path))
 
 
 def write_table(df: DataFrame, path: str, spec: TableSpec) -> None:
     """Replace the whole table; refuses another shape and rows that break the declared checks."""
     _stage(df, path, spec, None)
-    repair(df.sparkSession, path, spec)
+    _apply(df.sparkSession, path, spec, None)
 
 
 overwrite_table = write_table
@@ -163,7 +166,7 @@ def replace_parts(df: DataFrame, path: str, spec: TableSpec, parts: list) -> Non
     """Replace the folders ``parts`` by ``df``, whose rows lie in them; the others' files stay. A folder without rows goes."""
     if parts:
         _stage(df, path, spec, parts)
-        repair(df.sparkSession, path, spec)
+        _apply(df.sparkSession, path, spec, parts)
 
 
 def append_rows(df: DataFrame, path: str, spec: TableSpec) -> int:

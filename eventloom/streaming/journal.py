@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import with_previous
 from ..operators.facts import latest_by, marker_fingerprint
 from ..sources.tables import merge_insert_only, merge_upsert
 
@@ -87,12 +88,14 @@ def orphan_decisions(progress: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def reconcile_checkpoint(progress: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """Verdict by batch over ``(batchId, endOffset, startOffset, outcome)`` and ``(batchId, endOffset, committed)``."""
+    """Verdict by batch over ``(batchId, endOffset, startOffset, outcome)`` and ``(batchId, endOffset, committed)``.
+
+    A batch's predecessor is found by ranges of batch ids, so no task sees them all.
+    """
     j = progress.select("batchId", F.col("endOffset").alias("journalEnd"), "startOffset", "outcome")
     c = checkpoint.select("batchId", F.col("endOffset").alias("sparkEnd"), "committed")
     both = j.join(c, "batchId", "full")
-    w = Window.orderBy("batchId")
-    both = both.withColumn("previousEnd", F.lag("sparkEnd").over(w))
+    both = with_previous(both, "batchId", "sparkEnd", "previousEnd")
     done = F.coalesce(F.col("outcome").isin(*TERMINAL), F.lit(False))
     verdict = (
         F.when(F.col("sparkEnd").isNull(), "JOURNAL_ONLY")
@@ -104,3 +107,29 @@ def reconcile_checkpoint(progress: DataFrame, checkpoint: DataFrame) -> DataFram
         .otherwise("OK")
     )
     return both.select("batchId", verdict.alias("verdict"), done.alias("finished"))
+
+
+#: Verdicts under which a stream must not start.
+REFUSED = ("COMMITTED_WITHOUT_JOURNAL", "OFFSETS_DIFFER", "DELIVERED_OUTSIDE", "COMMITTED_UNFINISHED")
+
+
+def refusals(progress: DataFrame, checkpoint: DataFrame, lineage: str) -> list[str]:
+    """Why a stream must not start from ``(batchId, endOffsets, committed)``, the batches that a checkpoint holds.
+
+    Besides the refused verdicts: batches that the journal has and a checkpoint that is behind it
+    lacks (older ones Spark removes by itself), and more than one unfinished batch.  Ends are
+    compared where the checkpoint tells them by partition, as Kafka's do.
+    """
+    mine = progress.where(F.col("lineage") == lineage).select("batchId", "outcome", F.col("deliveredOffsets").alias("told"))
+    ends = F.to_json(F.transform(F.array_sort(F.map_entries("endOffsets")), lambda e: F.struct(e["key"].cast("int").alias("partition"), e["value"].alias("endOffsetExclusive"))))
+    told = F.to_json(F.transform(F.array_sort(F.from_json("told", "array<struct<partition:int,endOffsetExclusive:bigint>>")), lambda e: e))
+    spark_side = checkpoint.select("batchId", "committed", ends.alias("ends"))
+    both = mine.select("batchId", "outcome", told.alias("endOffset"), F.lit(None).cast("string").alias("startOffset"))
+    known = spark_side.join(both.select("batchId", F.col("endOffset").alias("own")), "batchId", "left")
+    seen = known.select("batchId", F.coalesce("ends", "own", F.lit("unknown")).alias("endOffset"), "committed")
+    verdicts = reconcile_checkpoint(both, seen)
+    newest = checkpoint.agg(F.max("batchId").alias("b")).first()["b"]
+    bad = verdicts.where(F.col("verdict").isin(*REFUSED) | ((F.col("verdict") == "JOURNAL_ONLY") & (F.col("batchId") > F.lit(-1 if newest is None else newest))))
+    out = [f"batch {r['batchId']}: {r['verdict']}" for r in bad.orderBy("batchId").limit(20).collect()]
+    open_ones = verdicts.where(~F.col("finished") & ~F.col("verdict").isin("JOURNAL_ONLY", "COMMITTED_WITHOUT_JOURNAL")).count()
+    return out + ([f"{open_ones} unfinished batches"] if open_ones > 1 else [])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -16,6 +17,7 @@ from eventloom.operators import facts, neighbours, reports, retrieval
 from eventloom.plans import jobs
 from eventloom.sources import tables
 from eventloom.specs import TABLES
+from eventloom.streaming import journal
 
 SILVER, TIMES = "silver_operational_events", "silver_application_stage_times"
 
@@ -232,6 +234,32 @@ def test_replay_and_tick_publish(spark, lake, none):
     assert lake.read(SILVER).count() == 0 and lake.read("gold_application_funnel").count() == 0
 
 
+def test_a_start_on_contradicting_offsets_is_refused(spark):
+    """Kafka ends by partition against the journal's; an unfinished last batch may be resumed, two may not."""
+    told = lambda *ends: json.dumps([{"topic": "t", "partition": p, "endOffsetExclusive": e} for p, e in ends])
+    row = lambda b, outcome, *ends: ("main", b, NOW, None, "f", "[]", told(*ends), outcome, None, None)
+    schema = TABLES["control_streaming_progress"].schema
+    good = [row(3, "Published", (0, 5), (1, 9)), row(4, "Published", (0, 7), (1, 9)), row(5, "Prepared", (0, 8), (1, 9))]
+    ck = [(4, {"0": 7, "1": 9}, True), (5, {"0": 8, "1": 9}, False)]
+    held = lambda rows: spark.createDataFrame(rows, "batchId long, endOffsets map<string,bigint>, committed boolean")
+    why = lambda journalled, rows: journal.refusals(spark.createDataFrame(journalled, schema), held(rows), "main")
+    assert why(good, ck) == [] and why(good, [*ck, (6, {"0": 9, "1": 9}, False)]) == ["2 unfinished batches"]
+    assert why(good, [(4, {"0": 6, "1": 9}, True), ck[1]]) == ["batch 4: OFFSETS_DIFFER"]
+    assert why(good, [ck[0], (5, {"0": 8, "1": 9}, True)]) == ["batch 5: COMMITTED_UNFINISHED"]
+    assert why(good, ck[:1]) == ["batch 5: JOURNAL_ONLY"] and why([], ck) == ["batch 4: COMMITTED_WITHOUT_JOURNAL"]
+
+
+def test_the_row_before_is_found_by_ranges(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.choice([None, rng.randrange(50)])) for i in rng.sample(range(10_000), 400)]
+    want, last = {}, None
+    for i, v in sorted(rows):
+        want[i], last = last, v
+    df = spark.createDataFrame(rows, "id int, v int").repartition(6)
+    assert {r["id"]: r["before"] for r in joins.with_previous(df, "id", "v", "before").collect()} == want
+    assert joins.with_previous(df.limit(0), "id", "v", "before").count() == 0
+
+
 def test_digests_of_sets(spark):
     digest = lambda *t: spark.createDataFrame([(x,) for x in t], "t string").repartition(3).agg(set_digest("t").alias("d")).first()["d"]
     assert digest("a", "b", None) == digest(None, "b", "a") and len({digest(), digest(None), digest(""), digest("a"), digest("a", "a"), digest("-"), digest("ab"), digest("a", "b")}) == 8

@@ -241,6 +241,11 @@ def test_stream_of_files_is_published(spark, tmp_path):
     jobs.run_stream(lake, source, none, str(tmp_path / "ck"), clock=lambda: NOW)
     assert {(r["batchId"], r["outcome"]) for r in lake.read("control_streaming_progress").collect()} == {(0, "Published"), (1, "Published")}
     assert lake.read("gold_application_funnel").first()["created"] == 24 and jobs.latest_report(lake, NOW).first()["runId"] == "main-1"
+    other = jobs.Lake(spark, str(tmp_path / "other"), "k1", b"x" * 32)
+    with pytest.raises(ValueError, match="batch 0: COMMITTED_WITHOUT_JOURNAL; batch 1"):
+        jobs.run_stream(other, source, none, str(tmp_path / "ck"), clock=lambda: NOW)
+    with pytest.raises(ValueError, match="batch 1: JOURNAL_ONLY"):
+        jobs.run_stream(lake, source, none, str(tmp_path / "lost"), clock=lambda: NOW)
 
 
 def test_file_stream(spark, tmp_path):
