@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import canonical_set, cosine
+from ..sources.shared import shared_path
 
 RRF = 60
 MAX_TEXT = 12_000
@@ -18,6 +19,8 @@ MAX_TEXT = 12_000
 BROADCAST_BYTES = 64 * 2**20
 #: Query terms that may be broadcast (short strings).
 BROADCAST_TERMS = 100_000
+#: Query terms that may stand in a plan as a list.
+PLAN_TERMS = 5_000
 #: Scores that a task holds at a time.
 SCORES_AT_A_TIME = 4_000_000
 
@@ -95,35 +98,91 @@ def _weighed(weight: float) -> Callable[[Column], Column]:
     return lambda term: F.struct(term.alias("term"), F.lit(weight).alias("weight"))
 
 
-def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over weighted text fields for ``(queryId, query)``; only the queries' terms are counted and shuffled.
-
-    ``id`` is unique.  Texts are cut once for the mean length and once for the hits, which carry
-    their document's length.  Query terms and their document counts are broadcast while their
-    counted number is within ``BROADCAST_TERMS``, so a word of every text makes no hot key.
-    """
-    wanted = queries.select("queryId", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    small = wanted.count() <= BROADCAST_TERMS
-    sent = F.broadcast if small else lambda df: df
-    cut = {name: terms(F.coalesce(name, F.lit(""))) for name in fields}
-    lengths = [F.size(cut[name]) * F.lit(weight) for name, weight in fields.items()]
-    sizes = docs.select("id", sum(lengths[1:], lengths[0]).alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    worded = docs.select("id", *[c.alias(f"t{i}") for i, c in enumerate(cut.values())])
+def _worded(docs: DataFrame, fields: dict[str, float], keep: Callable[[Column], Column] = lambda words: words) -> DataFrame:
+    """``(id, dl, hits)``: a document's weighted length, and its words that ``keep`` leaves with their fields' weights.  One cut of each text."""
+    words = docs.select("id", *[terms(F.coalesce(name, F.lit(""))).alias(f"t{i}") for i, name in enumerate(fields)])
     lengths = [F.size(f"t{i}") * F.lit(weight) for i, weight in enumerate(fields.values())]
-    weighed = [F.transform(f"t{i}", _weighed(weight)) for i, weight in enumerate(fields.values())]
-    hits = worded.select("id", sum(lengths[1:], lengths[0]).alias("dl"), F.explode(F.concat(*weighed)).alias("hit")).select("id", "dl", "hit.term", "hit.weight")
-    tf = hits.join(sent(wanted.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.sum("weight").alias("tf"))
+    weighed = [F.transform(keep(F.col(f"t{i}")), _weighed(weight)) for i, weight in enumerate(fields.values())]
+    return words.select("id", sum(lengths[1:], lengths[0]).alias("dl"), F.concat(*weighed).alias("hits"))
+
+
+def _frequencies(worded: DataFrame) -> DataFrame:
+    """``(term, id, dl, tf)``: a document's weighted count of each of its words."""
+    return worded.select("id", "dl", F.explode("hits").alias("hit")).groupBy(F.col("hit.term").alias("term"), "id", "dl").agg(F.sum("hit.weight").alias("tf"))
+
+
+def _bm25(tf: DataFrame, wanted: DataFrame, n: int, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
+    """Top-k by query from the frequencies of wanted terms.  Scores are rounded, so that equal texts tie in whatever order their parts are added."""
+    sent = F.broadcast if wanted.count() <= BROADCAST_TERMS else lambda df: df
     # counts a column of tf, so that the plan's exchange below it is the same and is used twice
     df = tf.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     parts = tf.join(sent(df), "term").select("id", "term", part.alias("part"))
-    scores = parts.join(sent(wanted), "term").groupBy("queryId", "id").agg(F.sum("part").alias("score"))
+    scores = parts.join(sent(wanted), "term").groupBy("queryId", "id").agg(F.round(F.sum("part"), 9).alias("score"))
     return _top(scores, k, [F.desc("score"), F.asc("id")])
 
 
+def _wanted(queries: DataFrame) -> DataFrame:
+    return queries.select("queryId", F.explode(F.array_distinct(terms("query"))).alias("term"))
+
+
+def _few_terms(wanted: DataFrame) -> list[str] | None:
+    """The distinct terms of the queries, where they are few enough to stand in a plan."""
+    found = [r["term"] for r in wanted.select("term").distinct().limit(PLAN_TERMS + 1).collect()]
+    return sorted(found) if len(found) <= PLAN_TERMS else None
+
+
+def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over weighted text fields for ``(queryId, query)``, in one scan of the texts; ``id`` is unique.
+
+    Texts are cut once, and only words that a query has leave the scan: they are dropped from the
+    word lists before those are unfolded (for more than ``PLAN_TERMS`` query terms, by a semi-join).
+    Lengths and words are stored for the passes over them.  Use ``build_postings`` and
+    ``search_postings`` for many query sets over the same texts.
+    """
+    wanted = _wanted(queries)
+    few = _few_terms(wanted)
+    kept = _worded(docs, fields, (lambda words: F.filter(words, lambda w: w.isin(few))) if few is not None else lambda words: words)
+    path = shared_path(docs.sparkSession)
+    kept.write.parquet(path)
+    stored = docs.sparkSession.read.schema(kept.schema).parquet(path)
+    stats = stored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    tf = _frequencies(stored)
+    if few is None:
+        tf = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    return _bm25(tf, wanted, stats["n"], stats["avgdl"] or 1.0, k, k1, b)
+
+
+#: Folders of a postings table by default, and the folder of document lengths, which stand under no term.
+POSTING_PARTS, LENGTHS = 64, -1
+
+
+def build_postings(docs: DataFrame, fields: dict[str, float], path: str, parts: int = POSTING_PARTS) -> None:
+    """Store ``(term, id, dl, tf)`` in folders by a hash of the term, sorted by term, from one scan of the texts.
+
+    Each document adds one row without a term, so that lengths are counted from the same table.  A
+    term of very many documents is spread over several files.
+    """
+    marked = _worded(docs, fields).withColumn("hits", F.concat("hits", F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight")))))
+    part = F.when(F.col("term") == "", F.lit(LENGTHS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    rows = _frequencies(marked).withColumn("part", part).hint("rebalance", "part")
+    rows.sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(path)
+
+
+def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int, parts: int = POSTING_PARTS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The same rows as ``lexical``, from stored postings: only folders and row groups of the queries' terms are read."""
+    stored, wanted = spark.read.parquet(path), _wanted(queries)
+    stats = stored.where(F.col("part") == LENGTHS).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    few = _few_terms(wanted)
+    if few is None:
+        tf = stored.where(F.col("part") != LENGTHS).join(wanted.select("term").distinct(), "term", "left_semi")
+    else:
+        folders = [r["part"] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")).distinct().collect()]
+        tf = stored.where((F.col("part").isin(folders) & F.col("term").isin(few)) if few else F.lit(False))
+    return _bm25(tf.select("term", "id", "dl", "tf"), wanted, stats["n"], stats["avgdl"] or 1.0, k, k1, b)
+
+
 def lexical_window(scores: DataFrame, n: int) -> DataFrame:
     """Top ``n`` by score, with whether they are all matches."""
     w = Window.partitionBy("queryId")

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import coverage, discovery, evaluation, neighbours, retrieval
+from ..sources.shared import shared_path
 from . import derive as d
 
 Q: dict = {}
@@ -258,19 +259,28 @@ _BM25 = r"""w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text
   tf AS (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM w), f AS (SELECT id, dl, term, count(*) AS tf FROM tf WHERE term IN (SELECT term FROM q) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
   b AS (SELECT "queryId", id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN f USING (term) JOIN df USING (term), s GROUP BY ALL),
-  l AS (SELECT *, row_number() OVER (PARTITION BY "queryId" ORDER BY score DESC, id) AS rank FROM b)"""
+  l AS (SELECT *, row_number() OVER (PARTITION BY "queryId" ORDER BY round(score, 9) DESC, id) AS rank FROM b)"""
 
 
-@query(_with(_BM25) + ' SELECT "queryId", round(score, 5) AS score, rank FROM l WHERE rank <= 20')
+@query(_with(_BM25) + ' SELECT "queryId", id, round(score, 5) AS score, rank FROM l WHERE rank <= 20')
 def v3_lexical_bm25(spark, sf):
     hits = retrieval.lexical(_texts(spark, sf), _questions(spark, sf), {"text": 1.0}, 20)
-    return hits.select("queryId", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hits.select("queryId", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_with(_BM25, "m AS (SELECT \"queryId\", count(*) AS c FROM b GROUP BY 1)") + " SELECT \"queryId\", rank, CASE WHEN c > 15 THEN 'TopMatches' ELSE 'AllMatches' END AS coverage FROM l JOIN m USING (\"queryId\") WHERE rank <= 15")
+@query(SQL["v3_lexical_bm25"])
+def v3_postings_index(spark, sf):
+    """Every text's words stored as postings, then the questions' terms read from them."""
+    path = shared_path(spark)
+    retrieval.build_postings(_texts(spark, sf), {"text": 1.0}, path)
+    hits = retrieval.search_postings(spark, path, _questions(spark, sf), 20)
+    return hits.select("queryId", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_with(_BM25, "m AS (SELECT \"queryId\", count(*) AS c FROM b GROUP BY 1)") + " SELECT \"queryId\", id, rank, CASE WHEN c > 15 THEN 'TopMatches' ELSE 'AllMatches' END AS coverage FROM l JOIN m USING (\"queryId\") WHERE rank <= 15")
 def t4_lexical_window(spark, sf):
     hits = retrieval.lexical(_texts(spark, sf), _questions(spark, sf), {"text": 1.0}, 100)
-    return retrieval.lexical_window(hits, 15).select("queryId", F.col("rank").cast("long").alias("rank"), "coverage")
+    return retrieval.lexical_window(hits, 15).select("queryId", "id", F.col("rank").cast("long").alias("rank"), "coverage")
 
 
 def _ranked(spark, sf):

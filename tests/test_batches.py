@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -301,3 +302,36 @@ def test_clustered_items_need_few_probes(spark):
     items = spark.createDataFrame([(i, (centres[i % 30] + 0.05 * rng.normal(size=16)).tolist()) for i in range(1500)], "id int, embedding array<double>")
     own = neighbours.train(items)
     assert own.probes <= len(own.cells) // 3
+
+
+def test_postings_give_what_a_scan_gives(spark, tmp_path, monkeypatch):
+    """Two weighted fields, nulls, equal texts, words of every text, queries without a hit; few terms and many; pruned folders."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))) + " Common", " ".join(rng.choices(words, k=3)) if i % 3 else None) for i in range(200)]
+    docs += [(500 + i, docs[i][1], docs[i][2]) for i in range(20)] + [(900, None, None)]
+    asks = [(q, " ".join(rng.choices(words, k=4)) + (" common" if q % 2 else "")) for q in range(12)] + [(50, "nothing like it"), (51, ""), (52, None)]
+    table = spark.createDataFrame(docs, "id int, body string, title string").repartition(3)
+    queries = spark.createDataFrame(asks, "queryId int, query string")
+    fields, path = {"body": 1.0, "title": 2.0}, str(tmp_path / "postings")
+    count = lambda text: [w for w in (text or "").lower().split() if w]
+    held = {i: (count(body), count(title)) for i, body, title in docs}
+    avgdl = sum(len(b) + 2 * len(t) for b, t in held.values()) / len(held)
+    want = set()
+    for q, ask in asks:
+        scores = {}
+        for term in set(count(ask)):
+            tf = {i: b.count(term) + 2 * t.count(term) for i, (b, t) in held.items() if term in b or term in t}
+            for i, f in tf.items():
+                idf = math.log(1 + (len(held) - len(tf) + 0.5) / (len(tf) + 0.5))
+                scores[i] = scores.get(i, 0) + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * (len(held[i][0]) + 2 * len(held[i][1])) / avgdl))
+        want |= {(q, i, n + 1) for n, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in scores.items())[:7])}
+    rows = lambda df: {(r["queryId"], r["id"], r["rank"]) for r in df.collect()}
+    retrieval.build_postings(table, fields, path, 8)
+    found = retrieval.search_postings(spark, path, queries, 7, 8)
+    assert rows(retrieval.lexical(table, queries, fields, 7)) == rows(found) == want
+    one = retrieval.search_postings(spark, path, queries.where("queryId = 2"), 7, 8)
+    assert "PartitionFilters: [part" in one._jdf.queryExecution().toString().replace("isnotnull(part", "part").replace("cast(", "") and "PushedFilters: [In(term" in one._jdf.queryExecution().toString()
+    monkeypatch.setattr(retrieval, "PLAN_TERMS", 3)
+    assert rows(retrieval.lexical(table, queries, fields, 7)) == rows(retrieval.search_postings(spark, path, queries, 7, 8)) == want
+    assert retrieval.lexical(table.limit(0), queries, fields, 7).count() == 0
