@@ -177,34 +177,60 @@ def nearby_page(df: DataFrame, cursor: tuple[float, object] | None, n: int) -> D
     return df.orderBy("distanceKm", "id").limit(n)
 
 
-def nearby_jobs(jobs: DataFrame, centres: DataFrame, radius_km: float, cell_degrees: float = 5.0) -> DataFrame:
+#: Cells of centres that are broadcast at most, and the parts that a cell's jobs are dealt to beyond that.
+MOST_CELLS, CELL_PARTS = 200_000, 8
+
+
+def grid(radius_km: float) -> tuple[float, int]:
+    """Degrees of latitude of a cell, and cells around a parallel, for circles of a radius: a circle spans few cells, whatever its size."""
+    degrees = min(30.0, max(0.02, radius_km / 111.0))
+    return degrees, max(1, int(360 / degrees))
+
+
+def nearby_jobs(jobs: DataFrame, centres: DataFrame, radius_km: float) -> DataFrame:
     """Open, not remote jobs within a radius of each centre ``(centreId, cLat, cLon)``.
 
-    Both sides fall into grid cells; a centre is listed in every cell that its circle can
-    touch, so an equi-join replaces the comparison of all pairs.
+    Both sides fall into the cells of a grid whose size follows the radius; a centre is listed in
+    every cell that its circle can touch, so an equi-join replaces the comparison of all pairs.
+    The centres' cells are counted and broadcast up to ``MOST_CELLS``, so jobs are compared where
+    they are read, however many a city's cell holds; beyond that a cell's jobs are dealt to
+    ``CELL_PARTS`` parts, and its centres are listed in each.  Places without coordinates are near nothing.
     """
     rows = jobs.where((F.col("status") == "Open") & ~F.coalesce("remote", F.lit(False)) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    n_lon = int(round(360 / cell_degrees))
-    cell_lat = lambda c: F.floor((c + 90) / cell_degrees)
-    cell_lon = lambda c: F.pmod(F.floor((c + 180) / cell_degrees), F.lit(n_lon))
-    rows = rows.withColumn("cy", cell_lat(F.col("lat"))).withColumn("cx", cell_lon(F.col("lon")))
+    degrees, around = grid(radius_km)
+    cell_lat = lambda c: F.floor((c + 90) / degrees)
+    turn = lambda c: F.floor((c + 180) * around / 360)
+    rows = rows.withColumns({"cy": cell_lat(F.col("lat")), "cx": F.pmod(turn(F.col("lon")), F.lit(around))})
     d_lat = F.lit(radius_km / 111.0)
-    lat_edge = F.least(F.lit(89.9), F.greatest(F.abs(F.col("cLat") - d_lat), F.abs(F.col("cLat") + d_lat)))
-    d_lon = F.least(F.lit(180.0), d_lat / F.cos(F.radians(lat_edge)))
-    near = centres.withColumn("cy", F.explode(F.sequence(cell_lat(F.col("cLat") - d_lat), cell_lat(F.col("cLat") + d_lat))))
-    low, high = F.floor((F.col("cLon") - d_lon + 180) / cell_degrees), F.floor((F.col("cLon") + d_lon + 180) / cell_degrees)
-    steps = F.sequence(low, F.least(high, low + n_lon - 1))
-    near = near.withColumn("cx", F.explode(F.array_distinct(F.transform(steps, lambda x: F.pmod(x, F.lit(n_lon))))))
-    out = rows.join(near, ["cy", "cx"]).withColumn("distanceKm", haversine_km(F.col("lat"), F.col("lon"), F.col("cLat"), F.col("cLon")))
+    # a circle over a pole holds places of every longitude
+    edge = F.abs("cLat") + d_lat
+    d_lon = F.when(edge >= 90, 180.0).otherwise(F.least(F.lit(180.0), d_lat / F.cos(F.radians(edge))))
+    low, high = turn(F.col("cLon") - d_lon), turn(F.col("cLon") + d_lon)
+    steps = F.sequence(low, F.least(high, low + around - 1))
+    near = centres.where("cLat is not null and cLon is not null").withColumn("cy", F.explode(F.sequence(cell_lat(F.col("cLat") - d_lat), cell_lat(F.col("cLat") + d_lat))))
+    near = near.withColumn("cx", F.explode(F.array_distinct(F.transform(steps, lambda x: F.pmod(x, F.lit(around))))))
+    if near.limit(MOST_CELLS + 1).count() <= MOST_CELLS:
+        out = rows.join(F.broadcast(near), ["cy", "cx"])
+    else:
+        dealt = near.withColumn("cellPart", F.explode(F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))))
+        out = rows.withColumn("cellPart", F.pmod(F.xxhash64("id"), F.lit(CELL_PARTS)).cast("int")).join(dealt, ["cy", "cx", "cellPart"]).drop("cellPart")
+    out = out.withColumn("distanceKm", haversine_km(F.col("lat"), F.col("lon"), F.col("cLat"), F.col("cLon")))
     return out.where(F.col("distanceKm") <= radius_km).drop("cy", "cx")
 
 
 # Facets and counts ----------------------------------------------------------------------------
 
 
-def facets(jobs: DataFrame, f: JobFilter | None = None, matched_ids: DataFrame | None = None, top: int = FACET_ROWS) -> DataFrame:
-    """Top values by dimension over open jobs: rows are unpivoted once and counted once."""
+def facets(jobs: DataFrame, f: JobFilter | None = None, matched_ids: DataFrame | None = None, top: int = FACET_ROWS, within: tuple[float, float, float] | None = None) -> DataFrame:
+    """Top values by dimension over open jobs: rows are unpivoted once and counted once.
+
+    ``within`` is a latitude, a longitude and kilometres: only jobs at a place in that circle count.
+    """
     rows = open_jobs(jobs, f or JobFilter())
+    if within is not None:
+        lat, lon, km = within
+        centre = jobs.sparkSession.range(1).select(F.col("id").alias("centreId"), F.lit(float(lat)).alias("cLat"), F.lit(float(lon)).alias("cLon"))
+        rows = nearby_jobs(rows, centre, km).select(*rows.columns)
     if matched_ids is not None:
         rows = rows.join(matched_ids.select("id"), "id", "left_semi")
     cell = lambda dim, value, shown: F.struct(F.lit(dim).alias("dimension"), value.alias("value"), shown.alias("display"))

@@ -94,6 +94,11 @@ def j18_nearby_jobs(spark, sf):
     return _nearby(spark, sf).select("id", "centreId", F.round("distanceKm", 3).alias("km"))
 
 
+@query(_with(d.JOBS, _NEAR) + ' SELECT id, centre AS "centreId", round(km, 3) AS km FROM near WHERE km <= 10')
+def j18_nearby_jobs_10km(spark, sf):
+    return _nearby(spark, sf, 10.0).select("id", "centreId", F.round("distanceKm", 3).alias("km"))
+
+
 @query(_with(d.JOBS, _NEAR) + " SELECT id, round(km, 3) AS km FROM near WHERE centre = 40 AND km <= 3000 AND km > 100 ORDER BY km, id LIMIT 10")
 def p23_nearby_page(spark, sf):
     page = discovery.nearby_page(_nearby(spark, sf, 3000.0).where("centreId = 40"), (100.0, 0), 10)
@@ -131,6 +136,13 @@ def a17_facets(spark, sf):
     return discovery.facets(d.jobs(spark, sf))
 
 
+@query(_with(d.JOBS, _NEAR, "x AS (SELECT unnest(canon) AS value FROM jobs SEMI JOIN (SELECT id FROM near WHERE centre = 40 AND km <= 3000) USING (id))") + " SELECT value, n FROM (SELECT value, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, value LIMIT 20)")
+def a17_facets_within_radius(spark, sf):
+    j = d.jobs(spark, sf)
+    at = j.where("id = 40").select("lat", "lon").first()
+    return discovery.facets(j, within=(at["lat"], at["lon"], 3000.0)).where("dimension = 'skill'").select("value", "n")
+
+
 @query(_with(d.JOBS, "x AS (SELECT unnest(canon) AS value FROM jobs WHERE status = 'Open' AND id % 3 = 0)") + " SELECT value, n FROM (SELECT value, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, value LIMIT 20)")
 def j20_matched_facets(spark, sf):
     j = d.jobs(spark, sf)

@@ -14,7 +14,7 @@ from test_operators import NOW, created, records, uid
 
 from eventloom.functions import joins
 from eventloom.functions.columns import set_digest
-from eventloom.operators import facts, neighbours, reports, retrieval
+from eventloom.operators import discovery, facts, neighbours, reports, retrieval
 from eventloom.plans import jobs
 from eventloom.sources import tables
 from eventloom.specs import TABLES
@@ -335,3 +335,25 @@ def test_postings_give_what_a_scan_gives(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(retrieval, "PLAN_TERMS", 3)
     assert rows(retrieval.lexical(table, queries, fields, 7)) == rows(retrieval.search_postings(spark, path, queries, 7, 8)) == want
     assert retrieval.lexical(table.limit(0), queries, fields, 7).count() == 0
+
+
+def test_places_in_circles_of_any_size(spark, monkeypatch):
+    """Circles from 1 to 9000 km, at the poles and over the date line, by brute force; with centres broadcast and dealt."""
+    rng = random.Random(13)
+    places = [(i, "Open", i % 9 == 0, rng.choice([rng.uniform(-90, 90), rng.gauss(48, 0.1)]), rng.choice([rng.uniform(-180, 180), rng.gauss(2, 0.1), 179.99, -180.0])) for i in range(400)]
+    places += [(900, "Open", False, None, 2.0), (901, "Closed", False, 48.0, 2.0), (902, "Open", None, 48.0, 2.0), (903, "Open", False, 90.0, 0.0)]
+    centres = [(0, 48.0, 2.0), (1, 89.95, 120.0), (2, -89.0, 0.0), (3, 10.0, 179.9), (4, 0.0, -180.0), (5, None, 1.0)]
+    jobs_ = spark.createDataFrame(places, "id int, status string, remote boolean, lat double, lon double")
+    asked = spark.createDataFrame(centres, "centreId int, cLat double, cLon double")
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1.0, math.sqrt(h)))
+
+    for radius in (1.0, 10.0, 500.0, 9000.0):
+        want = {(i, c) for i, status, remote, lat, lon in places for c, a, b in centres if status == "Open" and not remote and lat is not None and a is not None and km(lat, lon, a, b) <= radius}
+        for most in (200_000, 1):
+            monkeypatch.setattr(discovery, "MOST_CELLS", most)
+            got = [(r["id"], r["centreId"]) for r in discovery.nearby_jobs(jobs_, asked, radius).collect()]
+            assert len(got) == len(set(got)) and set(got) == want, radius
