@@ -345,33 +345,53 @@ def test_pii_finds_base_and_added_spans(spark, odd, empty):
 
 
 def planted_variants() -> dict[str, list[tuple[str, str]]]:
-    """By kind, ``(what is planted, the span in it)``."""
+    """By form, ``(what is planted, the span in it)``: every form that the tagger trains on beside the base's own."""
     rng = random.Random(21)
     name = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(4, 8)))
-    out: dict[str, list[tuple[str, str]]] = {f"email {x}": [] for x in ("(at) .", "[at] .", "at .", "at dot")} | {"card after": [], "card grouped": [], "phone": []}
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    out: dict[str, list[tuple[str, str]]] = {}
+
+    def put(form: str, made: str, span: str | None = None) -> None:
+        out.setdefault(form, []).append((made, span or made))
+
     for _ in range(40):
-        for form, at, dot in (("(at) .", " (at) ", "."), ("[at] .", " [at] ", "."), ("at .", " at ", "."), ("at dot", " at ", " dot ")):
-            mail = f"{name()}{at}{name()}{dot}{rng.choice(['com', 'org', 'net'])}"
-            out[f"email {form}"].append((mail, mail))
-        digits = "".join(rng.choice("0123456789") for _ in range(15))
+        for at, dot in ((" (at) ", "."), (" [at] ", "."), ("(at)", "."), (" at ", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)")):
+            put(f"email{at}{dot}", f"{name()}{at}{name()}{dot}{rng.choice(['com', 'org', 'net'])}")
+        digits = num(15)
         digits += next(d for d in "0123456789" if pii.luhn(digits + d))
-        out["card after"].append((f"{rng.randrange(10, 10000)} {digits}", digits))
-        grouped = " ".join(digits[i : i + 4] for i in range(0, 16, 4))
-        out["card grouped"].append((f"{rng.randrange(10, 10000)} {grouped}", grouped))
-        phone = f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
-        out["phone"].append((phone, phone))
+        fours = [digits[i : i + 4] for i in range(0, 16, 4)]
+        put("card after", f"{rng.randrange(10, 10000)} {digits}", digits)
+        put("card grouped", f"{rng.randrange(10, 10000)} {' '.join(fours)}", " ".join(fours))
+        put("card dots", ".".join(fours))
+        for sep in ("[.]", "(.)", "[dot]", "(dot)", " . "):
+            put(f"ip {sep}", sep.join(str(rng.randint(0, 255)) for _ in range(4)))
+        a, b, c = (str(rng.randrange(200, 999)) for _ in range(2)), None, str(rng.randrange(1000, 9999))
+        a, b = a
+        for form in ("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "0{}/{}-{}"):
+            put(f"phone {form}", form.format(a, b, c))
     return out
 
 
-def test_pii_recall_of_planted_variants():
+def test_pii_recall_of_every_form_it_trains_on(spark):
+    """Trained by ``fit`` on the smallest tables, planted in their own prose: exact spans, and hardly any in clean texts."""
     rng = random.Random(22)
-    tagger = pii.CharTagger(pii._CLASSES, 9).fit(*pii.training_windows([prose(rng, 60) for _ in range(50)]), pii.EPOCHS)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    tagger = pii.fit(docs)
+    texts = [r["text"] for r in docs.where("text is not null").collect()]
+    clean = [t for t in texts if len(t) > 300 and not pii._CUE.search(t)]
+    recall = {}
     for form, planted in planted_variants().items():
-        texts = [f"{prose(rng, 20)} {made} {prose(rng, 20)}" for made, _ in planted]
-        found = 0
-        for text, (_, want), (base, more) in zip(texts, planted, pii.all_spans(texts, tagger)):
-            found += want in [text[a:b] for k, a, b in base + more if form.startswith(k)]
-        assert found >= 0.8 * len(planted), (form, found)
+        made = []
+        for what, span in planted:
+            t = rng.choice(clean)[:600]
+            cut = t.find(" ", rng.randrange(len(t) - 100)) + 1
+            made.append((t[:cut] + what + " " + t[cut:], cut + what.index(span), cut + what.index(span) + len(span)))
+        spans = pii.all_spans([t for t, _, _ in made], tagger)
+        found = sum((form.split()[0].split("(")[0], a, b) in base + more for (_, a, b), (base, more) in zip(made, spans))
+        recall[form] = found / len(planted)
+    assert min(recall.values()) >= 0.9, recall
+    added = sum(len(more) for _, more in pii.all_spans(clean, tagger))
+    assert added <= 0.002 * len(clean), added
     assert pii.all_spans(["meet me at the mill. then we look at old boats."], tagger)[0][1] == []
 
 
