@@ -50,11 +50,33 @@ def read_offset_range(spark: SparkSession, ranges: list[tuple[str, int, int, int
     return df.where(wanted)
 
 
-def read_event_stream(spark: SparkSession, options: dict[str, str], source: str = "kafka", max_per_trigger: int = 1000) -> DataFrame:
-    """A record stream, from Kafka (read committed, bounded triggers) or from Parquet files."""
+def kafka_stream_options(options: dict[str, str], max_per_trigger: int = 1000, starting: list[tuple[str, int, int]] | None = None) -> dict[str, str]:
+    """Options of a Kafka stream: read committed, bounded triggers, and explicit starting offsets ``(topic, partition, offset)``.
+
+    A stream with a checkpoint goes on from there; the offsets hold for its first start alone.
+    """
+    out = {"maxOffsetsPerTrigger": str(max_per_trigger), "kafka.isolation.level": "read_committed", "failOnDataLoss": "true", "includeHeaders": "true"} | options
+    if starting is None:
+        return out
+    if not starting or any(offset < 0 for *_, offset in starting) or len({s[:2] for s in starting}) < len(starting):
+        raise ValueError("starting offsets name each partition once, from 0 on")
+    at: dict[str, dict[str, int]] = {}
+    for topic, partition, offset in sorted(starting):
+        at.setdefault(topic, {})[str(partition)] = offset
+    return out | {"startingOffsets": json.dumps(at), "assign": json.dumps({topic: sorted(map(int, by)) for topic, by in at.items()})}
+
+
+def read_event_stream(spark: SparkSession, options: dict[str, str], source: str = "kafka", max_per_trigger: int = 1000, starting: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """A record stream, from Kafka (see ``kafka_stream_options``) or from Parquet files; of files, records below a starting offset are left out."""
     if source == "kafka":
-        return spark.readStream.format("kafka").options(**{"maxOffsetsPerTrigger": str(max_per_trigger), "kafka.isolation.level": "read_committed", "failOnDataLoss": "true", "includeHeaders": "true"} | options).load()
-    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", options.get("maxFilesPerTrigger", "1")).parquet(options["path"])
+        return spark.readStream.format("kafka").options(**kafka_stream_options(options, max_per_trigger, starting)).load()
+    rows = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", options.get("maxFilesPerTrigger", "1")).parquet(options["path"])
+    if starting is None:
+        return rows
+    wanted = F.lit(False)
+    for topic, partition, offset in starting:
+        wanted = wanted | ((F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("offset") >= offset))
+    return rows.where(wanted)
 
 
 def offset_coverage(df: DataFrame, ranges: DataFrame, allow_gaps: bool = False) -> DataFrame:

@@ -257,6 +257,9 @@ def test_file_stream(spark, tmp_path):
     q.awaitTermination()
     assert seen == [(0, 1), (1, 1), (2, 1)]
     log = events.read_checkpoint(spark, str(tmp_path / "ck"), "t").orderBy("batchId").collect()
+    late, rest = events.read_event_stream(spark, {"path": path}, "files", starting=[("t", 0, 2)]), []
+    batches.start_stream(late, lambda df, n: rest.extend(r["offset"] for r in df.collect()), str(tmp_path / "ck2")).awaitTermination()
+    assert rest == [2]
     assert [r["batchId"] for r in log] == [0, 1, 2] and all(r["committed"] and r["contiguous"] for r in log)
 
 
@@ -283,6 +286,12 @@ def test_range_scan_options():
     assert json.loads(opts["startingOffsets"]) == {"t": {"0": 5, "1": 0}} and json.loads(opts["endingOffsets"]) == {"t": {"0": 9, "1": 2}}
     with pytest.raises(ValueError):
         events.kafka_range_options([("t", 0, 5, 5)], {})
+    opts = events.kafka_stream_options({"kafka.bootstrap.servers": "h:1"}, 50, [("t", 1, 7), ("t", 0, 3)])
+    assert json.loads(opts["startingOffsets"]) == {"t": {"0": 3, "1": 7}} and json.loads(opts["assign"]) == {"t": [0, 1]} and opts["maxOffsetsPerTrigger"] == "50"
+    assert "startingOffsets" not in events.kafka_stream_options({"subscribe": "t"})
+    for wrong in ([], [("t", 0, -1)], [("t", 0, 1), ("t", 0, 2)]):
+        with pytest.raises(ValueError, match="each partition once"):
+            events.kafka_stream_options({}, starting=wrong)
 
 
 def test_columns(spark):
