@@ -124,11 +124,24 @@ def assert_absent(tables: dict[str, DataFrame], markers: DataFrame) -> None:
         raise ValueError(f"marked rows remain in {', '.join(left)}")
 
 
-def marked_files(df: DataFrame, markers: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Distinct files that hold marked rows or rows without tokens; ``df`` is a file-backed table."""
+def marked_files(df: DataFrame, markers: DataFrame, ownerless: bool = True) -> DataFrame:
+    """Distinct files that hold marked rows or, if asked, rows without tokens: the evidence of an erasure is not cut short.
+
+    ``df`` is a file-backed table.  Tokens are unfolded where they are read; one row a file leaves a task.
+    """
     rows = df.select(F.col("_metadata.file_path").alias("file"), "subjectTokens")
-    hit = rows.select("file", F.explode("subjectTokens").alias("subjectToken")).join(markers, "subjectToken", "left_semi").select("file")
-    return hit.union(rows.where(F.size("subjectTokens") == 0).select("file")).distinct().limit(limit + 1)
+    hit = rows.select("file", F.explode("subjectTokens").alias("subjectToken")).join(markers.select("subjectToken").distinct(), "subjectToken", "left_semi").select("file")
+    return (hit.union(rows.where(F.size("subjectTokens") == 0).select("file")) if ownerless else hit).distinct()
+
+
+def files_left(evidence: DataFrame, listed: DataFrame) -> DataFrame:
+    """Of the files that an erasure named, those that a listing ``(path)`` still holds."""
+    return evidence.join(listed.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+
+
+def files_with_text(files: DataFrame, needle: str) -> DataFrame:
+    """Paths of files ``(path, content)`` whose bytes hold ``needle``: in plain pages, or in the footer's statistics."""
+    return files.where(F.instr(F.col("content").cast("string"), needle) > 0).select("path")
 
 
 def find_text_reference(df: DataFrame, needle: str) -> DataFrame:

@@ -426,29 +426,71 @@ def purge(lake: Lake, markers: Markers) -> list[str]:
     return hit
 
 
-def run_erasure(lake: Lake, subjects: DataFrame, keys: dict[str, bytes], now: datetime, k: int = POLICY.min_subjects) -> DataFrame:
-    """Mark, purge, make the touched reports anew and verify; gives the rows left by table (all 0).
+def listed_files(lake: Lake, name: str) -> DataFrame:
+    """``(path, content)`` of a table's data files; content is read only by who asks for it."""
+    return lake.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(lake.path(name)).select("path", "content")
 
-    Replaced folders are deleted as they are replaced, so no old version outlives the erasure.
+
+def erasure_evidence(lake: Lake, markers: DataFrame) -> DataFrame:
+    """``(table, file)``: the files that hold marked rows before an erasure."""
+    out = lake.spark.createDataFrame([], "table STRING, file STRING")
+    for name in SUBJECT_TABLES:
+        if store.exists(lake.spark, lake.path(name)):
+            found = privacy.marked_files(lake.spark.read.schema(TABLES[name].schema).parquet(lake.path(name)), markers, ownerless=name != "quarantine_operational_events")
+            out = out.unionByName(found.select(F.lit(name).alias("table"), "file"))
+    return out
+
+
+def run_erasure(lake: Lake, subjects: DataFrame, keys: dict[str, bytes], now: datetime, k: int = POLICY.min_subjects, deadline: datetime | None = None) -> DataFrame:
+    """Mark, name the files, purge, make the touched reports anew, publish and verify.
+
+    Gives by table the marked rows left (0), the files that held some, and those of them that are
+    still there (0); refused if any row or file is left, or if ``deadline`` has passed.  Replaced
+    folders are deleted as they are replaced, so no old version outlives the erasure.
     """
+    if deadline is not None and now > deadline:
+        raise ValueError("the deadline of the erasure has passed")
     markers = privacy.marker_tokens(subjects, keys).persist()
+    aside, evidence = _kept_aside(lake, erasure_evidence(lake, markers))
     try:
         purge(lake, markers)
-        refresh_gold(lake, now, k)
+        if lake.stale_days():
+            publish(lake, f"erasure-{now.isoformat()}", now, k)
         held = {n: lake.read(n) for n in SUBJECT_TABLES}
         privacy.assert_absent(held, markers)
-        left = privacy.count_marked(held, markers).collect()
-        return lake.spark.createDataFrame(left, "table string, marked long")
+        files = evidence.groupBy("table").agg(F.count("*").alias("files"))
+        left = lake.spark.createDataFrame([], "table STRING, filesLeft BIGINT")
+        for name in [r["table"] for r in files.collect()]:
+            still = privacy.files_left(evidence.where(F.col("table") == name), listed_files(lake, name))
+            left = left.unionByName(still.agg(F.count("*").alias("filesLeft")).select(F.lit(name).alias("table"), "filesLeft"))
+        told = privacy.count_marked(held, markers).join(files, "table", "left").join(left, "table", "left").na.fill(0).collect()
+        if any(r["filesLeft"] for r in told):
+            raise ValueError("files that held marked rows are still there")
+        return lake.spark.createDataFrame(told, "table STRING, marked BIGINT, files BIGINT, filesLeft BIGINT")
     finally:
+        store.remove(lake.spark, aside)
         markers.unpersist()
 
 
-def audit_key(lake: Lake, key_id: str) -> DataFrame:
-    """Rows of every table that still refer to a key id, by table."""
-    out = None
+def audit_key(lake: Lake, key_id: str, now: datetime | None = None) -> DataFrame:
+    """What still refers to a key id, by table and kind; a key may be retired once all are 0.
+
+    Kinds: rows with its text in any column, files with it in their bytes, unexpired rows whose
+    primary token is the key's, and tokens that are the key's or of no known form.
+    """
+    out, needle = lake.spark.createDataFrame([], "table STRING, kind STRING, rows BIGINT"), f"{key_id}_"
+    counted = lambda df, name, kind: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.lit(kind).alias("kind"), "rows")
     for name in TABLES:
-        one = privacy.find_text_reference(lake.read(name), f"{key_id}_").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
-        out = one if out is None else out.unionByName(one)
+        df = lake.read(name)
+        out = out.unionByName(counted(privacy.find_text_reference(df, needle), name, "row"))
+        if store.exists(lake.spark, lake.path(name)):
+            out = out.unionByName(counted(privacy.files_with_text(listed_files(lake, name), needle), name, "file"))
+        if name in SUBJECT_TABLES:
+            if "subjectToken" in df.columns:
+                live = df.where((F.col("expiresAt") > F.lit(now)) if now else F.lit(True))
+                out = out.unionByName(counted(live.where(F.col("subjectToken").startswith(needle)), name, "primary token"))
+            others = sorted(r["keyId"] for r in lake.read("control_hmac_key_registry").where(F.col("keyId") != key_id).select("keyId").collect())
+            out = out.unionByName(counted(privacy.invalid_tokens({name: df}, others or ["no-key"]), name, "token"))
     return out
 
 

@@ -152,9 +152,14 @@ def test_stream_replay_and_erasure(spark, lake, tmp_path):
     bad = records(spark, ["broken"], 95)
     assert jobs.process_batch(lake, bad, 3, none, NOW) == "QualityBlocked"
     left = jobs.run_erasure(lake, spark.createDataFrame([(uid(500),)], "subjectId string"), {"k1": b"x" * 32}, NOW)
-    assert {r["marked"] for r in left.collect()} == {0}
+    assert {(r["marked"], r["filesLeft"]) for r in left.collect()} == {(0, 0)}
+    assert {r["table"] for r in left.where("files > 0").collect()} == {"bronze_operational_events", "silver_operational_events", "silver_application_stage_times"}
     assert lake.read("silver_operational_events").count() == 23
-    assert jobs.audit_key(lake, "k1").where("rows > 0").count() > 0
+    found = {(r["table"], r["kind"]) for r in jobs.audit_key(lake, "k1", NOW).where("rows > 0").collect()}
+    assert {("silver_operational_events", kind) for kind in ("row", "file", "primary token", "token")} <= found
+    assert jobs.audit_key(lake, "k2", NOW).where("rows > 0 and kind <> 'token'").count() == 0
+    with pytest.raises(ValueError, match="deadline"):
+        jobs.run_erasure(lake, spark.createDataFrame([(uid(501),)], "subjectId string"), {"k1": b"x" * 32}, NOW, deadline=NOW - timedelta(days=1))
     jobs.maintenance_tick(lake, none, NOW + timedelta(days=400))
     assert lake.read("silver_operational_events").count() == 0
 
