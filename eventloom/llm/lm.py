@@ -4,13 +4,16 @@ A text is a sequence of bytes with an end symbol; a byte is a path of bits in a
 of the training bytes.  Four predictors, each a table of bit counts hashed by the last 1, 2,
 3 or 5 bytes and the node in the tree, give log-odds; a weight set chosen by a gate (depth in
 the tree, kind of the last byte) adds them up; a refinement table over gate and sum turns the
-result into the final probability.  Training makes three passes over all texts: one counts, by
-fold of the texts; one sums gradient and curvature of the weights, for a Newton step, from the
-texts of one half; one fills the refinement table from the texts of the other, so that it
-corrects weights which those texts didn't set.  The last two predict each text from the counts
-of the other folds, so a text never teaches from its own counts, nor from those of its copies;
-folds and halves follow from a hash of the text.  All that tasks gather is summed by slot in
-Spark, so a score depends neither on the order of rows nor on how they are partitioned.
+result into the final probability.  Training makes two passes over all texts.  The first counts
+bits, by fold of the texts.  The second mixes online: it goes through each shard of the texts in
+the order of a hash, predicts a block of bits from the weights as they are, notes in the
+refinement table what came of those predictions, and only then moves the gate's weights by the
+block's errors.  A text is predicted from the counts of the other folds, so it never teaches from
+its own counts, nor from those of its copies, and its refinement corrects weights that it didn't
+set.  Shards hold about ``SHARD_BYTES`` bytes, so their number grows with the corpus; their weights
+are averaged by the curvature they saw and their refinements are summed.  Folds, shards and their
+order follow from hashes of the rows, and all sums are of whole numbers, so a score depends
+neither on the order of rows nor on how they are partitioned.
 
 A predictor's slots follow the training bytes: one for every ``BYTES_PER_SLOT``, as a power of
 two from 2^``LEAST_BITS`` to 2^``MOST_BITS``, which bounds what a worker and the driver hold.
@@ -53,6 +56,8 @@ PRIOR = 0.35
 BLOCK_BITS = 32_768
 #: Parts of the texts, by a hash of their bytes: training predicts each from the counts of the others.
 FOLDS = 4
+#: Training bytes of a shard, about, and bits of one gate after which its weights move.
+SHARD_BYTES, ONLINE_BITS = 8 << 20, 16384
 #: Weights are held near their start as by so many bits of curvature 1, and within these bounds.
 HELD, LEAST_WEIGHT, MOST_WEIGHT = 20.0, -1.0, 2.0
 #: Log-odds are held in eighths, as bytes, so that the tables stay in a core's cache.
@@ -149,14 +154,14 @@ class Bits:
         self.first = np.concatenate([[0], sizes.sum(axis=1).cumsum()])
         self.there = sizes.cumsum(axis=1)
 
-    def blocks(self) -> Iterator[tuple[slice, int, np.ndarray, list[np.ndarray]]]:
-        """``(bytes, gate, bits, slots by predictor)`` of at most BLOCK_BITS bits of one gate."""
+    def blocks(self, most_bits: int = BLOCK_BITS) -> Iterator[tuple[slice, int, np.ndarray, list[np.ndarray]]]:
+        """``(bytes, gate, bits, slots by predictor)`` of at most ``most_bits`` bits of one gate."""
         most = len(self.code.bit)
         for kind in range(KINDS):
             for depth in range(most):
                 first, n = int(self.first[kind]), int(self.there[kind, most - depth - 1])
-                for i in range(first, first + n, BLOCK_BITS):
-                    span = slice(i, min(i + BLOCK_BITS, first + n))
+                for i in range(first, first + n, most_bits):
+                    span = slice(i, min(i + most_bits, first + n))
                     sym = self.sym[span]
                     salt = self.code.salt[depth].take(sym)
                     slots = [((h[span] + salt) >> np.uint32(32 - self.code.slot_bits)).astype(np.intp) for h in self.hashes]
@@ -167,9 +172,8 @@ class Bits:
 _PER_UNIT = np.float32(STEPS / (2 * RANGE))
 _MIDDLE = (np.arange(STEPS) + 0.5) / float(_PER_UNIT) - RANGE
 _SQUASH = (1 / (1 + np.exp(-_MIDDLE))).astype(np.float32)
-#: The same and its variance in whole units, so that sums over them are exact in any order.
-UNITS = 1 << 16
-_EXPECTED, _SPREAD = np.rint(_SQUASH * float(UNITS)), np.rint(_SQUASH * (1.0 - _SQUASH) * UNITS)
+#: Shards hand on curvatures in whole parts of this size, so that their sums are exact in any order.
+PARTS = 64
 
 
 def in_eighths(odds: np.ndarray) -> np.ndarray:
@@ -188,13 +192,11 @@ def mixed_steps(weights: np.ndarray, stretched: list[np.ndarray]) -> np.ndarray:
     return x.astype(np.intp)
 
 
-def by_fold(texts: list[bytes], half: int | None = None) -> list[list[bytes]]:
-    """The texts of each fold, of one half or of both; copies share fold and half."""
+def by_fold(texts: list[bytes]) -> list[list[bytes]]:
+    """The texts of each fold; copies share theirs."""
     folds: list[list[bytes]] = [[] for _ in range(FOLDS)]
     for t in texts:
-        h = xxhash.xxh64_intdigest(t)
-        if half is None or h >> 32 & 1 == half:
-            folds[h % FOLDS].append(t)
+        folds[xxhash.xxh64_intdigest(t) % FOLDS].append(t)
     return folds
 
 
@@ -211,7 +213,7 @@ def portions(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, some
 
 
-def blocks_of(texts: list[bytes], code: Code) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+def blocks_of(texts: list[bytes], code: Code, most_bits: int = BLOCK_BITS) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """``(gate, bits, slots by predictor)`` of all bits of the texts, in blocks."""
     for _, some in portions(texts):
         buf, starts = laid_out(some)
@@ -219,11 +221,11 @@ def blocks_of(texts: list[bytes], code: Code) -> Iterator[tuple[int, np.ndarray,
         own[(starts[:, None] - 1 - np.arange(PAD)).ravel()] = False
         at = np.flatnonzero(own)
         for i in range(0, len(at), CHUNK):
-            for _, gate, bit, slots in Bits(buf, at[i : i + CHUNK], code).blocks():
+            for _, gate, bit, slots in Bits(buf, at[i : i + CHUNK], code).blocks(most_bits):
                 yield gate, bit, slots
 
 
-class OnlineMixer:
+class BitCounts:
     """One task's bit counts, by predictor, fold and slot."""
 
     def __init__(self, code: Code):
@@ -258,61 +260,82 @@ class OnlineMixer:
                 yield i, block
 
 
-class Refiner:
-    """What one task gathers from the log-odds ``apart`` of the other folds: slopes of the weights, or refinement."""
-
-    def __init__(self, code: Code, weights: np.ndarray, apart: np.ndarray):
-        self.code, self.weights, self.apart = code, weights, apart
-        self.slope = np.zeros((len(ORDERS), GATES))
-        self.curve = np.zeros((len(ORDERS), len(ORDERS), GATES))
-        self.refined = np.zeros((2, GATES * STEPS))
-
-    def _steps(self, texts: list[bytes], half: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
-        for fold, some in enumerate(by_fold(texts, half)):
-            for gate, bit, slots in blocks_of(some, self.code):
-                st = [o.take(s, mode="clip") for o, s in zip(self.apart[fold], slots)]
-                yield gate, bit, st, mixed_steps(self.weights[:, gate], st)
+def weights_at_start() -> np.ndarray:
+    return np.full((len(ORDERS), GATES), 1.2 / len(ORDERS))
 
-    def weigh(self, texts: list[bytes]) -> None:
-        for gate, bit, st, step in self._steps(texts, 0):
-            x = np.array(st, np.float64)
-            self.slope[:, gate] += x @ (bit * float(UNITS) - _EXPECTED.take(step, mode="clip"))
-            self.curve[:, :, gate] += (x * _SPREAD.take(step, mode="clip")) @ x.T
 
-    def refine(self, texts: list[bytes]) -> None:
-        for gate, bit, _, step in self._steps(texts, 1):
-            here = slice(gate * STEPS, (gate + 1) * STEPS)
-            self.refined[0, here] += np.bincount(step, minlength=STEPS)
-            self.refined[1, here] += np.bincount(step, bit, STEPS)
+class OnlineMixer:
+    """Mixes online over one shard at a time, from the log-odds ``apart`` of the other folds.
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """``(kind, slot, a, b)``, to be summed: refinement (kind 0), slopes (1), curvature (2)."""
-        there = np.flatnonzero(self.refined[0])
-        yield _rows(0, there, self.refined[0][there], self.refined[1][there])
-        for kind, x in ((1, self.slope.ravel()), (2, self.curve.ravel())):
-            there = np.flatnonzero(x)
-            yield _rows(kind, there, x[there], x[there])
+    Texts of a shard must come in one fixed order; how they are cut into calls is of no account.
+    """
 
+    def __init__(self, code: Code, apart: np.ndarray):
+        self.code, self.apart = code, apart
+        #: Whole numbers over all shards that were closed: predictions and ones by gate and step, curvature, and weights by curvature.
+        self.refined = np.zeros((2, GATES * STEPS), np.int64)
+        self.curved, self.pulled = np.zeros((len(ORDERS), len(ORDERS), GATES), np.int64), np.zeros((len(ORDERS), GATES), np.int64)
+        self._begin()
 
-def weights_at_start() -> np.ndarray:
-    return np.full((len(ORDERS), GATES), 1.2 / len(ORDERS))
+    def _begin(self) -> None:
+        self.weights = weights_at_start()
+        self.curve = np.zeros((GATES, len(ORDERS), len(ORDERS)))
+        self.held: list[bytes] = []
+        self.size = 0
 
+    def learn(self, texts: list[bytes]) -> None:
+        for t in texts:
+            self.held.append(t)
+            self.size += len(t) + PAD + 1
+            if self.size > CHUNK:
+                self._mix()
+
+    def _mix(self) -> None:
+        for fold, some in enumerate(by_fold(self.held)):
+            for gate, bit, slots in blocks_of(some, self.code, ONLINE_BITS):
+                self.step(gate, bit, [o.take(s, mode="clip") for o, s in zip(self.apart[fold], slots)])
+        self.held, self.size = [], 0
+
+    def step(self, gate: int, bit: np.ndarray, stretched: list[np.ndarray]) -> None:
+        """Predict a block of bits of one gate, note the outcome, and move the gate's weights by the errors."""
+        x = np.array(stretched, np.float32)
+        z = (self.weights[:, gate] * (_PER_UNIT / EIGHTHS)).astype(np.float32) @ x
+        z += np.float32(STEPS / 2)
+        step = np.clip(z, np.float32(0), np.float32(STEPS - 1), out=z).astype(np.intp)
+        here = slice(gate * STEPS, (gate + 1) * STEPS)
+        self.refined[0, here] += np.bincount(step, minlength=STEPS)
+        self.refined[1, here] += np.bincount(step.compress(bit > 0), minlength=STEPS)
+        p = _SQUASH.take(step, mode="clip")
+        slope = x @ (bit - p) / EIGHTHS
+        p -= p * p
+        self.curve[gate] += (x * p) @ x.T / EIGHTHS**2
+        move = np.linalg.solve(self.curve[gate] + HELD * np.eye(len(ORDERS)), slope)
+        self.weights[:, gate] = np.clip(self.weights[:, gate] + move, LEAST_WEIGHT, MOST_WEIGHT)
+
+    def close(self) -> None:
+        """End a shard: what it saw joins the sums, and the next one starts anew."""
+        self._mix()
+        self.curved += np.rint(self.curve.transpose(1, 2, 0) * PARTS).astype(np.int64)
+        self.pulled += np.rint(np.einsum("gij,jg->ig", self.curve, self.weights) * PARTS).astype(np.int64)
+        self._begin()
 
-def moved(weights: np.ndarray, kind: np.ndarray, slot: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """The weights after a Newton step by summed slopes and curvature."""
-    slope, curve = np.zeros(weights.size), np.zeros(len(ORDERS) * weights.size)
-    for x, k in ((slope, 1), (curve, 2)):
-        x[slot[kind == k]] = a[kind == k]
-    slope = slope.reshape(weights.shape) / (UNITS * EIGHTHS)
-    curve = curve.reshape(len(ORDERS), *weights.shape) / (UNITS * EIGHTHS**2)
-    steps = [np.linalg.solve(curve[:, :, g] + HELD * np.eye(len(ORDERS)), slope[:, g]) for g in range(GATES)]
-    return np.clip(weights + np.stack(steps, axis=1), LEAST_WEIGHT, MOST_WEIGHT)
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """``(kind, slot, a, b)``, to be summed: refinement (kind 0), weights by curvature (1), curvature (2)."""
+        for kind, a, b in ((0, *self.refined), (1, self.pulled.ravel(), self.pulled.ravel()), (2, self.curved.ravel(), self.curved.ravel())):
+            there = np.flatnonzero(a)
+            columns = [np.full(len(there), kind, np.int32), there.astype(np.int32), a[there], b[there]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "slot", "a", "b"])
 
 
-def _rows(kind: int, slot: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(slot), kind, np.int32)), pa.array(slot.astype(np.int32)), pa.array(a.astype(np.float64)), pa.array(b.astype(np.float64))], ["kind", "slot", "a", "b"]
-    )
+def averaged(kind: np.ndarray, slot: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The shards' weights, averaged by curvature; what none has seen stays at its start."""
+    pulled, curved = np.zeros(len(ORDERS) * GATES), np.zeros(len(ORDERS) ** 2 * GATES)
+    for x, k in ((pulled, 1), (curved, 2)):
+        x[slot[kind == k]] = a[kind == k] / PARTS
+    start, held = weights_at_start(), HELD * np.eye(len(ORDERS))
+    pulled, curved = pulled.reshape(start.shape), curved.reshape(len(ORDERS), *start.shape)
+    found = [np.linalg.solve(curved[:, :, g] + held, pulled[:, g] + HELD * start[:, g]) for g in range(GATES)]
+    return np.clip(np.stack(found, axis=1), LEAST_WEIGHT, MOST_WEIGHT)
 
 
 def counts_by_fold(code: Code, blocks: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -410,16 +433,17 @@ def bit_counts(texts: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        mixer, part = OnlineMixer(shared.value), TaskContext.get().partitionId() // TASKS_PER_SUM
+        mixer, part = BitCounts(shared.value), TaskContext.get().partitionId() // TASKS_PER_SUM
         for batch in batches:
             mixer.learn([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
         for i, block in mixer.blocks():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([block.astype(np.int64).tobytes()], pa.binary())], ["block", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["block", "part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(2 * BLOCK_SLOTS, np.int64)
         for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.int64)
+            # a task's own counts are 32 bits wide, sums 64
+            total += np.frombuffer(x.as_buffer(), np.int32 if len(x.as_buffer()) == 8 * BLOCK_SLOTS else np.int64)
         return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
 
     small_batches(texts.sparkSession)
@@ -429,29 +453,39 @@ def bit_counts(texts: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]:
     return counts_by_fold(code, ((r["block"], np.frombuffer(r["counts"], np.int64).reshape(-1, 2)) for r in found))
 
 
-def train(docs: DataFrame, code: Code) -> Mixture:
-    """Train the mixture on all rows that are not held out."""
-    texts = docs.where("not held_out").select("text")
+def mixed_online(docs: DataFrame, code: Code, apart: np.ndarray, n_bytes: int) -> list[np.ndarray]:
+    """``kind, slot, a, b`` summed over all shards of the training rows.
 
-    def summed(what, learn) -> list[np.ndarray]:
-        shared = docs.sparkSession.sparkContext.broadcast(what)
+    A row's shard and place in it follow from its text and id together, so copies of one text
+    are spread over the shards.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((code, apart))
+    shards = max(1, round(n_bytes / SHARD_BYTES))
+    placed = docs.where("not held_out").select("text", F.xxhash64("text", "doc_id").alias("place"))
+    placed = placed.select("text", "place", F.pmod(F.xxhash64("place"), F.lit(shards)).alias("shard"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            one = Refiner(*shared.value)
-            for batch in batches:
-                learn(one, [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
-            yield from one.rows()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, open_shard = OnlineMixer(*shared.value), None
+        for batch in batches:
+            for shard, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
+                if shard != open_shard and open_shard is not None:
+                    mixer.close()
+                open_shard = shard
+                mixer.learn([(text or "").encode("utf-8", "surrogatepass")])
+        mixer.close()
+        yield from mixer.rows()
+
+    small_batches(docs.sparkSession)
+    ordered = placed.repartition("shard").sortWithinPartitions("shard", "place").select("text", "shard")
+    t = ordered.mapInArrow(run, "kind int, slot int, a long, b long").groupBy("kind", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    return [t[name].to_numpy() for name in ("kind", "slot", "a", "b")]
 
-        small_batches(docs.sparkSession)
-        t = texts.mapInArrow(run, "kind int, slot int, a double, b double").groupBy("kind", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-        return [t[name].to_numpy() for name in ("kind", "slot", "a", "b")]
 
-    counts = bit_counts(texts, code)
-    apart = apart_odds(*counts)
-    kind, slot, a, _ = summed((code, weights_at_start(), apart), Refiner.weigh)
-    weights = moved(weights_at_start(), kind, slot, a)
-    refined = summed((code, weights, apart), Refiner.refine)
-    return Mixture.of(code, counts, refined, weights)
+def train(docs: DataFrame, code: Code, n_bytes: int) -> Mixture:
+    """Train the mixture on all rows ``(doc_id, text, held_out)`` that are not held out, of ``n_bytes`` bytes."""
+    counts = bit_counts(docs.where("not held_out").select("text"), code)
+    found = mixed_online(docs, code, apart_odds(*counts), n_bytes)
+    return Mixture.of(code, counts, found, averaged(*found[:3]))
 
 
 def frequent_words(words: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
@@ -481,9 +515,10 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     words = counts.where("kind = 0")
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, below = whole["n"], math.log10(whole["n"] + 0.5 * (whole["v"] + 1))
-    code = Code.of({r["word"][0]: r["n"] for r in counts.where("kind = 1").collect()})
+    sizes = {r["word"][0]: r["n"] for r in counts.where("kind = 1").collect()}
+    code = Code.of(sizes)
     common = {w: math.log10(c + 0.5) - below for w, c in frequent_words(words).items()}
-    shared = docs.sparkSession.sparkContext.broadcast((train(marked, code), common))
+    shared = docs.sparkSession.sparkContext.broadcast((train(marked, code, sum(sizes.values())), common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -285,9 +285,9 @@ def test_lm_base_scores(spark, odd, empty):
 
 def test_lm_probabilities_sum_to_one():
     code = lm.Code.of({97: 50, 98: 20, 255: 5})
-    mixer = lm.OnlineMixer(code)
-    mixer.learn([b"abab" * 500, b"aab" * 400])
-    model = lm.Mixture.of(code, lm.counts_by_fold(code, mixer.blocks()), [])
+    seen = lm.BitCounts(code)
+    seen.learn([b"abab" * 500, b"aab" * 400])
+    model = lm.Mixture.of(code, lm.counts_by_fold(code, seen.blocks()), [])
     every = 10 ** model.scores([b"ab" + bytes([c]) for c in range(256)])
     longer = 10 ** model.scores([b"ab"])
     assert longer.sum() < 1 and every.sum() < 1
@@ -295,24 +295,71 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose((10**model.cost).sum(axis=0), 1)
 
 
-def test_lm_scores_do_not_depend_on_partitions(spark):
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 60_000)
     rng = random.Random(11)
-    docs = spark.createDataFrame([(i, prose(rng, 40) + f" {rng.random()}") for i in range(1500)], "doc_id long, text string")
+    rows = [(i, prose(rng, 40) + f" {rng.random()}") for i in range(1500)]
+    docs = spark.createDataFrame(rows + [(9000 + i, rows[0][1]) for i in range(500)], "doc_id long, text string")
     held = F.col("doc_id") % 6 == 1
-    one, many = ([r["score"] for r in lm.score(docs.repartition(n), held).orderBy("doc_id").collect()] for n in (1, 24))
-    assert np.allclose(one, many, rtol=1e-9, atol=0)
+    first, *others = ([r["score"] for r in lm.score(docs.repartition(n), held).orderBy("doc_id").collect()] for n in (1, 8, 32))
+    for other in others:
+        assert np.allclose(first, other, rtol=1e-9, atol=0)
 
 
 def test_lm_learns_weights_and_refinement_from_one_small_block(spark):
     rng = random.Random(12)
-    docs = spark.createDataFrame([(prose(rng, 60), False) for _ in range(200)], "text string, held_out boolean").coalesce(1)
+    docs = spark.createDataFrame([(i, prose(rng, 60), False) for i in range(200)], "doc_id long, text string, held_out boolean").coalesce(1)
     code = lm.Code.of({b: 1 + 100 * prose(rng, 200).encode().count(b) for b in range(97, 123)})
-    model = lm.train(docs, code)
+    model = lm.train(docs, code, 80_000)
     assert (np.abs(model.weights - 0.3) > 0.01).any(axis=0).sum() >= 10
     steps = 10 ** model.cost[1].reshape(lm.GATES, lm.STEPS) - lm._SQUASH
     assert (np.abs(steps) > 0.01).sum() > lm.STEPS
 
 
+def test_lm_mixes_as_a_plain_mixer_does_bit_by_bit():
+    rng = random.Random(13)
+    mixer = lm.OnlineMixer(lm.Code.of({}), np.zeros((lm.FOLDS, len(lm.ORDERS), 1 << 16), np.int8))
+    weights, curve = [0.3] * 4, [[0.0] * 4 for _ in range(4)]
+    seen, ones = [0] * lm.STEPS, [0] * lm.STEPS
+    for _ in range(400):
+        odds = [rng.randint(-40, 40) for _ in range(4)]
+        bit = int(rng.random() < 1 / (1 + 2.0 ** (-odds[1] / 8)))
+        at = sum(w * o / 8 for w, o in zip(weights, odds)) * lm.STEPS / (2 * lm.RANGE) + lm.STEPS / 2
+        at = int(min(max(at, 0), lm.STEPS - 1))
+        p = 1 / (1 + 2.718281828459045 ** -((at + 0.5) * 2 * lm.RANGE / lm.STEPS - lm.RANGE))
+        seen[at] += 1
+        ones[at] += bit
+        for i in range(4):
+            for j in range(4):
+                curve[i][j] += p * (1 - p) * odds[i] * odds[j] / 64
+        slope = [(bit - p) * o / 8 for o in odds]
+        move = np.linalg.solve(np.array(curve) + lm.HELD * np.eye(4), slope)
+        weights = [float(min(max(w + m, lm.LEAST_WEIGHT), lm.MOST_WEIGHT)) for w, m in zip(weights, move)]
+        mixer.step(7, np.array([bit], np.float32), [np.array([o], np.int8) for o in odds])
+    here = slice(7 * lm.STEPS, 8 * lm.STEPS)
+    assert np.allclose(mixer.weights[:, 7], weights, atol=1e-3) and np.allclose(mixer.curve[7], curve, rtol=1e-2, atol=0.1)
+    assert mixer.weights[1, 7] > max(mixer.weights[k, 7] for k in (0, 2, 3)), "the predictor that knows the bit gains weight"
+    assert np.abs(mixer.refined[0, here] - seen).sum() <= 4 and np.abs(mixer.refined[1, here] - ones).sum() <= 4
+
+
+def test_lm_shards_do_not_depend_on_how_calls_are_cut(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 5000)
+    rng = random.Random(14)
+    texts = [prose(rng, 30).encode() for _ in range(150)] + [b"", b"x" * 12_000]
+    code = lm.Code.of({97: 500, 98: 20, 255: 5})
+    counts = lm.BitCounts(code)
+    counts.learn(texts)
+    apart = lm.apart_odds(*lm.counts_by_fold(code, counts.blocks()))
+    whole, cut = lm.OnlineMixer(code, apart), lm.OnlineMixer(code, apart)
+    whole.learn(texts)
+    for t in texts:
+        cut.learn([t])
+    for m in (whole, cut):
+        m.close()
+    assert (whole.refined == cut.refined).all() and (whole.curved == cut.curved).all() and (whole.pulled == cut.pulled).all()
+    assert whole.refined[0].sum() > 0
+
+
 def test_base_patterns_match_plain_regexes():
     import re
 
