@@ -9,7 +9,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..specs import SUBJECT_TABLES, TABLES
 
@@ -46,6 +46,24 @@ def _tokenizer(df: DataFrame, keys: dict[str, bytes]):
     return run
 
 
+def _row_tokenizer(df: DataFrame, key_id: str, key: bytes):
+    """The same for arrays of ids under one key; a batch's repeated ids are hashed once."""
+    shared = df.sparkSession.sparkContext.broadcast(key)
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(subjects: pd.Series) -> pd.Series:
+        held, seen = shared.value, {}
+
+        def one(s: str) -> str:
+            if s not in seen:
+                seen[s] = token(key_id, held, s)
+            return seen[s]
+
+        return pd.Series([[one(s) for s in ids] for ids in subjects], dtype=object)
+
+    return run
+
+
 def subject_ids() -> Column:
     """Candidate first, then actor, then the candidates that a candidate search returned; distinct, in order."""
     found = F.when((F.col("eventType") == "SEARCH_PERFORMED") & (F.col("payload.searchKind") == "candidateMatches"), F.transform("payload.results", lambda r: F.lower(r["resultId"])))
@@ -53,19 +71,12 @@ def subject_ids() -> Column:
     return F.array_distinct(F.filter(all_ids, lambda s: s.isNotNull() & (s != "")))
 
 
-def with_subject_tokens(df: DataFrame, key_id: str, key: bytes, row: tuple[str, ...] = ("topic", "partition", "offset")) -> DataFrame:
+def with_subject_tokens(df: DataFrame, key_id: str, key: bytes) -> DataFrame:
     """``subjectToken`` (candidate before actor) and ``subjectTokens`` under the primary key.
 
-    Each distinct id is tokenised once; tokens come back to their rows by two equi-joins.
+    A row's ids are tokenised where the row is, so nothing is shuffled.
     """
-    ids = df.withColumn("__ids", subject_ids())
-    pairs = ids.select(*row, F.posexplode("__ids").alias("__at", "__id"))
-    made = pairs.select("__id").distinct()
-    made = made.withColumn("__token", _tokenizer(df, {key_id: key})(F.lit(key_id), F.col("__id")))
-    held = pairs.join(made, "__id").groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("__at", "__token"))).alias("__t"))
-    tokens = held.select(*row, F.transform("__t", lambda x: x["__token"]).alias("subjectTokens"))
-    out = df.join(tokens, list(row), "left").withColumn("subjectTokens", F.coalesce("subjectTokens", F.array().cast("array<string>")))
-    return out.withColumn("subjectToken", F.get("subjectTokens", F.lit(0)))
+    return df.withColumn("subjectTokens", _row_tokenizer(df, key_id, key)(subject_ids())).withColumn("subjectToken", F.get("subjectTokens", F.lit(0)))
 
 
 def marker_tokens(subjects: DataFrame, keys: dict[str, bytes]) -> DataFrame:

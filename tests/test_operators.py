@@ -16,7 +16,7 @@ from eventloom.functions.columns import canonical_set, cosine, haversine_km
 from eventloom.operators import discovery, envelopes, evaluation, facts, privacy, reports, retrieval
 from eventloom.plans import jobs
 from eventloom.sources import events, tables
-from eventloom.specs import TABLES
+from eventloom.specs import SEARCH_KINDS, TABLES
 from eventloom.streaming import batches, journal
 
 NOW = datetime(2024, 1, 10)
@@ -65,6 +65,27 @@ def test_contract_cases(spark):
     assert validity(spark, [c for c, _ in cases]) == [ok for _, ok in cases]
 
 
+def test_contracts_ask_for_keys_and_failures_of_the_wire_form(spark):
+    one = '"eventId":"00000000-0000-4000-8000-000000000001","eventType":"SEARCH_RECORDING_FAILED","occurredAt":"2024-05-01T10:00:00Z","aggregateType":"Search","aggregateId":"00000000-0000-4000-8000-000000000002","actorId":"00000000-0000-4000-8000-000000000003"'
+
+    def body(failure: str, extra: str = "") -> str:
+        return '{%s,"payload":{"searchId":"00000000-0000-4000-8000-000000000002","searchKind":"%s","results":[],"failure":%s%s}}' % (one, SEARCH_KINDS[0], failure, extra)
+
+    cases = [(body('"java.io.IOException"'), True), (body('""'), False), (body('"two words"'), False), (body("7"), False), (body("null"), False), (body('"%s"' % ("x" * 101)), False), (body('"a$b"', ',"failure":"c"'), False)]
+    df = spark.createDataFrame([(i, text.encode()) for i, (text, _) in enumerate(cases)], "offset long, value binary")
+    got = {r["offset"]: r["isValidEvent"] for r in envelopes.with_validity(envelopes.parse_records(df)).select("offset", "isValidEvent").collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_tokens_and_days_need_one_scan_each(spark):
+    rows = spark.range(10).select(F.lit("JOB_VIEWED").alias("eventType"), F.lit("c").alias("actorId"), F.struct(F.lit("A").alias("candidateId"), F.lit(None).cast("string").alias("searchKind"), F.array(F.struct(F.lit("x").alias("resultId"))).alias("results")).alias("payload"))
+    made = privacy.with_subject_tokens(rows, "k1", b"a" * 32)
+    assert "Exchange" not in made._jdf.queryExecution().toString() and len(made.first()["subjectTokens"]) == 2
+    facts = spark.createDataFrame([("e", "APPLICATION_WITHDRAWN", None, "a", "s", datetime(2024, 5, 1))], "eventId string, eventType string, newStatus string, applicationId string, subjectToken string, occurredAt timestamp")
+    plan = reports.wide_funnel_day(facts)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+
+
 def test_suppression_boundary(spark):
     rows = [(f"e{i}", "APPLICATION_CREATED", NOW, f"a{i}", None, f"s{min(i, 8)}" if i < 20 else f"s{i}") for i in range(20)]
     df = spark.createDataFrame(rows, "eventId string, eventType string, occurredAt timestamp, applicationId string, newStatus string, subjectToken string")
