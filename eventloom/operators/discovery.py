@@ -181,10 +181,16 @@ def nearby_page(df: DataFrame, cursor: tuple[float, object] | None, n: int) -> D
 MOST_CELLS, CELL_PARTS = 200_000, 8
 
 
-def grid(radius_km: float) -> tuple[float, int]:
-    """Degrees of latitude of a cell, and cells around a parallel, for circles of a radius: a circle spans few cells, whatever its size."""
-    degrees = min(30.0, max(0.02, radius_km / 111.0))
-    return degrees, max(1, int(360 / degrees))
+def grid(radius_km: float) -> float:
+    """Degrees of latitude of a cell for circles of a radius: a circle spans few cells, whatever its size."""
+    return min(30.0, max(0.02, radius_km / 111.0))
+
+
+def _around(cy: Column, degrees: float) -> Column:
+    """Cells around the parallels of row ``cy``: fewer towards the poles, so that cells are about as wide as high."""
+    low = cy * degrees - 90
+    widest = F.greatest(F.lit(0.0), low, -low - degrees)
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(widest)) * 360 / degrees))
 
 
 def nearby_jobs(jobs: DataFrame, centres: DataFrame, radius_km: float) -> DataFrame:
@@ -192,28 +198,33 @@ def nearby_jobs(jobs: DataFrame, centres: DataFrame, radius_km: float) -> DataFr
 
     Both sides fall into the cells of a grid whose size follows the radius; a centre is listed in
     every cell that its circle can touch, so an equi-join replaces the comparison of all pairs.
+    Rows of cells have fewer of them towards the poles, so that a circle there touches few, too.
     The centres' cells are counted and broadcast up to ``MOST_CELLS``, so jobs are compared where
     they are read, however many a city's cell holds; beyond that a cell's jobs are dealt to
-    ``CELL_PARTS`` parts, and its centres are listed in each.  Places without coordinates are near nothing.
+    ``CELL_PARTS`` parts, its centres are listed in each, and both are shuffled: a planner can't
+    see how many rows cells make of a small table, and would broadcast them.  Places without
+    coordinates are near nothing.
     """
     rows = jobs.where((F.col("status") == "Open") & ~F.coalesce("remote", F.lit(False)) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    degrees, around = grid(radius_km)
+    degrees = grid(radius_km)
     cell_lat = lambda c: F.floor((c + 90) / degrees)
-    turn = lambda c: F.floor((c + 180) * around / 360)
-    rows = rows.withColumns({"cy": cell_lat(F.col("lat")), "cx": F.pmod(turn(F.col("lon")), F.lit(around))})
+    turn = lambda c: F.floor((c + 180) * F.col("around") / 360)
+    rows = rows.withColumn("cy", cell_lat(F.col("lat"))).withColumn("around", _around(F.col("cy"), degrees))
+    rows = rows.withColumn("cx", F.pmod(turn(F.col("lon")), F.col("around"))).drop("around")
     d_lat = F.lit(radius_km / 111.0)
     # a circle over a pole holds places of every longitude
     edge = F.abs("cLat") + d_lat
     d_lon = F.when(edge >= 90, 180.0).otherwise(F.least(F.lit(180.0), d_lat / F.cos(F.radians(edge))))
     low, high = turn(F.col("cLon") - d_lon), turn(F.col("cLon") + d_lon)
-    steps = F.sequence(low, F.least(high, low + around - 1))
+    steps = F.sequence(low, F.least(high, low + F.col("around") - 1))
     near = centres.where("cLat is not null and cLon is not null").withColumn("cy", F.explode(F.sequence(cell_lat(F.col("cLat") - d_lat), cell_lat(F.col("cLat") + d_lat))))
-    near = near.withColumn("cx", F.explode(F.array_distinct(F.transform(steps, lambda x: F.pmod(x, F.lit(around))))))
+    near = near.withColumn("around", _around(F.col("cy"), degrees))
+    near = near.withColumn("cx", F.explode(F.array_distinct(F.transform(steps, lambda x: F.pmod(x, F.col("around")))))).drop("around")
     if near.limit(MOST_CELLS + 1).count() <= MOST_CELLS:
         out = rows.join(F.broadcast(near), ["cy", "cx"])
     else:
         dealt = near.withColumn("cellPart", F.explode(F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))))
-        out = rows.withColumn("cellPart", F.pmod(F.xxhash64("id"), F.lit(CELL_PARTS)).cast("int")).join(dealt, ["cy", "cx", "cellPart"]).drop("cellPart")
+        out = rows.withColumn("cellPart", F.pmod(F.xxhash64("id"), F.lit(CELL_PARTS)).cast("int")).join(dealt.hint("merge"), ["cy", "cx", "cellPart"]).drop("cellPart")
     out = out.withColumn("distanceKm", haversine_km(F.col("lat"), F.col("lon"), F.col("cLat"), F.col("cLon")))
     return out.where(F.col("distanceKm") <= radius_km).drop("cy", "cx")
 

@@ -357,3 +357,21 @@ def test_places_in_circles_of_any_size(spark, monkeypatch):
             monkeypatch.setattr(discovery, "MOST_CELLS", most)
             got = [(r["id"], r["centreId"]) for r in discovery.nearby_jobs(jobs_, asked, radius).collect()]
             assert len(got) == len(set(got)) and set(got) == want, radius
+
+
+def test_centres_beyond_the_limit_are_not_broadcast(spark, monkeypatch):
+    """A small table of centres makes many cells; the planner must not broadcast them, however small it takes them for."""
+    places = spark.range(200).selectExpr("id", "'Open' AS status", "false AS remote", "id % 180 - 90D AS lat", "id - 100D AS lon")
+    asked = places.selectExpr("id AS centreId", "lat AS cLat", "lon AS cLon")
+    monkeypatch.setattr(discovery, "MOST_CELLS", 10)
+    near = discovery.nearby_jobs(places, asked, 400.0)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString() and near.count() >= 200
+
+
+def test_a_circle_at_a_pole_touches_few_cells(spark, monkeypatch):
+    """Thousands of cells to a centre would go beyond the limit of those broadcast."""
+    pole = spark.createDataFrame([(1, 90.0, 0.0), (2, -89.99, 10.0)], "centreId int, cLat double, cLon double")
+    places = pole.selectExpr("centreId AS id", "'Open' AS status", "false AS remote", "cLat AS lat", "cLon AS lon")
+    monkeypatch.setattr(discovery, "MOST_CELLS", 200)
+    near = discovery.nearby_jobs(places, pole, 10.0)
+    assert "Broadcast" in near._jdf.queryExecution().executedPlan().toString() and near.count() == 2
