@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Labels whose sizes are broadcast at most.
+FEW_LABELS = 100_000
+
 
 def _first(ranked: DataFrame) -> DataFrame:
     first = ranked.groupBy("queryId", "id").agg(F.min("rank").alias("at"))
@@ -20,14 +23,42 @@ def recall_at_k(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
 def ndcg_at_k(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Binary gains 1/log2(place + 1) over the ideal order's."""
-    gain = 1 / F.log2(F.col("place") + F.lit(1.0))
     hits = _first(ranked).where(F.col("place") <= k)
     both = relevant.select("queryId", "id").distinct().join(hits, ["queryId", "id"], "left")
-    sums = both.groupBy("queryId").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg"), F.count("*").alias("n"))
+    return _ndcg(both, k, F.count("*"))
+
+
+def _ndcg(both: DataFrame, k: int, relevant: Column) -> DataFrame:
+    """From ``(queryId, place)`` of relevant ids, null where they were not found, and how many there are."""
+    gain = 1 / F.log2(F.col("place") + F.lit(1.0))
+    sums = both.groupBy("queryId").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg"), relevant.alias("n"))
     ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), lambda i: 1 / F.log2(i + F.lit(1.0))), F.lit(0.0), lambda a, x: a + x)
     return sums.select("queryId", (F.col("dcg") / ideal).alias("ndcg"))
 
 
+def _in_group(ranked: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(queryId, n, place)``: each query's number of relevant items, and the places of those among the first ``k``.
+
+    Relevant to a query ``(queryId, label)`` are all items ``(id, label)`` of its label, which are
+    counted by label and looked up by id, but not paired with the queries; ids are unique.
+    """
+    sizes = items.groupBy("label").agg(F.count("*").alias("n"))
+    asked = queries.select("queryId", "label").distinct().join(F.broadcast(sizes) if sizes.limit(FEW_LABELS + 1).count() <= FEW_LABELS else sizes, "label")
+    first = _first(ranked).where(F.col("place") <= k)
+    hits = first.join(items.select("id", F.col("label").alias("found")), "id").select("queryId", "found", "place")
+    return asked.join(hits, (asked["queryId"] == hits["queryId"]) & (asked["label"] == hits["found"]), "left").select(asked["queryId"], "n", "place")
+
+
+def recall_in_group(ranked: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``recall_at_k`` where a query's label makes all items of that label relevant."""
+    return _in_group(ranked, items, queries, k).groupBy("queryId").agg((F.count("place") / F.max("n")).alias("recall"))
+
+
+def ndcg_in_group(ranked: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``ndcg_at_k`` where a query's label makes all items of that label relevant."""
+    return _ndcg(_in_group(ranked, items, queries, k), k, F.max("n"))
+
+
 def ann_fidelity(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Recall of an approximate ranking against the exact neighbours."""
     return recall_at_k(approximate, exact.where(F.col("rank") <= k), k)
