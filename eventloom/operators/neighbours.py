@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.columns import cosine
 
@@ -34,8 +34,10 @@ WIDTH, BOOK, ROUNDS = 4, 256, 12
 PROBED = 0.99
 #: Items re-scored for each neighbour asked for, and the largest share of all items.
 LISTED, SHARE = 100, 0.1
-#: Queries that one task scores at a time; more are searched block by block.
+#: Bytes of query vectors that go to every task at once; more are searched part by part.
 QUERY_BYTES = 64 * 2**20
+#: Queries and items that a task scores at a time.
+ASKS, ITEMS = 256, 4096
 #: Pairs of query and item that are broadcast for their exact scores at most.
 PAIRS = 2_000_000
 
@@ -139,36 +141,58 @@ def index(items: DataFrame, quantiser: Quantiser) -> DataFrame:
     return items.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, schema)
 
 
-def _listed(indexed: DataFrame, asks: list[tuple], kind: StructField, quantiser: Quantiser, share: float) -> DataFrame:
-    """``(queryId, id, near)`` of the items in probed cells whose code scores as one of the best ``share`` of the sample."""
-    schema = StructType([kind, indexed.schema["id"], StructField("near", DoubleType())])
+def _asked(queries: DataFrame, quantiser: Quantiser, share: float) -> pa.Table:
+    """``(queryId, v, least)``: queries that can be scored, at length 1, and the code score of the best ``share`` of the sample."""
+    schema = StructType([queries.schema["queryId"], StructField("v", ArrayType(DoubleType())), StructField("least", DoubleType())])
     shape = to_arrow_schema(schema)
-    at, x = unit_rows([v for _, v in asks], quantiser.size)
-    names = [asks[i][0] for i in at]
-    probed, tables = quantiser.probed(x), quantiser.tables(x)
-    of_sample = quantiser.scores(tables, quantiser.sample_codes)
     # twice the share, so that a sample that is richer than all items leaves no query short; no more than probed cells hold
-    keep = min(len(of_sample), int(np.ceil(2 * share * len(of_sample))) + 10)
-    least = -np.sort(-np.where(probed[quantiser.sample_cells], of_sample, -np.inf), axis=0)[keep - 1]
+    n = len(quantiser.sample_codes)
+    keep = min(n, int(np.ceil(2 * share * n)) + 10)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = unit_rows(batch.column(1).to_pylist(), quantiser.size)
+            for a in range(0, len(at), ASKS):
+                some = x[a : a + ASKS]
+                scores = quantiser.scores(quantiser.tables(some), quantiser.sample_codes)
+                least = -np.sort(-np.where(quantiser.probed(some)[quantiser.sample_cells], scores, -np.inf), axis=0)[keep - 1]
+                names = batch.column(0).take(pa.array(at[a : a + ASKS])).cast(shape.types[0])
+                yield pa.RecordBatch.from_arrays([names, pa.array(list(some), shape.types[1]), pa.array(least)], shape.names)
+
+    return queries.select("queryId", F.col("queryVector").cast("array<double>").alias("v")).mapInArrow(run, schema).toArrow()
+
+
+def _listed(indexed: DataFrame, queries: DataFrame, quantiser: Quantiser, share: float) -> DataFrame:
+    """``(queryId, id, near)`` of the items in probed cells whose code scores as one of the best ``share`` of the sample.
+
+    A task holds the queries' vectors, and the tables and scores of ``ASKS`` of them at a time.
+    """
+    schema = StructType([queries.schema["queryId"], indexed.schema["id"], StructField("near", DoubleType())])
+    shape = to_arrow_schema(schema)
+    asked = _asked(queries, quantiser, share)
+    names, least = asked.column(0).combine_chunks(), asked.column(2).to_numpy()
+    x = asked.column(1).combine_chunks().flatten().to_numpy().reshape(-1, quantiser.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = batch.column(1).to_numpy(zero_copy_only=False)
             codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(cells), -1)
-            step = max(1, 4_000_000 // len(names))
-            for a in range(0, len(cells), step):
-                scores = quantiser.scores(tables, codes[a : a + step])
-                row, ask = np.nonzero((scores >= least) & probed[cells[a : a + step]])
-                ids = batch.column(0).take(pa.array(row + a)).cast(shape.types[1])
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in ask], shape.types[0]), ids, pa.array(scores[row, ask])], shape.names)
+            for q in range(0, len(x), ASKS):
+                some = x[q : q + ASKS]
+                probed, tables = quantiser.probed(some), quantiser.tables(some)
+                for a in range(0, len(cells), ITEMS):
+                    scores = quantiser.scores(tables, codes[a : a + ITEMS])
+                    row, ask = np.nonzero((scores >= least[q : q + ASKS]) & probed[cells[a : a + ITEMS]])
+                    ids = batch.column(0).take(pa.array(row + a)).cast(shape.types[1])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(ask + q)).cast(shape.types[0]), ids, pa.array(scores[row, ask])], shape.names)
 
-    return indexed.mapInArrow(run, schema) if names else indexed.sparkSession.createDataFrame([], schema)
+    return indexed.mapInArrow(run, schema) if len(names) else indexed.sparkSession.createDataFrame([], schema)
 
 
 def shortlist(items: DataFrame, queries: DataFrame, k: int, quantiser: Quantiser | None = None, indexed: DataFrame | None = None) -> DataFrame:
     """``(queryId, id)``: for each query the ``LISTED * k`` items of the best codes, at most ``SHARE`` of all items.
 
-    Queries are a stated set; they are searched in blocks of ``QUERY_BYTES``.
+    Queries are a stated set; they are searched in parts of about ``QUERY_BYTES``.
     """
     quantiser = quantiser or train(items)
     if quantiser is None:
@@ -176,16 +200,11 @@ def shortlist(items: DataFrame, queries: DataFrame, k: int, quantiser: Quantiser
     indexed = index(items, quantiser) if indexed is None else indexed
     n = items.count()
     most = min(LISTED * k, max(k, int(SHARE * n)))
-    step = max(1, QUERY_BYTES // (8 * quantiser.size * 4))
-    found, block = None, []
-    asked = queries.select("queryId", F.col("queryVector").cast("array<double>").alias("v")).toLocalIterator()
-    for row in asked:
-        block.append((row["queryId"], row["v"]))
-        if len(block) == step:
-            one = _listed(indexed, block, queries.schema["queryId"], quantiser, most / max(n, 1))
-            found, block = one if found is None else found.unionByName(one), []
-    if block or found is None:
-        one = _listed(indexed, block, queries.schema["queryId"], quantiser, most / max(n, 1))
+    parts = max(1, -(-queries.count() * quantiser.size * 8 // QUERY_BYTES))
+    found = None
+    for part in range(parts):
+        some = queries.where(F.pmod(F.xxhash64("queryId"), F.lit(parts)) == part) if parts > 1 else queries
+        one = _listed(indexed, some, quantiser, most / max(n, 1))
         found = one if found is None else found.unionByName(one)
     best = Window.partitionBy("queryId").orderBy(F.desc("near"), "id")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("queryId", "id")

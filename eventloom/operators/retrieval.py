@@ -21,46 +21,70 @@ BROADCAST_BYTES = 64 * 2**20
 BROADCAST_TERMS = 100_000
 #: Query terms that may stand in a plan as a list.
 PLAN_TERMS = 5_000
-#: Scores that a task holds at a time.
-SCORES_AT_A_TIME = 4_000_000
+#: Scores that a task holds at a time, and queries whose hits it hands on at a time.
+SCORES_AT_A_TIME, ASKS_AT_A_TIME = 4_000_000, 4096
 
 
 def _top(df: DataFrame, k: int, order: list, by: str = "queryId") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def _scorer(asked: list[tuple], k: int, shape: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's part of ``knn``: its items against all ``(queryId, vector)``, in matrix blocks."""
+def _scorer(asked: pa.Table, k: int, shape: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's part of ``knn``: its items, ordered by id, against all ``(queryId, vector)``, in matrix blocks.
+
+    Each query keeps the ``k`` best items so far; of equal ones the first in order stay, so a task
+    hands on ``k`` rows a query, however many items it reads and however many of them are alike.
+    """
     import numpy as np
 
-    by_size: dict[int, list[tuple]] = {}
-    for ask, vector in asked:
-        if vector and None not in vector and any(vector):
-            by_size.setdefault(len(vector), []).append((ask, vector))
-    units = {}
-    for size, some in by_size.items():
-        m = np.array([v for _, v in some], float)
-        units[size] = ([ask for ask, _ in some], (m / np.linalg.norm(m, axis=1, keepdims=True)).T)
+    by_size: dict[int, list[int]] = {}
+    vectors = asked.column(1).combine_chunks()
+    for i, v in enumerate(vectors):
+        if v.is_valid and len(v) and not v.values.null_count and np.any(v.values.to_numpy()):
+            by_size.setdefault(len(v), []).append(i)
+    units = []
+    for some in by_size.values():
+        m = np.stack([vectors[i].values.to_numpy() for i in some])
+        units.append((asked.column(0).combine_chunks().take(pa.array(some)), m / np.linalg.norm(m, axis=1, keepdims=True)))
+
+    def kept(best: np.ndarray, places: np.ndarray, scores: np.ndarray, at: np.ndarray) -> None:
+        """Merge a block of scores, queries by items, into the best ones and their places."""
+        better = scores > best[:, -1:]
+        if scores.shape[1] > k and np.count_nonzero(better) > k * len(scores):
+            better &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+        of, item = np.nonzero(better)
+        hit = np.unique(of)
+        if not len(hit):
+            return
+        query = np.concatenate([np.repeat(hit, k), of])
+        score = np.concatenate([best[hit].ravel(), scores[of, item]])
+        place = np.concatenate([places[hit].ravel(), at[item]])
+        order = np.lexsort((place, -score, query))
+        ends = np.flatnonzero(np.diff(query[order], prepend=-1))
+        top = order[(ends[:, None] + np.arange(k)).ravel()]
+        best[hit], places[hit] = score[top].reshape(-1, k), place[top].reshape(-1, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.full((len(unit), k), -np.inf), np.full((len(unit), k), -1)) for _, unit in units]
+        ids, read = [], 0
         for batch in batches:
             vectors = batch.column(1).to_pylist()
-            for size, (asks, unit) in units.items():
-                rows = [i for i, v in enumerate(vectors) if v and len(v) == size and None not in v]
-                step = max(1, SCORES_AT_A_TIME // len(asks))
-                for start in range(0, len(rows), step):
-                    mine = np.array(rows[start : start + step])
-                    m = np.array([vectors[i] for i in mine], float)
-                    norm = np.linalg.norm(m, axis=1, keepdims=True)
-                    mine, m = mine[norm[:, 0] > 0], (m / np.where(norm > 0, norm, 1))[norm[:, 0] > 0]
-                    if not len(m):
-                        continue
+            for (_, unit), (best, places) in zip(units, found):
+                rows = np.array([i for i, v in enumerate(vectors) if v and len(v) == unit.shape[1] and None not in v], np.int64)
+                m = np.array([vectors[i] for i in rows], float).reshape(-1, unit.shape[1])
+                norm = np.linalg.norm(m, axis=1, keepdims=True)
+                rows, m = rows[norm[:, 0] > 0], (m / np.where(norm > 0, norm, 1))[norm[:, 0] > 0]
+                step = max(1, SCORES_AT_A_TIME // max(1, len(rows)))
+                for a in range(0, len(unit) if len(rows) else 0, step):
                     # rounded, so that equal vectors tie whatever block they are in
-                    scores = np.round(m @ unit, 12)
-                    least = np.partition(scores, -k, axis=0)[-k] if len(m) > k else np.full(len(asks), -2.0)
-                    at, of = np.nonzero(scores >= least)
-                    ids = batch.column(0).take(pa.array(mine[at]))
-                    yield pa.RecordBatch.from_arrays([pa.array([asks[j] for j in of], shape.types[0]), ids.cast(shape.types[1]), pa.array(scores[at, of])], shape.names)
+                    kept(best[a : a + step], places[a : a + step], np.round(unit[a : a + step] @ m.T, 12), rows + read)
+            ids.append(batch.column(0))
+            read += batch.num_rows
+        for (asks, _), (best, places) in zip(units, found):
+            for a in range(0, len(best) if ids else 0, ASKS_AT_A_TIME):
+                of, n = np.nonzero(places[a : a + ASKS_AT_A_TIME] >= 0)
+                hits = pa.chunked_array(ids).take(pa.array(places[a + of, n])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([asks.take(pa.array(a + of)).cast(shape.types[0]), hits.cast(shape.types[1]), pa.array(best[a + of, n])], shape.names)
 
     return run
 
@@ -68,20 +92,19 @@ def _scorer(asked: list[tuple], k: int, shape: pa.Schema) -> Callable[[Iterator[
 def knn(items: DataFrame, queries: DataFrame, k: int, where: Column | None = None, blocks: int = 16) -> DataFrame:
     """Exact cosine top-k of ``(id, embedding)`` for each ``(queryId, queryVector)``; filters come first.
 
-    A stated query set is scored against all items in blocks: each item block keeps its own
-    top k per query (with all that tie with its last) before anything is shuffled, and a
-    second top-k merges the blocks.  Queries of up to ``BROADCAST_BYTES`` go to the tasks as one
-    matrix; more are joined to item blocks.  Vectors without length, with a null or of another
-    size than the query's have no score.
+    A stated query set is scored against all items in blocks: each task keeps its own top k per
+    query before anything is shuffled, and a second top-k merges the tasks'.  Queries of up to
+    ``BROADCAST_BYTES`` go to the tasks as one matrix; more are joined to item blocks.  Vectors
+    without length, with a null or of another size than the query's have no score.
     """
     base = items if where is None else items.where(where)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("queryVector")).alias("width")).first()
     order = [F.desc("score"), F.asc("id")]
     if size["n"] * max(1, size["width"] or 0) * 8 <= BROADCAST_BYTES:
-        asked = queries.select("queryId", F.col("queryVector").cast("array<double>")).collect()
+        asked = queries.select("queryId", F.col("queryVector").cast("array<double>")).toArrow()
         schema = StructType([queries.schema["queryId"], items.schema["id"], StructField("score", DoubleType())])
-        scored = base.select("id", F.col("embedding").cast("array<double>")).mapInArrow(_scorer([tuple(r) for r in asked], k, to_arrow_schema(schema)), schema)
-        return _top(scored, k, order)
+        read = base.select("id", F.col("embedding").cast("array<double>")).sortWithinPartitions("id")
+        return _top(read.mapInArrow(_scorer(asked, k, to_arrow_schema(schema)), schema), k, order)
     left = base.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     right = queries.select("queryId", "queryVector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     scored = left.join(right, "block").select("queryId", "block", "id", cosine(F.col("embedding"), F.col("queryVector")).alias("score")).where("score is not null")

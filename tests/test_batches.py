@@ -14,7 +14,7 @@ from test_operators import NOW, created, records, uid
 
 from eventloom.functions import joins
 from eventloom.functions.columns import set_digest
-from eventloom.operators import discovery, facts, neighbours, reports, retrieval
+from eventloom.operators import discovery, evaluation, facts, neighbours, reports, retrieval
 from eventloom.plans import jobs
 from eventloom.sources import tables
 from eventloom.specs import TABLES
@@ -375,3 +375,48 @@ def test_a_circle_at_a_pole_touches_few_cells(spark, monkeypatch):
     monkeypatch.setattr(discovery, "MOST_CELLS", 200)
     near = discovery.nearby_jobs(places, pole, 10.0)
     assert "Broadcast" in near._jdf.queryExecution().executedPlan().toString() and near.count() == 2
+
+
+def test_relevance_by_label_needs_no_pairs(spark):
+    """Labels judged as their pairs are; and two billion relevant pairs, which can't be listed."""
+    items = spark.createDataFrame([(i, None if i % 9 == 0 else i % 4) for i in range(60)], "id int, label int")
+    asks = items.where("id % 5 = 0").select(F.col("id").alias("queryId"), "label")
+    ranked = asks.select("queryId", F.explode(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(i.alias("rank"), ((F.col("queryId") + i * i) % 60).alias("id")))).alias("h")).select("queryId", "h.*")
+    pairs = asks.join(items, "label").select("queryId", "id")
+    for by_pairs, by_label in ((evaluation.recall_at_k, evaluation.recall_in_group), (evaluation.ndcg_at_k, evaluation.ndcg_in_group)):
+        assert sorted(by_pairs(ranked, pairs, 7).collect()) == sorted(by_label(ranked, items, asks, 7).collect())
+    many = spark.range(200_000).select("id", F.lit(1).alias("label"))
+    some = many.where("id < 10000").select(F.col("id").alias("queryId"), "label")
+    own = some.select("queryId", F.col("queryId").alias("id"), F.lit(1).alias("rank"))
+    assert evaluation.recall_in_group(own, many, some, 7).agg(F.count("*"), F.max("recall")).first() == (10_000, 1 / 200_000)
+
+
+def test_tasks_hand_on_their_best_only(spark):
+    """Of a task's items, however many tie, each query gets k; the joined result is the same."""
+    import pyarrow as pa
+
+    shape = pa.schema([("queryId", pa.int32()), ("id", pa.int32()), ("score", pa.float64())])
+    asked = pa.table([pa.array([1, 2], pa.int32()), pa.array([[1.0, 0.0], [0.0, 1.0]])], ["queryId", "v"])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(b, b + 50), pa.int32()), pa.array([[1.0, 1.0]] * 50)], ["id", "v"]) for b in (0, 50, 100)]
+    out = pa.Table.from_batches(retrieval._scorer(asked, 3, shape)(iter(batches)), shape).to_pylist()
+    assert sorted((r["queryId"], r["id"]) for r in out) == [(q, i) for q in (1, 2) for i in range(3)]
+
+
+def test_code_tables_are_made_for_a_few_queries_at_a_time(spark, monkeypatch):
+    """A task's tables don't grow with the queries: never more than ASKS of them; all still find themselves, in parts too."""
+    rng = np.random.default_rng(9)
+    items = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "id int, embedding array<double>")
+    asks = items.select(F.col("id").alias("queryId"), F.col("embedding").alias("queryVector"))
+    own = neighbours.train(items)
+    monkeypatch.setattr(neighbours, "ASKS", 16)
+    whole = neighbours.Quantiser.tables
+
+    def few(self, queries):
+        assert len(queries) <= 16
+        return whole(self, queries)
+
+    monkeypatch.setattr(neighbours.Quantiser, "tables", few)
+    for most in (64 * 2**20, 4096):
+        monkeypatch.setattr(neighbours, "QUERY_BYTES", most)
+        got = neighbours.ann(items, asks, 1, own).collect()
+        assert sorted((r["queryId"], r["id"]) for r in got) == [(i, i) for i in range(200)]
