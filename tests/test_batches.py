@@ -14,7 +14,7 @@ from test_operators import NOW, created, records, uid
 
 from eventloom.functions import joins
 from eventloom.functions.columns import set_digest
-from eventloom.operators import discovery, evaluation, facts, neighbours, reports, retrieval
+from eventloom.operators import discovery, envelopes, evaluation, facts, neighbours, reports, retrieval
 from eventloom.plans import jobs
 from eventloom.sources import tables
 from eventloom.specs import TABLES
@@ -420,3 +420,10 @@ def test_code_tables_are_made_for_a_few_queries_at_a_time(spark, monkeypatch):
         monkeypatch.setattr(neighbours, "QUERY_BYTES", most)
         got = neighbours.ann(items, asks, 1, own).collect()
         assert sorted((r["queryId"], r["id"]) for r in got) == [(i, i) for i in range(200)]
+
+
+def test_a_filter_by_validity_opens_each_text_once(spark):
+    """The verdict's rules look at the document many times; a filter must not open it anew for each."""
+    known = envelopes.with_validity(envelopes.parse_records(records(spark, [created(1), "{"])))
+    plan = known.where("isValidEvent").select("eventId")._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") <= 2 and known.where("isValidEvent").count() == 1
