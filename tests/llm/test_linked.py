@@ -300,3 +300,20 @@ def test_probability_helpers():
     assert math.isclose(secrets.upper_normal(1.959964), 0.025, rel_tol=1e-4)
     assert math.isclose(secrets.upper_poisson(3, 2.0), 1 - math.exp(-2) * (1 + 2 + 2), rel_tol=1e-9)
     assert math.isclose(secrets.cauchy([0.2, 0.2]), 0.2, rel_tol=1e-9)
+
+
+def test_the_table_of_frequent_words_decides_no_count(spark, monkeypatch):
+    """No table, one word, and what the sample gives: the library's counts each time."""
+    from tokenizers import Tokenizer
+
+    from eventloom.llm import tokens
+
+    rows = [(i, t) for i, t in enumerate(["the cat the dog", "the  the\n the", None, "", "naïve café " * 9, "dog " * 40 + "zebra"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = tokenizer_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = sorted((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    for words in (None, [], ["the"]):
+        if words is not None:
+            monkeypatch.setattr(tokens, "frequent_pretokens", lambda docs, rows, words=words: words)
+        assert sorted((r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(docs, path).collect()) == want
