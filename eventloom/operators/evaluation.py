@@ -133,9 +133,10 @@ _SOUND = "supportedUseCases > 0 AND supportedUseCases = presentUseCases AND cost
 
 def _pair_queries(measured: DataFrame, terms: DataFrame, costs: DataFrame) -> DataFrame:
     """What a pair's queries show: per use case and filter group first, then per pair."""
-    policy = costs.where("supported").select("pairId", "useCase", F.lit(True).alias("inPolicy"))
-    rows = measured.join(policy, ["pairId", "useCase"], "left").join(terms.select("pairId", "b_vector", "c_vector"), "pairId")
-    rows = rows.withColumn("inPolicy", F.coalesce("inPolicy", F.lit(False)))
+    # a pair's use cases are a few names, so they are held with its terms: every join is by pair alone
+    policy = costs.where("supported").groupBy("pairId").agg(F.collect_set("useCase").alias("policy"))
+    rows = measured.join(terms.select("pairId", "b_vector", "c_vector").join(policy, "pairId", "left"), "pairId")
+    rows = rows.withColumn("inPolicy", F.coalesce(F.array_contains("policy", F.col("useCase")), F.lit(False)))
     rows = rows.withColumn("counts", F.expr("inPolicy AND (useCase <> 'Recommendations' OR coalesce(filterGroup = 'Broad' AND b_vector AND c_vector, false))"))
     rows = rows.withColumn("test", F.expr("counts AND split = 'HeldOut'"))
     facts = {
@@ -152,14 +153,20 @@ def _pair_queries(measured: DataFrame, terms: DataFrame, costs: DataFrame) -> Da
         facts[f"{s}_p95"] = f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {mine}latencyMillis END)"
     groups = rows.groupBy("pairId", "useCase", "filterGroup").agg(*[F.expr(e).alias(n) for n, e in facts.items()])
     both = "tests > 0 AND b_seen AND c_seen AND "
-    return groups.groupBy("pairId").agg(
-        *[F.expr(f"bool_or({c})").alias(c) for c in ("unreviewed", "missed", "failed", "noLatency")],
-        F.expr(f"bool_or({both}(b_recall IS NULL OR c_recall IS NULL OR b_ndcg IS NULL OR c_ndcg IS NULL))").alias("noRelevance"),
-        F.expr(f"bool_or(coalesce({both}(c_recall < b_recall OR c_ndcg < b_ndcg), false))").alias("lessRelevant"),
-        F.expr(f"max(CASE WHEN {both}true THEN c_p95 - b_p95 END)").alias("slower"),
-        F.expr(f"max(CASE WHEN {both}true THEN greatest(b_p95, c_p95) END)").alias("slowest"),
-        F.expr("count(DISTINCT CASE WHEN inPolicy THEN useCase END)").alias("presentUseCases"),
-        F.expr("count(DISTINCT CASE WHEN tests > 0 THEN useCase END)").alias("testedUseCases"),
+    any_of = {
+        **{c: c for c in ("inPolicy", "unreviewed", "missed", "failed", "noLatency")},
+        "tested": "tests > 0",
+        "noRelevance": f"{both}(b_recall IS NULL OR c_recall IS NULL OR b_ndcg IS NULL OR c_ndcg IS NULL)",
+        "lessRelevant": f"coalesce({both}(c_recall < b_recall OR c_ndcg < b_ndcg), false)",
+    }
+    most = {"slower": f"CASE WHEN {both}true THEN c_p95 - b_p95 END", "slowest": f"CASE WHEN {both}true THEN greatest(b_p95, c_p95) END"}
+    # by use case first: distinct ones are counted without a shuffle by use case
+    uses = groups.groupBy("pairId", "useCase").agg(*[F.expr(f"bool_or({e})").alias(n) for n, e in any_of.items()], *[F.expr(f"max({e})").alias(n) for n, e in most.items()])
+    return uses.groupBy("pairId").agg(
+        *[F.expr(f"bool_or({n})").alias(n) for n in any_of if n not in ("inPolicy", "tested")],
+        *[F.max(n).alias(n) for n in most],
+        F.expr("count_if(inPolicy AND useCase IS NOT NULL)").alias("presentUseCases"),
+        F.expr("count_if(tested AND useCase IS NOT NULL)").alias("testedUseCases"),
     )
 
 
@@ -174,14 +181,16 @@ def assess(measured: DataFrame, terms: DataFrame, costs: DataFrame) -> DataFrame
     is missing evidence.  ``costs``: a row per pair and use case ``(supported, maximumCost, b_cost,
     c_cost)``.  Relevance and latency are judged on held-out queries of supported use cases, by
     use case and filter group; recommendations only with broad filters and vector search on both
-    sides.  A policy that cannot be applied gives ``Invalid`` and no reasons.
+    sides.  A policy that cannot be applied gives ``Invalid`` and no reasons.  Inputs that were
+    dealt by ``pairId`` over one number of tasks are not shuffled again.
     """
-    spent = costs.groupBy("pairId").agg(
-        F.expr("count(DISTINCT CASE WHEN supported THEN useCase END)").alias("supportedUseCases"),
+    spent = costs.groupBy("pairId", "useCase").agg(
+        F.expr("bool_or(supported AND useCase IS NOT NULL)").alias("used"),
         F.expr("bool_and(CASE WHEN supported THEN b_cost IS NOT NULL AND c_cost IS NOT NULL ELSE b_cost IS NULL AND c_cost IS NULL END)").alias("costsKnown"),
         F.expr("bool_or(coalesce(c_cost > maximumCost, false) OR coalesce(c_cost > b_cost, false))").alias("dearer"),
         F.expr("bool_and(coalesce(least(maximumCost, b_cost, c_cost) >= 0, true))").alias("costsSound"),
     )
+    spent = spent.groupBy("pairId").agg(F.expr("count_if(used)").alias("supportedUseCases"), *[F.expr(f"{f}({n})").alias(n) for f, n in (("bool_and", "costsKnown"), ("bool_or", "dearer"), ("bool_and", "costsSound"))])
     pairs = terms.join(_pair_queries(measured, terms, costs), "pairId", "left").join(spent, "pairId", "left")
     pairs = pairs.withColumns({f"{s}_generated": F.expr(f"coalesce({s}_embeddings = 'ProviderGenerated', false)") for s in "bc"})
     pairs = pairs.withColumn("comparable", F.coalesce(F.expr(_COMPARABLE), F.lit(False)))

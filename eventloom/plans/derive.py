@@ -18,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in df.schema])
 
 
+#: Rows that a task of a dealt table gets, about: its sorts and aggregates take some 200 MB.
+ROWS_PER_TASK = 250_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """As many tasks as the counted rows need, whatever the session's number is; a table's count reads footers alone."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+
+
+def dealt(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """``df`` dealt once by a key; what follows by that key, alone or with others, shuffles no more."""
+    return df.repartition(tasks or tasks_for(df), key)
+
+
 def facts(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
     """Events as lifecycle facts: one application per event, or per user."""
     e = table(spark, sf_dir, "events")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import neighbours
-from eventloom.plans import registry
+from eventloom.plans import derive, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,3 +66,27 @@ def test_approximate_search_recall_and_work(spark, sf):
     asks = items.where("id % 20 = 0").select(F.col("id").alias("queryId"), F.col("embedding").alias("queryVector"))
     assert len(recall) == asks.count() and sum(recall) / len(recall) >= 0.95 and min(recall) >= 0.7, (sum(recall) / len(recall), min(recall))
     assert neighbours.shortlist(items, asks, 10).count() <= 0.1 * items.count() * asks.count()
+
+
+def exchanges(df) -> list[str]:
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange " in x]
+
+
+@pytest.fixture()
+def many_rows(spark, monkeypatch):
+    """Tables that look large: few rows a task, none broadcast by its size."""
+    monkeypatch.setattr(derive, "ROWS_PER_TASK", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def dealt_once(spark, name: str, most: int) -> None:
+    """Line items are dealt by order over tasks that follow their number; nothing after it is shuffled."""
+    tasks = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    found = exchanges(registry.queries()[name](spark, SF))
+    assert 0 < len(found) <= most and all(f", {tasks})" in x and "REPARTITION_BY_NUM" in x for x in found), found
+
+
+def test_assessment_is_dealt_once_by_pair(spark, many_rows):
+    dealt_once(spark, "v18_paired_assessment", 5)
