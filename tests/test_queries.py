@@ -92,6 +92,6 @@ def test_assessment_is_dealt_once_by_pair(spark, many_rows):
     dealt_once(spark, "v18_paired_assessment", 5)
 
 
-@pytest.mark.parametrize("name, most", [("v4_rrf", 1), ("v6_rank_fusion", 1), ("v6_score_fusion", 1), ("v5_hybrid_candidates", 2), ("v5_hybrid_jobs", 2), ("v11_search_or_fallback", 5)])
+@pytest.mark.parametrize("name, most", [("v4_rrf", 1), ("v6_rank_fusion", 1), ("v6_score_fusion", 1), ("v5_hybrid_candidates", 2), ("v5_hybrid_jobs", 2), ("v7_skill_evidence_rank", 1), ("v9_fit_reasons", 1), ("v11_search_or_fallback", 5)])
 def test_ranked_hits_are_dealt_once_by_query(spark, many_rows, name, most):
     dealt_once(spark, name, most)
