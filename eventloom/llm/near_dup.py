@@ -10,8 +10,8 @@
    differ by the symmetric difference of their differences from its least class.  If they are
    linked but not through that one, those differences must overlap, by a number that
    follows from their sizes.  Differences are short, and what is a document's own stands first
-   in them (rarest first), so a join of their beginnings with a position filter leaves few
-   pairs.  Only pairs across components are made, and all of them are confirmed.
+   in them (rarest first, by exact counts), so a join of their beginnings with a position filter
+   leaves few pairs.  Only pairs across components are made, and all of them are confirmed.
 
 The threshold is an argument, in hundredths; bands, screen, beginnings and position filters
 follow from it.  A pair at the threshold shares a bucket with probability over 1 - 1e-9
@@ -32,9 +32,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
 from .common import Scratch, WordHashes, bounded_broadcast, doc_text, gram_hashes, mix64, small_batches
 from .components import components
@@ -49,8 +49,6 @@ BROADCAST_IDS = 1_000_000
 SHINGLE = 5
 
 FEATURES = "doc_id long, text_key long, n_shingles long, fp binary, bands array<long>, sig binary"
-#: Cells of the frequency sketch that orders differences: its size is fixed by this, not by the data.
-SKETCH = 1 << 20
 #: The default threshold (exact, in hundredths); sizes of two linked sets differ by this factor at most.
 PERCENT = 85
 
@@ -179,78 +177,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(linked(percent)("members_u", "members_v")).select("u", "v")
 
 
-@F.pandas_udf(BinaryType())
+@F.pandas_udf(ArrayType(LongType()))
 def differing(a: pd.Series, b: pd.Series) -> pd.Series:
     """The shingles that only one of two sets holds."""
-    return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(a, b)], dtype=object)
+    return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(a, b)], dtype=object)
 
 
-def _cells(centre: int, x: np.ndarray) -> np.ndarray:
-    return (mix64(x + np.uint64(centre)) & np.uint64(SKETCH - 1)).astype(np.int64)
+def held_across(parted: DataFrame) -> DataFrame:
+    """``(c, s, n)``: how many differences of a centre hold a shingle, for shingles that several roots hold.  Counted exactly, combined map-side."""
+    counted = parted.select("centre", "root", F.explode("apart").alias("shingle")).groupBy("centre", "shingle").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
+    return counted.where("a <> b").select(F.col("centre").alias("c"), F.col("shingle").alias("s"), "n")
 
 
-def difference_sketch(parted: DataFrame) -> np.ndarray:
-    """How many differences ``(centre, apart)`` hold a shingle of each cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for centre, x in zip(batch.column(0), batch.column(1)):
-                np.add.at(total, _cells(centre.as_py(), np.frombuffer(x.as_buffer(), np.uint64)), 1)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["cell", "n"])
-
-    small_batches(parted.sparkSession)
-    t = parted.select("centre", "apart").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SKETCH, np.int64)
-    out[t["cell"].to_numpy()] = t["n"].to_numpy()
-    return out
-
-
-#: Rows of an output batch, about.
-OUT_ROWS = 50_000
-POSTINGS = "centre long, shingle long, cid long, root long, centre_root long, size long, n_apart long, place long"
-
-
-def beginnings(parted: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+def beginnings(parted: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Each difference's first shingles, rarest first, with their places.
 
     A document of ``size`` shingles is linked with none that differs from it in more than
     ``size * (100 - percent) / percent`` of them, so one more than that is enough.  Shingles
-    that no other difference of the centre holds keep their places but are not handed on.
+    that one root alone holds tie nothing together: they take the first places and are not handed
+    on.  ``held`` is stored, so that both sides of the join are plain exchanges and a shingle of
+    very many differences is split over tasks.
     """
-    shared = parted.sparkSession.sparkContext.broadcast(sketch)
-    names = [x.split()[0] for x in POSTINGS.split(", ")]
-
-    def handed_on(batch: pa.RecordBatch, some: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        """Of rows ``(number, length of the difference, places, shingles)``."""
-        times = [len(there) for _, _, there, _ in some]
-        rows = batch.take(pa.array(np.repeat([i for i, *_ in some], times).astype(np.int32)))
-        apart = np.repeat([n for _, n, *_ in some], times).astype(np.int64)
-        shingles, places = (np.concatenate([x[k] for x in some]) for k in (3, 2))
-        columns = [rows.column(0), pa.array(shingles.view(np.int64)), *[rows.column(i) for i in (1, 2, 3, 4)], pa.array(apart), pa.array(places)]
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            centres, sizes, apart = (batch.column(i) for i in (0, 4, 5))
-            keys = batch.select(range(5))
-            some, size = [], 0
-            for i in range(len(apart)):
-                n, own = sizes[i].as_py(), np.frombuffer(apart[i].as_buffer(), np.uint64)
-                held = shared.value[_cells(centres[i].as_py(), own)]
-                order = np.lexsort((own, held))[: n * (100 - percent) // percent + 1]
-                there = np.flatnonzero(held[order] > 1)
-                some.append((i, len(own), there, own[order[there]]))
-                size += len(there)
-                if size > OUT_ROWS:
-                    yield handed_on(keys, some)
-                    some, size = [], 0
-            if size:
-                yield handed_on(keys, some)
-
-    small_batches(parted.sparkSession)
-    return parted.select("centre", "cid", "root", "centre_root", "n_shingles", "apart").mapInArrow(run, POSTINGS)
+    own = parted.select("centre", "cid", F.col("n_shingles").alias("size"), F.size("apart").alias("n_apart"), F.explode("apart").alias("shingle"))
+    met = own.join(held, (F.col("centre") == F.col("c")) & (F.col("shingle") == F.col("s"))).drop("c", "s")
+    whole = Window.partitionBy("centre", "cid")
+    place = F.col("n_apart") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("n", "shingle")) - 1
+    first = met.withColumn("place", place).drop("n").where(F.col("place") * percent <= F.col("size") * (100 - percent))
+    return first.join(parted.select("centre", "cid", "root", "centre_root"), ["centre", "cid"])
 
 
 def across(postings: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +272,8 @@ class Linking:
         ties = rows.select("centre", "cid", "root", "centre_root").distinct()
         parted = ties.join(sets.select(F.col("cid").alias("centre"), F.col("members").alias("middle")), "centre").join(sets, "cid").join(self.classes.select("cid", "n_shingles"), "cid")
         parted = self.steps.put("parted", parted.select("centre", "cid", "root", "centre_root", "n_shingles", differing("members", "middle").alias("apart")))
-        postings = self.steps.put("postings", beginnings(parted, difference_sketch(parted), self.percent))
+        held = self.steps.put("held", held_across(parted))
+        postings = self.steps.put("postings", beginnings(parted, held, self.percent))
         pairs = self.steps.put("pairs", across(postings, self.percent))
         near = self.steps.put("near", screened(pairs, self.classes, self.percent))
         new = self.steps.put("new", confirmed(near, sets, self.percent))

@@ -197,6 +197,16 @@ def test_beginnings_keep_every_link():
                 assert (len(apart[i]) + len(apart[j]) - 2 * room) * (100 + percent) <= (len(x) + len(y)) * (100 - percent)
 
 
+def test_beginnings_hand_on_only_what_several_roots_hold(spark):
+    """A million and a half shingles of one difference each leave nothing but the one that differences share, at its own place."""
+    from pyspark.sql import functions as F
+
+    own = F.expr("array_union(transform(sequence(0, 1499), x -> xxhash64(id, x)), array(7, if(id < 500, 8, xxhash64(id))))")
+    parted = spark.range(1000).select((F.col("id") % 4).alias("centre"), F.col("id").alias("cid"), F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("root"), F.lit(0).cast("long").alias("centre_root"), F.lit(20_000).cast("long").alias("n_shingles"), own.alias("apart"))
+    got = near_dup.beginnings(parted, near_dup.held_across(parted), 85).groupBy("shingle", "place", "n_apart").count().collect()
+    assert [tuple(r) for r in got] == [(7, 1501, 1502, 1000)]
+
+
 def test_near_duplicate_stage_links_from_80_on(spark):
     """Pairs of 100 shingles of which 90 are shared (similarity 90 / 110), others at 88 / 112: under 0.80."""
     import corpus_pipeline
