@@ -164,7 +164,9 @@ class Bits:
                     span = slice(i, min(i + most_bits, first + n))
                     sym = self.sym[span]
                     salt = self.code.salt[depth].take(sym)
-                    slots = [((h[span] + salt) >> np.uint32(32 - self.code.slot_bits)).astype(np.intp) for h in self.hashes]
+                    slots = [h[span] + salt for h in self.hashes]
+                    for x in slots:
+                        x >>= np.uint32(32 - self.code.slot_bits)
                     yield span, min(depth, DEPTHS - 1) * KINDS + kind, self.code.bit[depth].take(sym), slots
 
 
@@ -237,9 +239,11 @@ class BitCounts:
     def learn(self, texts: list[bytes]) -> None:
         for fold, some in enumerate(by_fold(texts)):
             for _, bit, slots in blocks_of(some, self.code):
-                whole = bit.astype(np.int32)
+                whole = bit.astype(np.uint32)
                 for kept, x in zip(self.seen[fold], slots):
-                    kept.append((x.astype(np.int32) << 1) | whole)
+                    x <<= np.uint32(1)
+                    x |= whole
+                    kept.append(x)
                 self.n_seen[fold] += len(bit)
                 if self.n_seen[fold] > SEEN_BITS:
                     self._add(fold)
@@ -247,7 +251,7 @@ class BitCounts:
     def _add(self, fold: int) -> None:
         for k, kept in enumerate(self.seen[fold]):
             if kept:
-                self.counts[k, fold] += np.bincount(np.concatenate(kept), minlength=2 * self.code.slots).reshape(-1, 2).astype(np.int32)
+                np.add.at(self.counts[k, fold].reshape(-1), np.concatenate(kept, dtype=np.intp), np.int32(1))
                 kept.clear()
         self.n_seen[fold] = 0
 
@@ -303,8 +307,9 @@ class OnlineMixer:
         z += np.float32(STEPS / 2)
         step = np.clip(z, np.float32(0), np.float32(STEPS - 1), out=z).astype(np.intp)
         here = slice(gate * STEPS, (gate + 1) * STEPS)
-        self.refined[0, here] += np.bincount(step, minlength=STEPS)
-        self.refined[1, here] += np.bincount(step.compress(bit > 0), minlength=STEPS)
+        zeros, ones = np.bincount(step + STEPS * bit.astype(np.intp), minlength=2 * STEPS).reshape(2, STEPS)
+        self.refined[0, here] += zeros + ones
+        self.refined[1, here] += ones
         p = _SQUASH.take(step, mode="clip")
         slope = x @ (bit - p) / EIGHTHS
         p -= p * p
@@ -394,8 +399,8 @@ class Mixture:
             cost = np.zeros(len(bits.order))
             for span, gate, bit, slots in bits.blocks():
                 step = mixed_steps(self.weights[:, gate], [o.take(x, mode="clip") for o, x in zip(self.odds, slots)])
-                here = self.cost[:, gate * STEPS : (gate + 1) * STEPS]
-                cost[span] += np.where(bit > 0, here[1].take(step, mode="clip"), here[0].take(step, mode="clip"))
+                step += STEPS * bit.astype(np.intp)
+                cost[span] += self.cost[:, gate * STEPS : (gate + 1) * STEPS].ravel().take(step, mode="clip")
             total += np.bincount(of[i : i + CHUNK][bits.order], cost, len(texts))
         return total
 

@@ -197,6 +197,25 @@ def test_beginnings_keep_every_link():
                 assert (len(apart[i]) + len(apart[j]) - 2 * room) * (100 + percent) <= (len(x) + len(y)) * (100 - percent)
 
 
+def test_bit_counts_are_plain_counts_of_slots():
+    """Counts by predictor, fold and slot equal those made one bit at a time, from 32-bit slots, also across additions."""
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(60)).encode() for _ in range(40)]
+    code = lm.Code.of({b: 1 + b % 7 for b in range(256)})
+    counts, want = lm.BitCounts(code), np.zeros((len(lm.ORDERS), lm.FOLDS, code.slots, 2), np.int32)
+    for some in (texts[:25], texts[25:]):
+        counts.learn(some)
+        for fold in range(lm.FOLDS):
+            counts._add(fold)
+    for fold, some in enumerate(lm.by_fold(texts)):
+        for _, bit, slots in lm.blocks_of(some, code):
+            assert all(x.dtype == np.uint32 for x in slots)
+            for k, x in enumerate(slots):
+                for slot, b in zip(x.tolist(), bit.astype(int).tolist()):
+                    want[k, fold, slot, b] += 1
+    assert want.sum() > 0 and (counts.counts == want).all()
+
+
 def test_beginnings_hand_on_only_what_several_roots_hold(spark):
     """A million and a half shingles of one difference each leave nothing but the one that differences share, at its own place."""
     from pyspark.sql import functions as F
