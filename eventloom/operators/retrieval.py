@@ -185,9 +185,12 @@ def build_postings(docs: DataFrame, fields: dict[str, float], path: str, parts:
     """Store ``(term, id, dl, tf)`` in folders by a hash of the term, sorted by term, from one scan of the texts.
 
     Each document adds one row without a term, so that lengths are counted from the same table.  A
-    term of very many documents is spread over several files.
+    term of very many documents is spread over several files.  Texts are dealt by id before they are
+    cut, which is less than their words: words are then counted where they are, and only the postings
+    are shuffled, to their folders.
     """
-    marked = _worded(docs, fields).withColumn("hits", F.concat("hits", F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight")))))
+    dealt = docs.select("id", *fields).repartition("id")
+    marked = _worded(dealt, fields).withColumn("hits", F.concat("hits", F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight")))))
     part = F.when(F.col("term") == "", F.lit(LENGTHS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
     rows = _frequencies(marked).withColumn("part", part).hint("rebalance", "part")
     rows.sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(path)

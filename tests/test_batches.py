@@ -304,6 +304,23 @@ def test_clustered_items_need_few_probes(spark):
     assert own.probes <= len(own.cells) // 3
 
 
+def test_postings_are_shuffled_once(spark, tmp_path):
+    """Building shuffles each text once and each posting once: records written by all its stages."""
+    table = spark.range(200).select("id", F.expr("concat_ws(' ', transform(sequence(0, 49), x -> concat('w', pmod(id * 7 + x, 300))))").alias("body"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> dict[tuple[int, int], int]:
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = shuffled()
+    retrieval.build_postings(table, {"body": 1.0}, str(tmp_path / "postings"), 8)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    records = sum(n for key, n in shuffled().items() if key not in before)
+    assert spark.read.parquet(str(tmp_path / "postings")).count() == 200 * 51
+    assert records == 200 + 200 * 51
+
+
 def test_postings_give_what_a_scan_gives(spark, tmp_path, monkeypatch):
     """Two weighted fields, nulls, equal texts, words of every text, queries without a hit; few terms and many; pruned folders."""
     rng = random.Random(12)
