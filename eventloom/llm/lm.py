@@ -19,6 +19,10 @@ A predictor's slots follow the training bytes: one for every ``BYTES_PER_SLOT``,
 two from 2^``LEAST_BITS`` to 2^``MOST_BITS``, which bounds what a worker and the driver hold.
 Beyond that more text sharpens the counts but contexts share slots.
 
+A window of a byte and the five before it decides all slots, so counting and scoring, whose tables
+stand still meanwhile, expand equal windows of a portion of texts once: counts are added as many
+times as a window is there, and a window's cost is handed to every place that holds it.
+
 The base score needs every token's training count.  A broadcast table of bounded size holds
 the frequent words; rarer ones are joined to the count table in Spark.
 
@@ -33,7 +37,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,8 +68,8 @@ HELD, LEAST_WEIGHT, MOST_WEIGHT = 20.0, -1.0, 2.0
 EIGHTHS = 8
 #: Bytes of text that are expanded into bits at a time.
 CHUNK = 1 << 20
-#: Bits of a fold that a task gathers before it adds them to its tables.
-SEEN_BITS = 1_500_000
+#: Bytes of a fold that a task gathers before it adds them to its tables.
+SEEN_BYTES = 1 << 20
 #: Slots of a block of counts: tasks hand on whole blocks, not slots.
 BLOCK_SLOTS = 4096
 #: Tasks whose blocks are summed in one group; their sums are summed then.
@@ -126,6 +130,18 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.cumsum(sizes) - sizes + PAD
 
 
+def hashed(nearest: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Hashes of the last 1, 2, 3 ... of ``ORDERS`` bytes, which are given nearest first."""
+    h = np.uint32(0)
+    for k, (multiply, c) in enumerate(zip(_MULTIPLY, nearest), 1):
+        h = np.add(h, c, out=h if k > 1 else None, dtype=np.uint32)
+        h += np.uint32(1)
+        h *= multiply
+        h ^= h >> np.uint32(15)
+        if k in ORDERS:
+            yield h * np.uint32(0x9E3779B1)
+
+
 class Bits:
     """The bits of the bytes at ``at``, gate by gate.
 
@@ -142,14 +158,7 @@ class Bits:
         low, high = int(at[0]), int(at[-1]) + 1
         at = at[self.order]
         self.sym = buf[at]
-        self.hashes, h = [], np.zeros(high - low, np.uint32)
-        for k in range(1, max(ORDERS) + 1):
-            h += buf[low - k : high - k]
-            h += np.uint32(1)
-            h *= _MULTIPLY[k - 1]
-            h ^= h >> np.uint32(15)
-            if k in ORDERS:
-                self.hashes.append((h * np.uint32(0x9E3779B1)).take(at - low))
+        self.hashes = [h.take(at - low) for h in hashed(buf[low - k : high - k] for k in range(1, max(ORDERS) + 1))]
         sizes = np.bincount(rank, minlength=KINDS * (most + 1)).reshape(KINDS, most + 1)
         self.first = np.concatenate([[0], sizes.sum(axis=1).cumsum()])
         self.there = sizes.cumsum(axis=1)
@@ -194,6 +203,46 @@ def mixed_steps(weights: np.ndarray, stretched: list[np.ndarray]) -> np.ndarray:
     return x.astype(np.intp)
 
 
+def own_bytes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the bytes of laid-out texts and their ends are, the symbols before each left out."""
+    own = np.ones(len(buf), bool)
+    own[(starts[:, None] - 1 - np.arange(PAD)).ravel()] = False
+    return np.flatnonzero(own)
+
+
+def windows(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes at ``at`` (ascending), each with the PAD before it in one number: itself in the highest place, the farthest in the lowest."""
+    low, high = int(at[0]), int(at[-1]) + 1
+    wide = np.append(buf[low - PAD : high], np.zeros(7 - PAD, np.uint8))
+    every = np.ndarray(high - low, "<u8", wide, strides=(1,)) & np.uint64((1 << 8 * (PAD + 1)) - 1)
+    return every if len(at) == len(every) else every.take(at - low)
+
+
+def sums_of_runs(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ascending ``keys``, and how often each is there (or its sum of ``times``)."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys.take(first), np.diff(first, append=len(keys)) if times is None else np.add.reduceat(times, first)
+
+
+def representatives(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(chosen, of)``, so that ``keys[chosen][of]`` is ``keys``.
+
+    Equal keys share one, by a table of places hashed by the keys; a key that lost its slot to
+    another is chosen wherever it stands.
+    """
+    bits = max(len(keys).bit_length() + 1, 10)
+    slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    here, place = np.arange(len(keys), dtype=np.int32), np.empty(1 << bits, np.int32)
+    place[slot] = here
+    found = place.take(slot)
+    lost = np.flatnonzero(keys.take(found) != keys)
+    found[lost] = lost
+    chosen = np.flatnonzero(found == here)
+    number = place[: len(keys)]
+    number[chosen] = np.arange(len(chosen), dtype=np.int32)
+    return chosen, number.take(found)
+
+
 def by_fold(texts: list[bytes]) -> list[list[bytes]]:
     """The texts of each fold; copies share theirs."""
     folds: list[list[bytes]] = [[] for _ in range(FOLDS)]
@@ -219,41 +268,59 @@ def blocks_of(texts: list[bytes], code: Code, most_bits: int = BLOCK_BITS) -> It
     """``(gate, bits, slots by predictor)`` of all bits of the texts, in blocks."""
     for _, some in portions(texts):
         buf, starts = laid_out(some)
-        own = np.ones(len(buf), bool)
-        own[(starts[:, None] - 1 - np.arange(PAD)).ravel()] = False
-        at = np.flatnonzero(own)
+        at = own_bytes(buf, starts)
         for i in range(0, len(at), CHUNK):
             for _, gate, bit, slots in Bits(buf, at[i : i + CHUNK], code).blocks(most_bits):
                 yield gate, bit, slots
 
 
 class BitCounts:
-    """One task's bit counts, by predictor, fold and slot."""
+    """One task's bit counts, by predictor, fold and slot.
+
+    A window of a byte and the bytes before it decides the slots of all its bits, so windows are
+    sorted, and those of one predictor's order that are equal are counted at once.
+    """
 
     def __init__(self, code: Code):
         self.code = code
         self.counts = np.zeros((len(ORDERS), FOLDS, code.slots, 2), np.int32)
-        self.seen: list[list[list[np.ndarray]]] = [[[] for _ in ORDERS] for _ in range(FOLDS)]
+        self.seen: list[list[np.ndarray]] = [[] for _ in range(FOLDS)]
         self.n_seen = [0] * FOLDS
 
     def learn(self, texts: list[bytes]) -> None:
         for fold, some in enumerate(by_fold(texts)):
-            for _, bit, slots in blocks_of(some, self.code):
-                whole = bit.astype(np.uint32)
-                for kept, x in zip(self.seen[fold], slots):
-                    x <<= np.uint32(1)
-                    x |= whole
-                    kept.append(x)
-                self.n_seen[fold] += len(bit)
-                if self.n_seen[fold] > SEEN_BITS:
-                    self._add(fold)
+            for _, few in portions(some):
+                buf, starts = laid_out(few)
+                at = own_bytes(buf, starts)
+                for i in range(0, len(at), CHUNK):
+                    self.seen[fold].append(windows(buf, at[i : i + CHUNK]))
+                    self.n_seen[fold] += len(self.seen[fold][-1])
+                    if self.n_seen[fold] > SEEN_BYTES:
+                        self._add(fold)
 
     def _add(self, fold: int) -> None:
-        for k, kept in enumerate(self.seen[fold]):
-            if kept:
-                np.add.at(self.counts[k, fold].reshape(-1), np.concatenate(kept, dtype=np.intp), np.int32(1))
-                kept.clear()
-        self.n_seen[fold] = 0
+        if not self.seen[fold]:
+            return
+        keys = np.concatenate(self.seen[fold])
+        self.seen[fold], self.n_seen[fold] = [], 0
+        keys.sort()
+        times, longest = None, PAD
+        for k, order in reversed(list(enumerate(ORDERS))):
+            keys, times = sums_of_runs(keys >> np.uint64(8 * (longest - order)), times)
+            longest = order
+            self._count(self.counts[k, fold].reshape(-1), order, keys, times.astype(np.int32))
+
+    def _count(self, counts: np.ndarray, order: int, keys: np.ndarray, times: np.ndarray) -> None:
+        """Add every bit of the windows ``keys`` of ``order + 1`` bytes, ``times`` each."""
+        sym = (keys >> np.uint64(8 * order)).astype(np.uint8)
+        *_, h = hashed((keys >> np.uint64(8 * (order - k))).astype(np.uint8) for k in range(1, order + 1))
+        length = self.code.length.take(sym)
+        for depth, (salt, bit) in enumerate(zip(self.code.salt, self.code.bit)):
+            there = np.flatnonzero(length > depth)
+            if len(there) < len(sym):
+                sym, h, length, times = (x.take(there) for x in (sym, h, length, times))
+            slot = (h + salt.take(sym)) >> np.uint32(32 - self.code.slot_bits)
+            np.add.at(counts, slot.astype(np.intp) * 2 + bit.astype(np.intp).take(sym), times)
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
         """``(number, counts)`` of ``BLOCK_SLOTS`` slots each, counted through all predictors and folds; empty ones are left out."""
@@ -395,13 +462,17 @@ class Mixture:
         at = np.concatenate([np.arange(s, e, dtype=np.int32) for s, e in zip(starts, ends)])
         of = np.repeat(np.arange(len(texts), dtype=np.int32), ends - starts)
         for i in range(0, len(at), CHUNK):
-            bits = Bits(buf, at[i : i + CHUNK], self.code)
+            some = at[i : i + CHUNK]
+            chosen, same = representatives(windows(buf, some))
+            bits = Bits(buf, some.take(chosen), self.code)
             cost = np.zeros(len(bits.order))
             for span, gate, bit, slots in bits.blocks():
                 step = mixed_steps(self.weights[:, gate], [o.take(x, mode="clip") for o, x in zip(self.odds, slots)])
                 step += STEPS * bit.astype(np.intp)
                 cost[span] += self.cost[:, gate * STEPS : (gate + 1) * STEPS].ravel().take(step, mode="clip")
-            total += np.bincount(of[i : i + CHUNK][bits.order], cost, len(texts))
+            by_window = np.empty(len(cost))
+            by_window[bits.order] = cost
+            total += np.bincount(of[i : i + CHUNK], by_window.take(same), len(texts))
         return total
 
 

@@ -282,6 +282,45 @@ def test_quality_ledger(odd, empty):
     assert quality.mask("2024-2") == 2 ** len(quality.RULES) - 1
 
 
+def test_lm_equal_windows_share_a_representative():
+    rng = np.random.default_rng(6)
+    for keys in (rng.integers(0, 1 << 48, 20_000), rng.integers(0, 900, 20_000), np.zeros(1), np.arange(5)):
+        keys = keys.astype(np.uint64)
+        chosen, of = lm.representatives(keys)
+        assert (keys[chosen][of] == keys).all() and (np.diff(chosen) > 0).all()
+    assert len(lm.representatives(np.full(5000, 7, np.uint64))[0]) == 1
+
+
+def test_lm_scores_and_counts_expand_equal_windows_once(monkeypatch):
+    """Costs equal those of a plain walk over all bits; windows held many times are opened a few times, also across cuts."""
+    monkeypatch.setattr(lm, "CHUNK", 4000)
+    rng = random.Random(7)
+    texts = [t.encode() for t in (prose(rng, 40), prose(rng, 8), "", "ä\n\xff ü", "x" * 9001)] * 60
+    code = lm.Code.of({b: 1 + b % 9 for b in range(256)})
+    opened, plain = [], lm.Bits
+
+    class Counted(plain):
+        def __init__(self, buf, at, code):
+            opened.append(len(at))
+            super().__init__(buf, at, code)
+
+    monkeypatch.setattr(lm, "Bits", Counted)
+    counts = lm.BitCounts(code)
+    counts.learn(texts)
+    n, ones = lm.counts_by_fold(code, counts.blocks())
+    weights = np.array([[rng.uniform(0, 0.6) for _ in range(lm.GATES)] for _ in lm.ORDERS])
+    model = lm.Mixture.of(code, (n, ones), [], weights)
+    got = model.scores(texts)
+    assert sum(opened) < 0.2 * sum(len(t) + 1 for t in texts)
+    for t, score in zip(texts[:5], got):
+        want = 0.0
+        for gate, bit, slots in lm.blocks_of([t], code):
+            step = lm.mixed_steps(model.weights[:, gate], [o[x] for o, x in zip(model.odds, slots)])
+            want += sum(float(model.cost[int(b), gate * lm.STEPS + i]) for b, i in zip(bit, step))
+        assert abs(score - want) < 1e-9 * abs(want)
+    assert np.allclose(got.reshape(60, 5), got[:5], rtol=1e-12, atol=0)
+
+
 def test_language_learns_and_handles_odd_rows(spark, odd, empty):
     rng = random.Random(3)
     other = "der fluss zieht langsam an alten mühlen vorbei wo kinder unter grünen weiden fischen und boote treiben".split()
