@@ -134,11 +134,14 @@ def _frequencies(worded: DataFrame) -> DataFrame:
     return worded.select("id", "dl", F.explode("hits").alias("hit")).groupBy(F.col("hit.term").alias("term"), "id", "dl").agg(F.sum("hit.weight").alias("tf"))
 
 
-def _bm25(tf: DataFrame, wanted: DataFrame, n: int, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
-    """Top-k by query from the frequencies of wanted terms.  Scores are rounded, so that equal texts tie in whatever order their parts are added."""
+def _bm25(tf: DataFrame, wanted: DataFrame, n: int, avgdl: float, k: int, k1: float, b: float, counted: DataFrame | None = None) -> DataFrame:
+    """Top-k by query from the frequencies of wanted terms.  Scores are rounded, so that equal texts tie in whatever order their parts are added.
+
+    ``counted`` are the same rows before a shuffle that counting the terms' documents doesn't need.
+    """
     sent = F.broadcast if wanted.count() <= BROADCAST_TERMS else lambda df: df
     # counts a column of tf, so that the plan's exchange below it is the same and is used twice
-    df = tf.groupBy("term").agg(F.count("tf").alias("df"))
+    df = (tf if counted is None else counted).groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     parts = tf.join(sent(df), "term").select("id", "term", part.alias("part"))
@@ -179,6 +182,8 @@ def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, float], k: in
 
 #: Folders of a postings table by default, and the folder of document lengths, which stand under no term.
 POSTING_PARTS, LENGTHS = 64, -1
+#: Pairs of a document and a query that a task of a postings search scores: sums and their order take some 300 MB.
+PAIRS_PER_TASK = 1_000_000
 
 
 def build_postings(docs: DataFrame, fields: dict[str, float], path: str, parts: int = POSTING_PARTS) -> None:
@@ -197,7 +202,12 @@ def build_postings(docs: DataFrame, fields: dict[str, float], path: str, parts:
 
 
 def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int, parts: int = POSTING_PARTS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The same rows as ``lexical``, from stored postings: only folders and row groups of the queries' terms are read."""
+    """The same rows as ``lexical``, from stored postings: only folders and row groups of the queries' terms are read.
+
+    Read postings are dealt by id, over as many tasks as documents times queries need, before they are
+    scored: they are fewer than the pairs with a query that come of them, which are summed up, and cut
+    to each query's best ``k``, where they are.
+    """
     stored, wanted = spark.read.parquet(path), _wanted(queries)
     stats = stored.where(F.col("part") == LENGTHS).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     few = _few_terms(wanted)
@@ -206,7 +216,9 @@ def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int,
     else:
         folders = [r["part"] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")).distinct().collect()]
         tf = stored.where((F.col("part").isin(folders) & F.col("term").isin(few)) if few else F.lit(False))
-    return _bm25(tf.select("term", "id", "dl", "tf"), wanted, stats["n"], stats["avgdl"] or 1.0, k, k1, b)
+    pairs = stats["n"] * wanted.select("queryId").distinct().count()
+    dealt = tf.select("term", "id", "dl", "tf").repartition(max(spark.sparkContext.defaultParallelism, -(-pairs // PAIRS_PER_TASK)), "id")
+    return _bm25(dealt, wanted, stats["n"], stats["avgdl"] or 1.0, k, k1, b, tf)
 
 
 def lexical_window(scores: DataFrame, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -321,6 +322,19 @@ def test_postings_are_shuffled_once(spark, tmp_path):
     assert records == 200 + 200 * 51
 
 
+def test_pairs_of_a_postings_search_are_not_shuffled(spark, tmp_path):
+    """Read postings are shuffled once, by id; their pairs with queries are summed up and cut to the best where they are."""
+    table = spark.range(100).select("id", F.expr("concat_ws(' ', transform(sequence(0, 9), x -> concat('w', pmod(id + x, 30))))").alias("body"))
+    queries = spark.range(40).select(F.col("id").alias("queryId"), F.expr("concat_ws(' ', transform(sequence(0, 4), x -> concat('w', pmod(id * 3 + x, 30))))").alias("query"))
+    path = str(tmp_path / "postings")
+    retrieval.build_postings(table, {"body": 1.0}, path, 8)
+    found = retrieval.search_postings(spark, path, queries, 3, 8)
+    assert found.count() == 40 * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(((?:[^(),]+#\d+L?, )+)\d+\)", plan)
+    assert sorted({re.sub(r"#\d+L?, $", "", k) for k in keys}) == ["id", "queryId", "term"]
+
+
 def test_postings_give_what_a_scan_gives(spark, tmp_path, monkeypatch):
     """Two weighted fields, nulls, equal texts, words of every text, queries without a hit; few terms and many; pruned folders."""
     rng = random.Random(12)

@@ -53,6 +53,12 @@ def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_postings_are_asked_every_benchmark_item(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()
+    hits = registry.queries()["v3_postings_index"](spark, SF)
+    assert {r["queryId"] for r in hits.select("queryId").distinct().collect()} == {r["item_id"] for r in items}
+
+
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() > 0
 
